@@ -53,3 +53,15 @@ def only(docs: DataFrame, **wanted: str) -> DataFrame:
     ``wanted`` maps the operator's name to the table's name.
     """
     return docs.select(*[F.col(f"`{have}`").alias(name) for name, have in wanted.items()])
+
+
+def removed(table: DataFrame, below: str = "") -> None:
+    """Delete the files of a table from written() that nothing reads any more, or one folder of it."""
+    spark = table.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        if folder.startswith(shared_dir(spark).replace("file:///", "file:/")) or folder.startswith(shared_dir(spark)):
+            if not below or folder.endswith(f"/{below}"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
