@@ -22,39 +22,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import only, written
-
-BLOCK_BITS = 8 * 4096  # bits of one value of bitmap_construct_agg
-
-
-def _probe(k: int, bits: int):
-    return F.pmod(F.xxhash64("text_sha256", F.lit(k)), F.lit(bits))
+from frameloom.llm import bitmaps
+from frameloom.llm.shared import heavy_join, only, written
 
 
 def _marked(digests: DataFrame, bits: int, probes: int) -> DataFrame:
-    """(k, block, bitmap) of the positions that two rows or more hit."""
-    each = digests.select(F.posexplode(F.array(*[_probe(k, bits) for k in range(probes)])).alias("k", "position"))
-    twice = each.groupBy("k", "position").agg(F.count("*").alias("n")).where("n > 1")
-    block, bit = F.expr("position div 32768"), F.col("position") % BLOCK_BITS
-    return twice.groupBy("k", block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
-
-
-def _bit_is_set(bitmap, position):
-    """Null bitmaps have no bit set."""
-    within = position % BLOCK_BITS
-    byte = F.conv(F.hex(bitmap.substr((F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False))
+    """The bitmap of the positions that two rows or more hit."""
+    each = bitmaps.positions(digests, F.col("text_sha256"), bits, probes)
+    return bitmaps.from_positions(each.groupBy("k", "position").agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def _tested(rows: DataFrame, marks: DataFrame, bits: int, probes: int) -> DataFrame:
-    """``rows`` with ``maybe``: false where the filter proves that no other row has the digest."""
-    names = rows.columns
-    maybe = F.lit(True)
-    for k in range(probes):
-        part = F.broadcast(marks.where(F.col("k") == k).select(F.col("block").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
-        rows = rows.join(part, F.shiftright(_probe(k, bits), 15) == F.col(f"_b{k}"), "left")
-        maybe = maybe & _bit_is_set(F.col(f"_m{k}"), _probe(k, bits))
-    return rows.select(*[F.col(f"`{c}`") for c in names], maybe.alias("maybe"))
+    """``rows`` with ``maybe``: false where no other row can have the digest."""
+    return bitmaps.tested(rows, F.col("text_sha256"), marks, bits, probes)
 
 
 def _digest(text: str):
@@ -73,12 +53,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
     suspects = tested.where("maybe").drop("maybe")
     found = written(_found(suspects), "groups")
-    total = found.agg(F.sum("group_size")).first()[0] or 0
-    least = max(2, total // heavy + 1)
-    large = F.broadcast(found.where(F.col("group_size") >= least))
-    in_large = suspects.join(large, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
-    others = suspects.join(large, "text_sha256", "left_anti").join(found.where(F.col("group_size") < least), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
-    out = alone.unionByName(in_large).unionByName(others)
+    shared = heavy_join(suspects, found, "text_sha256", "group_size", heavy).select("doc_id", "keep_id", "group_size", "text_sha256")
+    out = alone.unionByName(shared)
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import exact, language, ngrams, sentencepieces, viterbi
+from frameloom.llm import exact, language, near, ngrams, sentencepieces, viterbi
 from frameloom.llm.shared import fold
 
 
@@ -38,11 +38,15 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_documents(spark, sf_dir), held_out=fold("doc_id", 7) == 2, deleted=fold("doc_id", 7) == 3)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(_documents(spark, sf_dir), size=4)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_token_counts, op4_lm_score, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_token_counts, op4_lm_score, op5_near_dedup, op6_exact_dedup)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

@@ -65,3 +65,20 @@ def removed(table: DataFrame, below: str = "") -> None:
             if not below or folder.endswith(f"/{below}"):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def heavy_join(rows: DataFrame, groups: DataFrame, key: str, size: str, heavy: int = 1024) -> DataFrame:
+    """Inner join of rows with the one row of their group, safe for large groups.
+
+    ``groups`` is a written table whose ``size`` is how many of ``rows`` have
+    the key. Fewer than ``heavy`` groups can have a ``1 / heavy`` of all rows
+    each; those are broadcast, and their rows don't shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(2, total // heavy + 1)
+    large = groups.where(F.col(size) >= least)
+    small = groups.where(F.col(size) < least)
+    columns = [*rows.columns, *[c for c in groups.columns if c != key]]
+    there = rows.join(F.broadcast(large), key).select(columns)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key).select(columns)
+    return there.unionByName(rest)
