@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import exact, language, near, ngrams, sentencepieces, viterbi
+from frameloom.llm import dac, exact, isomedia, language, near, ngrams, packing, quality, sentencepieces, viterbi
 from frameloom.llm.shared import fold
 
 
@@ -46,7 +46,25 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_token_counts, op4_lm_score, op5_near_dedup, op6_exact_dedup)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    ratings = quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, quality.train(docs, ratings))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read(dac.write(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isomedia.digests(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language, op3_token_counts, op4_lm_score, op5_near_dedup, op6_exact_dedup, op7_quality, op8_packing, op9_token_files, op10_media)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
