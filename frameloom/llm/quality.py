@@ -3,7 +3,8 @@
 A graded rating (0 worst) of a text follows P(grade <= k) = logistic(t_k - s)
 with one score s = w . x shared by all grades and ordered thresholds t_k. The
 features x are hashed: one for each distinct word (A-Z made small, punctuation
-at its ends taken off), and for each run of punctuation that ends a word, and
+at its ends taken off) and each beginning of a word, one more where it occurs
+twice or more, and for each run of punctuation that ends a word, and
 for words that repeat their predecessor, the share of the words that do. The
 weights are fitted with a sparsity penalty on a bounded sample of rated
 documents, chosen by a hash of the id; the bound is a parameter. Results are
@@ -18,7 +19,6 @@ and extra columns do no harm, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm import textcols as tc
-from frameloom.llm.shared import only
-
-_ENDS = re.compile(r"^([!-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)$", re.S)
+from frameloom.llm.shared import only, written
 
 
 @dataclass
@@ -38,48 +36,83 @@ class Model:
 
     weights: np.ndarray
     thresholds: np.ndarray
+    slots: np.ndarray | None = None  # the features that have a weight
+    buckets: int = 0
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which features have a weight, and the weight of each (kept after the first call)."""
+        if "_dense" not in self.__dict__:
+            weights = np.zeros(self.buckets, dtype=np.float32)
+            weights[self.slots] = self.weights
+            self._dense = (weights != 0, weights)
+        return self._dense
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
-    @property
-    def grades(self) -> int:
-        return len(self.thresholds) + 1
+
+#: Lengths of the word beginnings that are features too.
+PREFIXES = (4, 5, 6, 7)
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _slots(words: pa.StringArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The feature of each word's core (-1 without one) and of its ending punctuation (-1 without)."""
+    """Features of each word (core and beginnings; -1 without) and of its ending punctuation (-1 without)."""
     import xxhash
 
     f = xxhash.xxh3_64_intdigest
-    core, end = np.full(len(words), -1, np.int64), np.full(len(words), -1, np.int64)
+    parts = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
+    end = np.full(len(words), -1, np.int64)
+    known: dict[str, int] = {}
     ends: dict[str, int] = {}
     for i, w in enumerate(words.to_pylist()):
-        stem = w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        stem = w.strip(_PUNCTUATION)
         if stem:
-            core[i] = f(b"w" + stem.encode()) % buckets
+            parts[i, 0] = f(b"w" + stem.encode()) % buckets
+            for k, n in enumerate(PREFIXES):
+                if len(stem) <= n:
+                    break
+                head = stem[:n]
+                slot = known.get(head)
+                if slot is None:
+                    slot = known[head] = f(b"p" + head.encode()) % buckets
+                parts[i, 1 + k] = slot
         if len(stem) < len(w):
-            tail = _ENDS.match(w)[3] if stem else w
+            tail = w[len(w.rstrip(_PUNCTUATION)) :]
             if tail:
                 if tail not in ends:
                     ends[tail] = f(b"e" + tail.encode()) % buckets
                 end[i] = ends[tail]
-    return core, end
+    return parts, end
+
+
+def _often(slot: np.ndarray, buckets: int) -> np.ndarray:
+    """The feature that says that a feature occurs twice or more."""
+    return (slot * 48271 + 11) % buckets
 
 
 def _features(texts, buckets: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, value) rows; only features with a weight if ``wanted`` is given."""
+    """(document, feature, value) rows; only features in ``wanted`` (Boolean) if it is given."""
     import xxhash
 
     docs = tc.words(texts)
-    core, end = _slots(docs.words, buckets)
+    parts, end = _slots(docs.words, buckets)
     repeat = xxhash.xxh3_64_intdigest(b"r") % buckets
     if wanted is not None:
-        core = np.where((core >= 0) & wanted[core], core, -1)
+        useful = wanted | wanted[_often(np.arange(buckets), buckets)]
+        parts = np.where((parts >= 0) & useful[parts], parts, -1)
     owner = np.repeat(np.arange(len(docs.counts)), docs.counts)
-    slot = core[docs.codes] if len(docs.codes) else np.zeros(0, np.int64)
-    there = slot >= 0
-    pair = np.unique(owner[there] * buckets + slot[there])
-    doc, feature, value = [pair // buckets], [pair % buckets], [np.ones(len(pair))]
+    doc, feature, value = [], [], []
+    for column in parts.T:
+        slot = column[docs.codes] if len(docs.codes) else np.zeros(0, np.int64)
+        there = slot >= 0
+        key, n = np.unique(owner[there] * buckets + slot[there], return_counts=True)
+        twice = n > 1
+        doc += [key // buckets, key[twice] // buckets]
+        feature += [key % buckets, _often(key[twice] % buckets, buckets)]
+        value += [np.ones(len(key)), np.ones(int(twice.sum()))]
     share = 1.0 / np.maximum(docs.counts, 1)
-    slot = end[docs.codes] if len(docs.codes) else slot
+    slot = end[docs.codes] if len(docs.codes) else np.zeros(0, np.int64)
     again = np.zeros(len(slot), dtype=bool)
     again[1:] = (docs.codes[1:] == docs.codes[:-1]) & (owner[1:] == owner[:-1])
     for where, what in ((slot >= 0, slot), (again, np.full(len(slot), repeat))):
@@ -87,22 +120,31 @@ def _features(texts, buckets: int, wanted: np.ndarray | None = None) -> tuple[np
         doc.append(key // buckets)
         feature.append(key % buckets)
         value.append(np.sqrt(n * share[key // buckets]) * 4)
-    return np.concatenate(doc), np.concatenate(feature), np.concatenate(value)
+    doc, feature, value = np.concatenate(doc), np.concatenate(feature), np.concatenate(value)
+    if wanted is not None:
+        used = wanted[feature]
+        doc, feature, value = doc[used], feature[used], value[used]
+    return doc, feature, value
+
 
+def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 3e-4, rounds: int = 500) -> Model:
+    """Proximal gradient descent with momentum on the penalised likelihood.
 
-def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, least_docs: int = 3, penalty: float = 2e-4, rounds: int = 400) -> Model:
-    """Proximal gradient descent with momentum on the penalised likelihood; grades weigh the same in sum."""
-    often = np.bincount(feature, minlength=buckets) >= least_docs
-    used = often[feature]
-    doc, feature, value = doc[used], feature[used], value[used]
+    ``shares`` says how much each grade weighs in sum (default: as in the data).
+    Features count less the more documents have them, which speeds this up.
+    """
     n = len(grade)
     freq = np.bincount(grade, minlength=grades)
-    mass = (1.0 / np.maximum(freq, 1) / max((freq > 0).sum(), 1))[grade]
+    shares = freq / max(n, 1) if shares is None else np.where(freq > 0, shares, 0) / shares[freq > 0].sum()
+    mass = (shares / np.maximum(freq, 1))[grade]
+    rarity = np.log(n / np.maximum(np.bincount(feature, minlength=buckets), 1)) / np.log(max(n, 2)) + 0.02
+    value = value * rarity[feature]
     order = np.argsort(doc, kind="stable")
     doc, feature, value = doc[order], feature[order], value[order]
     w, t = np.zeros(buckets), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
-    norm = np.bincount(doc, weights=value**2, minlength=n)
-    rate = 4.0 / max(float(np.quantile(norm, 0.9)) if n else 1.0, 1.0)
+    # each weight has its own rate: the reciprocal of a bound of the curvature
+    reach = np.bincount(doc, weights=value, minlength=n)
+    rate = 1.0 / (np.bincount(feature, weights=value * (mass * reach)[doc], minlength=buckets) / 2 + 1e-9)
     w_prev, t_prev = w.copy(), t.copy()
     for r in range(rounds):
         k = r / (r + 3)
@@ -119,48 +161,68 @@ def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarr
         step = wy - rate * np.bincount(feature, weights=value * ds[doc], minlength=buckets)
         w_prev, t_prev = w, t
         w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
-        t = np.sort(ty - rate * dt)
-    return Model(w, t)
+        t = np.sort(ty - 2 * dt)
+    return Model(w * rarity, t)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 4000, grades: int = 3, buckets: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model | None:
-    """Fit on about ``sample`` of the rated documents; ``ratings`` has the id and a grade from 0."""
-    rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    n = rated.count()
-    if not n:
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int = 3, buckets: int = 1 << 22, least_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model | None:
+    """Fit on about ``sample`` rated documents of each grade; ``ratings`` has the id and a grade from 0.
+
+    Only features of ``least_docs`` documents of the sample or more get weights.
+    """
+    spark = docs.sparkSession
+    rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.least(F.min("grade"), F.lit(grades - 1)).alias("grade"))
+    sizes_by = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+    if not sizes_by:
         return None
-    some = rated.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < min(1 << 20, sample * (1 << 20) // n + 1))
-    rows = only(docs, doc_id=id_col, text=text_col).join(F.broadcast(some), "doc_id").select("grade", "text")  # the sample's size is bounded
+    share = F.lit(0)
+    for grade, n in sorted(sizes_by.items()):
+        share = F.when(F.col("grade") == grade, F.lit(min(1 << 20, sample * (1 << 20) // n + 1))).otherwise(share)
+    some = rated.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share)
+    rows = written(only(docs, doc_id=id_col, text=text_col).join(F.broadcast(some), "doc_id").select("grade", "text"), "rated")  # the sample's size is bounded
+
+    def counted(batches):
+        for whole in batches:
+            for batch in tc.pieces_of(whole, "text", 4 << 20):
+                _, feature, _ = _features(batch.column("text"), buckets)
+                slot, n = np.unique(feature, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    often = rows.select("text").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs).select("slot").toArrow()
+    wanted = np.zeros(buckets, dtype=bool)
+    wanted[often["slot"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(wanted))  # of fixed size
 
     def run(batches):
+        kept = np.unpackbits(shared.value).view(bool)
         for whole in batches:
-            for batch in tc.pieces_of(whole, "text", 8 << 20):
-                doc, feature, value = _features(batch.column("text"), buckets)
+            for batch in tc.pieces_of(whole, "text", 4 << 20):
+                doc, feature, value = _features(batch.column("text"), buckets, kept)
                 order = np.argsort(doc, kind="stable")
-                ends = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
-                offsets = pa.array(ends, pa.int32())
+                offsets = pa.array(np.searchsorted(doc[order], np.arange(batch.num_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(offsets, pa.array(feature[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value[order].astype(np.float32)))], names=["grade", "feature", "value"])
 
-    table = rows.mapInArrow(run, "grade int, feature array<int>, value array<float>").toArrow().combine_chunks()
+    table = rows.mapInArrow(run, "grade int, feature array<int>, value array<float>").toArrow()
     if not table.num_rows:
         return None
-    features = table["feature"].combine_chunks()
-    lists = features if isinstance(features, pa.ListArray) else pa.concat_arrays(features.chunks)
-    values = table["value"].combine_chunks()
-    values = values if isinstance(values, pa.ListArray) else pa.concat_arrays(values.chunks)
+    lists, values = (pa.concat_arrays(table[c].chunks) for c in ("feature", "value"))
     sizes = np.diff(np.asarray(lists.offsets))
-    grade = np.clip(table["grade"].to_numpy(), 0, grades - 1)
-    return fit(np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()).astype(np.int64), np.asarray(values.flatten()).astype(np.float64), grade, buckets, grades)
+    slots = np.asarray(lists.flatten())
+    used, compact = np.unique(slots, return_inverse=True)  # few of the slots have a feature
+    model = fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), compact.astype(np.int32), np.asarray(values.flatten()), table["grade"].to_numpy(), len(used), grades, np.array([sizes_by.get(g, 0) for g in range(grades)], dtype=np.float64))
+    live = model.weights != 0
+    return Model(model.weights[live], model.thresholds, used[live].astype(np.int64), buckets)
 
 
 def score_texts(texts, model: Model) -> np.ndarray:
     """P(grade >= k) for k = 1, 2, … of each text."""
-    doc, feature, value = _features(texts, len(model.weights), model.weights != 0)
-    s = np.bincount(doc, weights=value * model.weights[feature], minlength=len(texts))
+    wanted, weights = model.dense()
+    doc, feature, value = _features(texts, model.buckets, wanted)
+    s = np.bincount(doc, weights=value * weights[feature], minlength=len(texts))
     return 1.0 - _logistic(model.thresholds[None, :] - s[:, None])
 
 
