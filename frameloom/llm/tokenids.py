@@ -37,13 +37,14 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, array: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words, and how many each has.
 
         Of a byte-level tokenizer the words must start where a match always
         starts; others are kept apart by a space, which they drop.
         """
         glue = " " if self.spaced else ""
+        words, lengths = array.to_pylist(), pc.binary_length(array).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, counts = [], []
         for first in range(0, len(words), _JOINED):
             part = words[first : first + _JOINED]
@@ -55,7 +56,7 @@ class Encoder:
                     shown = ["".join(self.tokenizer.normalizer.normalize_str(w).split()) for w in part]
                 sizes = np.array([len(x.encode()) for x in shown], dtype=np.int64)
             else:
-                sizes = np.array([len(w.encode()) for w in part], dtype=np.int64)
+                sizes = lengths[first : first + _JOINED]
             ends = np.cumsum(self.width[ids])
             at = np.searchsorted(ends, np.cumsum(sizes), side="right")
             exact = len(ids) == 0 and not sizes.any() or len(ids) and ends[-1] == sizes.sum() and (ends[at[at > 0] - 1] == np.cumsum(sizes)[at > 0]).all()
@@ -75,6 +76,8 @@ def load(path: str) -> Encoder:
 
 
 _STARTS = re.compile(r"(?= \S)")
+#: Blanks that the pattern language's \s leaves out.
+_ODD_BLANKS = r"[\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def byte_level_units(texts) -> tc.Units:
@@ -101,23 +104,22 @@ def byte_level_units(texts) -> tc.Units:
 
 def encoded_units(encoder: Encoder, units: tc.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat ids of the distinct units, where each starts, and how many it has."""
-    listed = units.words.to_pylist()
     if encoder.spaced:
-        ids, counts = encoder.words(listed)
-    else:
-        regular = np.array([len(w) > 1 and w[0] == " " and not w[1:].isspace() and not w[1].isspace() and not w[-1].isspace() for w in listed], dtype=bool)
-        some = np.flatnonzero(regular)
-        rest = np.flatnonzero(~regular)
-        ids_a, n_a = encoder.words([listed[i] for i in some])
-        each = [encoder._ids(listed[i]) for i in rest]
-        counts = np.zeros(len(listed), dtype=np.int64)
-        counts[some], counts[rest] = n_a, [len(e) for e in each]
-        starts = np.cumsum(counts) - counts
-        ids = np.zeros(int(counts.sum()), dtype=np.uint32)
-        ids[tc.ranges(starts[some], n_a)] = ids_a
-        ids[tc.ranges(starts[rest], counts[rest])] = np.array([i for e in each for i in e], dtype=np.uint32)
-        return ids, starts, counts
-    return ids, np.cumsum(counts) - counts, counts
+        ids, counts = encoder.words(units.words)
+        return ids, np.cumsum(counts) - counts, counts
+    regular = pc.match_substring_regex(units.words, r"(?s)^ [^\s](.*[^\s])?$").to_numpy(zero_copy_only=False)
+    if len(units.words):  # other blanks than the pattern's are rare: those units are encoded alone
+        regular &= ~pc.match_substring_regex(units.words, _ODD_BLANKS).to_numpy(zero_copy_only=False)
+    some, rest = np.flatnonzero(regular), np.flatnonzero(~regular)
+    ids_a, n_a = encoder.words(units.words.take(pa.array(some)))
+    each = [encoder._ids(w) for w in units.words.take(pa.array(rest)).to_pylist()]
+    counts = np.zeros(len(units.words), dtype=np.int64)
+    counts[some], counts[rest] = n_a, [len(e) for e in each]
+    starts = np.cumsum(counts) - counts
+    ids = np.zeros(int(counts.sum()), dtype=np.uint32)
+    ids[tc.ranges(starts[some], n_a)] = ids_a
+    ids[tc.ranges(starts[rest], counts[rest])] = np.array([i for e in each for i in e], dtype=np.uint32)
+    return ids, starts, counts
 
 
 def encode(texts, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
