@@ -127,38 +127,50 @@ def _features(texts, buckets: int, wanted: np.ndarray | None = None) -> tuple[np
     return doc, feature, value
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 3e-4, rounds: int = 500) -> Model:
+def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 3e-4, rounds: int = 500) -> Model:
     """Proximal gradient descent with momentum on the penalised likelihood.
 
-    ``shares`` says how much each grade weighs in sum (default: as in the data).
-    Features count less the more documents have them, which speeds this up.
+    Document d has the features ``starts[d]`` to ``starts[d + 1]``. ``shares``
+    says how much each grade weighs in sum (default: as in the data). Features
+    count less the more documents have them, and each weight has its own rate:
+    the reciprocal of a bound of the curvature.
     """
     n = len(grade)
     freq = np.bincount(grade, minlength=grades)
     shares = freq / max(n, 1) if shares is None else np.where(freq > 0, shares, 0) / shares[freq > 0].sum()
     mass = (shares / np.maximum(freq, 1))[grade]
     rarity = np.log(n / np.maximum(np.bincount(feature, minlength=buckets), 1)) / np.log(max(n, 2)) + 0.02
-    value = value * rarity[feature]
-    order = np.argsort(doc, kind="stable")
-    doc, feature, value = doc[order], feature[order], value[order]
+    sizes = np.diff(starts)
+    cuts = [0, *np.searchsorted(starts, np.arange(1 << 20, max(int(starts[-1]), 1), 1 << 20)).tolist(), n]
+    blocks = [(a, b, slice(int(starts[a]), int(starts[b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+    def by_doc(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b, s in blocks:
+            out[a:b] = tc.segment_sums(value[s] * weights[feature[s]], starts[a:b] - starts[a], sizes[a:b])
+        return out
+
+    def by_feature(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(buckets)
+        for a, b, s in blocks:
+            out += np.bincount(feature[s], weights=value[s] * np.repeat(weights[a:b], sizes[a:b]), minlength=buckets)
+        return out * rarity
+
     w, t = np.zeros(buckets), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
-    # each weight has its own rate: the reciprocal of a bound of the curvature
-    reach = np.bincount(doc, weights=value, minlength=n)
-    rate = 1.0 / (np.bincount(feature, weights=value * (mass * reach)[doc], minlength=buckets) / 2 + 1e-9)
+    rate = 1.0 / (by_feature(mass * by_doc(rarity)) / 2 + 1e-9)
     w_prev, t_prev = w.copy(), t.copy()
     for r in range(rounds):
         k = r / (r + 3)
         wy, ty = w + k * (w - w_prev), np.sort(t + k * (t - t_prev))
-        s = np.bincount(doc, weights=value * wy[feature], minlength=n)
+        s = by_doc(wy * rarity)
         edges = np.concatenate([[-np.inf], ty, [np.inf]])
         hi, lo = _logistic(edges[grade + 1] - s), _logistic(edges[grade] - s)
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        ds = mass * (dhi - dlo) / p  # of the loss by the score
         dt = np.zeros(grades - 1)
         for j in range(grades - 1):
             dt[j] = -(mass * dhi / p)[grade == j].sum() + (mass * dlo / p)[grade == j + 1].sum()
-        step = wy - rate * np.bincount(feature, weights=value * ds[doc], minlength=buckets)
+        step = wy - rate * by_feature(mass * (dhi - dlo) / p)
         w_prev, t_prev = w, t
         w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
         t = np.sort(ty - 2 * dt)
@@ -210,10 +222,13 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int =
     if not table.num_rows:
         return None
     lists, values = (pa.concat_arrays(table[c].chunks) for c in ("feature", "value"))
-    sizes = np.diff(np.asarray(lists.offsets))
-    slots = np.asarray(lists.flatten())
-    used, compact = np.unique(slots, return_inverse=True)  # few of the slots have a feature
-    model = fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), compact.astype(np.int32), np.asarray(values.flatten()), table["grade"].to_numpy(), len(used), grades, np.array([sizes_by.get(g, 0) for g in range(grades)], dtype=np.float64))
+    starts = np.asarray(lists.offsets).astype(np.int64)
+    used = np.flatnonzero(wanted)  # few of the slots have a feature
+    place = np.zeros(buckets, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    grade, slots, values = table["grade"].to_numpy(), place[np.asarray(lists.flatten())], np.asarray(values.flatten())
+    del table, lists
+    model = fit(starts - starts[0], slots, values, grade, len(used), grades, np.array([sizes_by.get(g, 0) for g in range(grades)], dtype=np.float64))
     live = model.weights != 0
     return Model(model.weights[live], model.thresholds, used[live].astype(np.int64), buckets)
 

@@ -131,7 +131,19 @@ def encode(texts, path: str, end: int | None = None) -> tuple[np.ndarray, np.nda
     extra = int(end is not None)
     out = np.empty(int(sizes.sum()) + extra * len(sizes), dtype=np.uint32)
     firsts = np.cumsum(sizes + extra) - (sizes + extra)
-    out[tc.ranges(firsts, sizes)] = ids[tc.ranges(starts[units.codes], counts[units.codes])]
+    for a, b in _blocks(units.counts, 1 << 19):  # places of ids take much more room than ids
+        codes = units.codes[units.starts[a] : units.starts[b - 1] + units.counts[b - 1]]
+        out[tc.ranges(firsts[a:b], sizes[a:b])] = ids[tc.ranges(starts[codes], counts[codes])]
     if extra:
         out[firsts + sizes] = end
     return out, sizes + extra
+
+
+def _blocks(counts: np.ndarray, most: int):
+    """(first, end) of runs of documents with about ``most`` units."""
+    total, first = np.cumsum(counts), 0
+    while first < len(counts):
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield first, last
+        first = last
