@@ -34,12 +34,21 @@ def _bit_is_set(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False))
 
 
-def tested(rows: DataFrame, value: Column, bitmap: DataFrame, bits: int, probes: int) -> DataFrame:
-    """``rows`` with ``maybe``: false where the bitmap proves that the value is not in it."""
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name that is not taken, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def tested(rows: DataFrame, value: Column, bitmap: DataFrame, bits: int, probes: int, name: str = "maybe") -> DataFrame:
+    """``rows`` with a column ``name``: false where the bitmap proves that the value is not in it."""
     names = rows.columns
     maybe = F.lit(True)
     for k in range(probes):
-        part = F.broadcast(bitmap.where(F.col("k") == k).select(F.col("block").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
-        rows = rows.join(part, F.shiftright(probe(value, k, bits), 15) == F.col(f"_b{k}"), "left")
-        maybe = maybe & _bit_is_set(F.col(f"_m{k}"), probe(value, k, bits))
-    return rows.select(*[F.col(f"`{c}`") for c in names], maybe.alias("maybe"))
+        b, m = free_name(names, f"_block{k}"), free_name(names, f"_bitmap{k}")
+        part = F.broadcast(bitmap.where(F.col("k") == k).select(F.col("block").alias(b), F.col("bitmap").alias(m)))
+        rows = rows.join(part, F.shiftright(probe(value, k, bits), 15) == F.col(b), "left")
+        maybe = maybe & _bit_is_set(F.col(m), probe(value, k, bits))
+    return rows.select(*[F.col(f"`{c}`") for c in names], maybe.alias(name))

@@ -32,11 +32,6 @@ def _marked(digests: DataFrame, bits: int, probes: int) -> DataFrame:
     return bitmaps.from_positions(each.groupBy("k", "position").agg(F.count("*").alias("n")).where("n > 1"))
 
 
-def _tested(rows: DataFrame, marks: DataFrame, bits: int, probes: int) -> DataFrame:
-    """``rows`` with ``maybe``: false where no other row can have the digest."""
-    return bitmaps.tested(rows, F.col("text_sha256"), marks, bits, probes)
-
-
 def _digest(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
@@ -49,7 +44,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
     marks = written(_marked(digests, bits, probes), "bitmap")
-    tested = _tested(digests, marks, bits, probes)
+    tested = bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
     suspects = tested.where("maybe").drop("maybe")
     found = written(_found(suspects), "groups")
@@ -66,9 +61,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     """
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
     marks = written(_marked(digests, bits, probes), "bitmap")
-    staying = _found(_tested(digests, marks, bits, probes).where("maybe")).select(F.col("keep_id").alias(id_col))
-    rows = _tested(docs.withColumn("text_sha256", _digest(text_col)), marks, bits, probes) if "text_sha256" not in docs.columns else None
-    if rows is None:  # a column of that name is kept aside
-        return keep_one(docs.withColumnRenamed("text_sha256", "_own_sha256"), id_col, text_col, bits, probes).withColumnRenamed("_own_sha256", "text_sha256")
-    alone = rows.where("not maybe").select(docs.columns)
-    return alone.unionByName(rows.where("maybe").select(docs.columns).join(staying, id_col, "left_semi").select(docs.columns))
+    staying = _found(bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes).where("maybe")).select(F.col("keep_id").alias(id_col))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest, maybe = bitmaps.free_name(docs.columns, "_digest"), bitmaps.free_name(docs.columns, "_maybe")
+    rows = bitmaps.tested(docs.withColumn(digest, _digest(text_col)), F.col(digest), marks, bits, probes, maybe)
+    alone, unsure = rows.where(~F.col(maybe)).select(columns), rows.where(F.col(maybe)).select(columns)
+    return alone.unionByName(unsure.join(staying, id_col, "left_semi").select(columns))

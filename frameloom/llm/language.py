@@ -86,7 +86,7 @@ def _count_batches(batches, order: int):
                 where = np.flatnonzero(place >= max(k, 1))  # the leading blank is context only
                 grams, inverse = np.unique(_gram(stream, where, k), return_inverse=True)
                 counts = np.bincount(inverse, weights=weight[where]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(counts)], names=["lang", "k", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(counts)], names=["lang", "k", "gram", "n"])
 
 
 def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
@@ -155,8 +155,13 @@ def _cost(trees: Trees, grams: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def word_costs(words: pa.StringArray, trees: Trees) -> np.ndarray:
+def word_costs(words: pa.StringArray, trees: Trees, block: int = 1 << 15) -> np.ndarray:
     """Bits of each word for each language."""
+    parts = [_word_costs(words.slice(first, block), trees) for first in range(0, len(words), block)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(trees.languages)))
+
+
+def _word_costs(words: pa.StringArray, trees: Trees) -> np.ndarray:
     order = len(trees.grams) - 1
     stream, place, starts, n1 = _packed(words, order)
     bits = np.zeros((len(stream), len(trees.languages)))

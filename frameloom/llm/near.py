@@ -45,7 +45,7 @@ ID_BITS, ID_PROBES = 1 << 24, 2
 
 def _signed(batches, size: int, coordinates: int):
     for whole in batches:
-        for batch in tc.pieces_of(whole, "text", 12 << 20):
+        for batch in tc.pieces_of(whole, "text", 6 << 20):
             hashes, counts = shingles.shingle_sets(batch.column("text"), size)
             rows = shingles.signatures(hashes, counts, coordinates).view(np.int32)
             raw, ends = memoryview(hashes).cast("B"), np.cumsum(counts) * 8
@@ -59,7 +59,7 @@ def _signed(batches, size: int, coordinates: int):
 def _sets(batches, size: int):
     """Texts replaced by their packed sets."""
     for whole in batches:
-        for batch in tc.pieces_of(whole, "text", 12 << 20):
+        for batch in tc.pieces_of(whole, "text", 6 << 20):
             hashes, counts = shingles.shingle_sets(batch.column("text"), size)
             ends = np.cumsum(counts)
             packed = [blobs.pack_sorted(hashes[e - n : e]) for e, n in zip(ends, counts, strict=True)]
@@ -241,8 +241,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents, all columns, of which one of each group stays (the least id)."""
     gone = written(groups(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
     bitmap = written(bitmaps.from_positions(bitmaps.positions(gone, F.col("_gone"), ID_BITS, ID_PROBES).distinct()), "gone-bits")
-    rows = bitmaps.tested(docs, F.col(f"`{id_col}`").cast("bigint"), bitmap, ID_BITS, ID_PROBES)
-    stay = rows.where("not maybe").select([F.col(f"`{c}`") for c in docs.columns])
-    unsure = rows.where("maybe")
-    rest = unsure.join(gone, unsure[id_col].cast("bigint") == gone["_gone"], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = bitmaps.free_name(docs.columns, "_maybe")
+    rows = bitmaps.tested(docs, F.col(f"`{id_col}`").cast("bigint"), bitmap, ID_BITS, ID_PROBES, maybe)
+    stay, unsure = rows.where(~F.col(maybe)).select(columns), rows.where(F.col(maybe)).select(columns)
+    rest = unsure.join(gone, unsure[id_col].cast("bigint") == gone["_gone"], "left_anti").select(columns)
     return stay.unionByName(rest)
