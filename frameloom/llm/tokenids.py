@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from frameloom.llm import textcols as tc
 
 _JOINED = 512  # words in one string
+_UNEVEN = re.compile(r"[^\S ]|  |^ | $")
 
 
 class Encoder:
@@ -51,9 +52,10 @@ class Encoder:
             joined = glue.join(part)
             ids = np.array(self._ids(joined), dtype=np.int64)
             if self.spaced and not joined.isascii():
-                shown = self.tokenizer.normalizer.normalize_str(joined).split(" ")
-                if len(shown) != len(part):  # other blanks inside
+                if _UNEVEN.search(joined):  # other blanks than the glue, or empty words
                     shown = ["".join(self.tokenizer.normalizer.normalize_str(w).split()) for w in part]
+                else:
+                    shown = self.tokenizer.normalizer.normalize_str(joined).split(" ")
                 sizes = np.array([len(x.encode()) for x in shown], dtype=np.int64)
             else:
                 sizes = lengths[first : first + _JOINED]
