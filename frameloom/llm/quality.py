@@ -39,12 +39,12 @@ class Model:
     slots: np.ndarray | None = None  # the features that have a weight
     buckets: int = 0
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which features have a weight, and the weight of each (kept after the first call)."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which features have a weight, those useful for them, and each weight (kept after the first call)."""
         if "_dense" not in self.__dict__:
             weights = np.zeros(self.buckets, dtype=np.float32)
             weights[self.slots] = self.weights
-            self._dense = (weights != 0, weights)
+            self._dense = (weights != 0, _useful(weights != 0), weights)
         return self._dense
 
     def __getstate__(self):
@@ -91,15 +91,23 @@ def _often(slot: np.ndarray, buckets: int) -> np.ndarray:
     return (slot * 48271 + 11) % buckets
 
 
-def _features(texts, buckets: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, value) rows; only features in ``wanted`` (Boolean) if it is given."""
+def _useful(wanted: np.ndarray) -> np.ndarray:
+    """Features of a word that are wanted, or whose second occurrence is."""
+    out = wanted.copy()
+    for first in range(0, len(wanted), 1 << 18):
+        slots = np.arange(first, min(first + (1 << 18), len(wanted)))
+        out[slots] |= wanted[_often(slots, len(wanted))]
+    return out
+
+
+def _features(texts, buckets: int, wanted: np.ndarray | None = None, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, value) rows; only features in ``wanted`` (Boolean, with its ``useful``) if it is given."""
     import xxhash
 
     docs = tc.words(texts)
     parts, end = _slots(docs.words, buckets)
     repeat = xxhash.xxh3_64_intdigest(b"r") % buckets
-    if wanted is not None:
-        useful = wanted | wanted[_often(np.arange(buckets), buckets)]
+    if useful is not None:
         parts = np.where((parts >= 0) & useful[parts], parts, -1)
     owner = np.repeat(np.arange(len(docs.counts)), docs.counts)
     doc, feature, value = [], [], []
@@ -211,9 +219,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int =
 
     def run(batches):
         kept = np.unpackbits(shared.value).view(bool)
+        useful = _useful(kept)
         for whole in batches:
             for batch in tc.pieces_of(whole, "text", 4 << 20):
-                doc, feature, value = _features(batch.column("text"), buckets, kept)
+                doc, feature, value = _features(batch.column("text"), buckets, kept, useful)
                 order = np.argsort(doc, kind="stable")
                 offsets = pa.array(np.searchsorted(doc[order], np.arange(batch.num_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(offsets, pa.array(feature[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value[order].astype(np.float32)))], names=["grade", "feature", "value"])
@@ -235,8 +244,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int =
 
 def score_texts(texts, model: Model) -> np.ndarray:
     """P(grade >= k) for k = 1, 2, … of each text."""
-    wanted, weights = model.dense()
-    doc, feature, value = _features(texts, model.buckets, wanted)
+    wanted, useful, weights = model.dense()
+    doc, feature, value = _features(texts, model.buckets, wanted, useful)
     s = np.bincount(doc, weights=value * weights[feature], minlength=len(texts))
     return 1.0 - _logistic(model.thresholds[None, :] - s[:, None])
 

@@ -7,6 +7,7 @@ Arrow string array; nulls count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,3 +165,21 @@ def pieces_of(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
         last = max(first + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(first, last - first)
         first = last
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_TRIM = _trimmer()
