@@ -49,6 +49,6 @@ def mask_quality_score(terms: dict[str, Column], weights: dict[str, float]) -> C
     return total
 
 
-def record_status(score: Column) -> Column:
-    """accepted from .80, review from .65, uncertain from .45, else rejected."""
-    return F.when(score >= 0.80, "accepted").when(score >= 0.65, "review").when(score >= 0.45, "uncertain").otherwise("rejected")
+def record_status(score: Column, flagged: Column) -> Column:
+    """accepted from .80 and uncertain from .65 without flags; needs_vlm from .45; else rejected."""
+    return F.when(score < 0.45, "rejected").when(flagged | (score < 0.65), "needs_vlm").when(score >= 0.80, "accepted").otherwise("uncertain")

@@ -215,12 +215,12 @@ def box_moves(spark, sf_dir):
     f"""WITH {V.DET} SELECT det_id, CASE WHEN confidence >= .92 THEN 5 WHEN confidence >= .85 THEN 4 WHEN confidence >= .75 THEN 3 WHEN confidence >= .65 THEN 2 WHEN confidence >= .55 THEN 1 ELSE 0 END AS budget,
         CASE WHEN confidence >= .78 AND confidence / 4 >= .22 THEN 2 WHEN confidence >= .58 AND confidence / 4 >= .12 THEN 1 ELSE 0 END AS secondary,
         CASE WHEN confidence < .25 THEN 'low' WHEN confidence < .45 THEN 'medium' ELSE 'high' END AS tier,
-        CASE WHEN confidence >= .80 THEN 'accepted' WHEN confidence >= .65 THEN 'review' WHEN confidence >= .45 THEN 'uncertain' ELSE 'rejected' END AS status,
+        CASE WHEN confidence < .45 THEN 'rejected' WHEN det_id % 3 = 0 OR confidence < .65 THEN 'needs_vlm' WHEN confidence >= .80 THEN 'accepted' ELSE 'uncertain' END AS status,
         round(exp(-abs(confidence - .5) / .12), 6) AS depth_like FROM det""",
 )
 def score_steps(spark, sf_dir):
     c = F.col("confidence")
-    return V.detections(spark, sf_dir).select("det_id", S.recovery_budget(c).alias("budget"), S.secondary_budget(c, c / 4).alias("secondary"), S.tier(c).alias("tier"), S.record_status(c).alias("status"), F.round(S.depth_similarity(c, F.lit(0.5)), 6).alias("depth_like"))
+    return V.detections(spark, sf_dir).select("det_id", S.recovery_budget(c).alias("budget"), S.secondary_budget(c, c / 4).alias("secondary"), S.tier(c).alias("tier"), S.record_status(c, F.col("det_id") % 3 == 0).alias("status"), F.round(S.depth_similarity(c, F.lit(0.5)), 6).alias("depth_like"))
 
 
 @query(

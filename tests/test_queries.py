@@ -8,7 +8,7 @@ import math
 import duckdb
 import pytest
 
-from frameloom.plans import join_queries, review_queries, scalar_queries, stateful_queries, summary_queries  # noqa: F401
+from frameloom.plans import fusion_queries, join_queries, review_queries, scalar_queries, stateful_queries, summary_queries  # noqa: F401
 from frameloom.plans.catalog import REGISTRY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
