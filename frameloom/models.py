@@ -109,3 +109,40 @@ def capabilities(names: list[str]) -> list[tuple[str, str]]:
     from importlib.util import find_spec
 
     return [(n, "OK" if find_spec(n) else "missing") for n in names]
+
+
+_SEGMENTERS: dict[str, Callable[[pd.DataFrame], list]] = {}
+SEGMENTED = "det_id bigint, runs array<struct<s: bigint, n: bigint>>"
+
+
+def segmenter(name: str):
+    """Register a segmenter: rows with a box in, runs of pixels out (null without a mask)."""
+
+    def add(f):
+        _SEGMENTERS[name] = f
+        return f
+
+    return add
+
+
+@segmenter("none")
+def _no_masks(boxes: pd.DataFrame) -> list:
+    return [None] * len(boxes)
+
+
+@segmenter("box")
+def _box_masks(boxes: pd.DataFrame) -> list:
+    """The box itself, at the frame's width."""
+    return [[{"s": int(y) * int(b.width) + int(b.x1), "n": int(b.x2) - int(b.x1)} for y in range(int(b.y1), int(b.y2))] for b in boxes.itertuples()]
+
+
+def segmented(boxes: DataFrame, backend: str, default: str = "none", floor: float = 0.30) -> DataFrame:
+    """(det_id, runs) of boxes (det_id, x1 … y2, width, confidence); those below the floor are not given to the model."""
+    run = _SEGMENTERS.get(backend, _SEGMENTERS[default])
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"det_id": part["det_id"], "runs": run(part)})
+
+    return boxes.where(F.col("confidence") >= floor).mapInPandas(batches, SEGMENTED)

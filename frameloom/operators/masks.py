@@ -146,3 +146,113 @@ def filled(mask: np.ndarray, most: int | None = None) -> np.ndarray:
     if most is not None:
         hole &= sizes <= most
     return (mask | hole[labels]).astype(np.uint8)
+
+
+def outlines(mask: np.ndarray, most: int = 8) -> list[list[float]]:
+    """Outer outlines of a mask's parts as flat x y rings along pixel borders, the largest first."""
+    labels, n = components(mask)
+    rings = []
+    for part in range(1, n + 1):
+        cell = np.pad(labels == part, 1)
+        turns: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        ys, xs = np.nonzero(cell)
+        for y, x in zip(ys.tolist(), xs.tolist(), strict=True):  # borders, the part on the right hand
+            if not cell[y - 1, x]:
+                turns.setdefault((x - 1, y - 1), []).append((x, y - 1))
+            if not cell[y, x + 1]:
+                turns.setdefault((x, y - 1), []).append((x, y))
+            if not cell[y + 1, x]:
+                turns.setdefault((x, y), []).append((x - 1, y))
+            if not cell[y, x - 1]:
+                turns.setdefault((x - 1, y), []).append((x - 1, y - 1))
+        loops = []
+        while turns:
+            start = min(turns)
+            at, before, ring = start, None, []
+            while True:
+                ways = turns[at]
+                if before is not None and len(ways) > 1:  # where corners touch, keep to the left, so that the part stays whole
+                    dx, dy = at[0] - before[0], at[1] - before[1]
+                    ways.sort(key=lambda p: (p[0] - at[0]) * dy - (p[1] - at[1]) * dx)
+                nxt = ways.pop()
+                if not ways:
+                    del turns[at]
+                if before is None or (at[0] - before[0], at[1] - before[1]) != (nxt[0] - at[0], nxt[1] - at[1]):
+                    ring.append(at)
+                before, at = at, nxt
+                if at == start:
+                    break
+            loops.append(ring)
+        rings.append(max(loops, key=lambda r: abs(ring_area(r))))
+    rings.sort(key=lambda r: -abs(ring_area(r)))
+    return [[float(v) for point in r for v in point] for r in rings[:most]]
+
+
+def ring_area(ring) -> float:
+    """Signed area of (x, y) points."""
+    points = np.asarray(ring, dtype=np.float64).reshape(-1, 2)
+    x, y = points.T
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
+
+
+def tuned(mask: np.ndarray, grow: int) -> np.ndarray:
+    """Grown or (negative) shrunk by so many pixels."""
+    if not grow:
+        return (np.asarray(mask) > 0).astype(np.uint8)
+    size = 2 * abs(grow) + 1
+    return dilated(mask, size) if grow > 0 else (1 - dilated(1 - (np.asarray(mask) > 0), size)).astype(np.uint8)
+
+
+def smoothed(mask: np.ndarray, size: int = 3) -> np.ndarray:
+    """The majority of each square."""
+    half, m = size // 2, np.asarray(mask) > 0
+    padded = np.pad(m, half, mode="edge")
+    votes = sum(padded[dy : dy + m.shape[0], dx : dx + m.shape[1]].astype(np.int32) for dy in range(size) for dx in range(size))
+    return (2 * votes > size * size).astype(np.uint8)
+
+
+def refined(mask: np.ndarray, close: int = 5, smooth: int = 3, hole: int = 600) -> np.ndarray:
+    """Gaps closed, edges smoothed, small holes filled."""
+    return filled(smoothed(closed(mask, close), smooth), hole)
+
+
+def box_mask(bbox, height: int, width: int) -> np.ndarray:
+    x1, y1, x2, y2 = (int(v) for v in bbox)
+    out = np.zeros((height, width), np.uint8)
+    out[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)] = 1
+    return out
+
+
+def box_if_sparse(mask: np.ndarray, bbox, least: float = 0.05) -> np.ndarray:
+    """The box instead of a mask that fills too little of it."""
+    box = box_mask(bbox, *np.shape(mask))
+    return box if (np.asarray(mask) > 0).sum() < least * max(1, box.sum()) else (np.asarray(mask) > 0).astype(np.uint8)
+
+
+def uncovered(mask: np.ndarray) -> tuple[float, int]:
+    """Share of pixels that are not set, and the size of their largest part."""
+    empty = np.asarray(mask) == 0
+    labels, n = components(empty)
+    return float(empty.mean()) if empty.size else 0.0, int(np.bincount(labels[labels > 0]).max()) if n else 0
+
+
+def regions(classes: np.ndarray, probability: np.ndarray, names: list[str], least_area: float = 0.03, least_confidence: float = 0.35) -> list[tuple]:
+    """(label, pixels, mean probability, x1, y1, x2, y2) of each class of a map that is large and sure enough."""
+    out = []
+    for i, name in enumerate(names):
+        there = classes == i
+        n = int(there.sum())
+        if n < max(1, least_area * classes.size) or probability[there].mean() < least_confidence:
+            continue
+        ys, xs = np.nonzero(there)
+        out.append((name, n, float(probability[there].mean()), int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1))
+    return out
+
+
+def sample_points(mask: np.ndarray, most: int = 5) -> list[tuple[int, int]]:
+    """Set pixels spread evenly over the mask, in row order."""
+    ys, xs = np.nonzero(mask)
+    if not len(xs):
+        return []
+    at = np.unique(np.linspace(0, len(xs) - 1, min(most, len(xs))).round().astype(int))
+    return [(int(xs[i]), int(ys[i])) for i in at]

@@ -96,3 +96,20 @@ def display_color(label) -> object:
     digest = F.md5(label.cast("binary"))
     channel = lambda i: (F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") % 192 + 64).cast("int")
     return F.array(channel(0), channel(1), channel(2))
+
+
+def write_snapshot(instances: DataFrame, clusters: DataFrame, events: DataFrame, folder: str) -> None:
+    """Instances and clusters anew, events behind those that are there."""
+    instances.write.mode("overwrite").parquet(f"{folder}/instances")
+    clusters.orderBy("cluster_id").write.mode("overwrite").parquet(f"{folder}/clusters")
+    events.write.mode("append").json(f"{folder}/events")
+
+
+def packets(d: DataFrame, key: str) -> DataFrame:
+    """(key, packet): a JSON document for each row, for a reviewer."""
+    return d.select(key, F.to_json(F.struct(*[c for c in d.columns if c != key])).alias("packet"))
+
+
+def to_connector(d: DataFrame, send) -> None:
+    """Rows of each partition handed to ``send(rows)``, on the executors."""
+    d.foreachPartition(lambda rows: send(list(rows)))
