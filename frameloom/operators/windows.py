@@ -85,3 +85,16 @@ def motion_hold(d: DataFrame, value: str, threshold: float, stride: int, dense:
     held = F.max(F.when(F.col(value) > threshold, 1).otherwise(0)).over(w) == 1
     kept = d.withColumn("_held", held).where((F.col("frame_idx") % stride == 0) | (F.col("_held") & (F.col("frame_idx") % dense == 0)))
     return kept.withColumn("frame_id", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_idx")) - 1).drop("_held")
+
+
+def running_total(d: DataFrame, order: str, value: Column, name: str, span: int = 1 << 20) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``order`` (a whole number, without ties).
+
+    Two levels, so that no task sorts the table: sums inside ranges of ``order``,
+    and over the ranges' totals, of which there are few.
+    """
+    rows = d.withColumns({"_range": F.floor(F.col(order) / span), "_value": value})
+    totals = rows.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    before = totals.withColumn("_before", F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_total")
+    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(before, "_range").withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).drop("_range", "_value", "_inside", "_before")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import geometry as G
+from frameloom.operators.windows import running_total
 
 
 def append_jsonl(d: DataFrame, path: str) -> None:
@@ -31,9 +32,9 @@ def write_twins(parts: list[DataFrame], path: str) -> None:
 
 
 def numbered_by_first(d: DataFrame, key: list[str], position: str, name: str) -> DataFrame:
-    """One row per key with a number from 1, by first appearance."""
+    """One row per key with a number from 1, by first appearance (``position`` is a whole number)."""
     firsts = d.groupBy(*key).agg(F.min(position).alias("_first"))
-    return firsts.withColumn(name, F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    return running_total(firsts, "_first", F.lit(1), "_n").withColumn(name, F.col("_n") + 1).drop("_first", "_n")
 
 
 def coco_tables(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,8 +44,8 @@ def coco_tables(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = d.join(images, ["video_id", "frame_idx"]).join(F.broadcast(categories), "fine")  # one row for each label
     b = F.col("bbox")
     numbered = rows.withColumn("in_image", F.row_number().over(Window.partitionBy("image_id").orderBy("det_id")))
-    before = rows.groupBy("image_id").count().withColumn("before", F.sum("count").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)))
-    annotations = numbered.join(before, "image_id").select((F.coalesce("before", F.lit(0)) + F.col("in_image")).alias("id"), "image_id", "category_id", G.xywh(b).alias("bbox"), F.array(G.ring(b)).alias("segmentation"), G.area(b).alias("area"))
+    before = running_total(rows.groupBy("image_id").count(), "image_id", F.col("count"), "before").select("image_id", "before")
+    annotations = numbered.join(before, "image_id").select((F.col("before") + F.col("in_image")).alias("id"), "image_id", "category_id", G.xywh(b).alias("bbox"), F.array(G.ring(b)).alias("segmentation"), G.area(b).alias("area"))
     return images, categories, annotations
 
 

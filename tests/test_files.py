@@ -168,3 +168,14 @@ def test_taxonomies(spark):
 
 def test_reports(tmp_path):
     assert writers.summary_text({"a": 1}, "Run") == "Run\n- a: 1\n"
+
+
+def test_running_total(spark):
+    from frameloom.operators.windows import running_total
+
+    d = spark.range(1000).selectExpr("id * 7 as k", "id % 5 as v").orderBy(F.rand(1))
+    got = {r["k"]: r["t"] for r in running_total(d, "k", F.col("v"), "t", span=100).collect()}
+    total = 0
+    for i in range(1000):
+        assert got[i * 7] == total
+        total += i % 5
