@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star rounds: each node links its neighbours to
 the least of them, until every node points at its component's least node.
-Every round is two groupings with map-side minima and joins that AQE can split,
-and is written to the shared folder.
+Every round is two groupings with map-side minima and two joins in which the
+neighbours of nodes with a large share of all links stay where they are (see
+heavy_join), and is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.shared import removed, written
+from frameloom.llm.shared import heavy_join, removed, written
 
 
 def _linked_to_least(edges: DataFrame) -> DataFrame:
     """(v, m): each neighbour v of a node u, and the least m of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return edges.join(least, "u")
+    least = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    return heavy_join(edges, least, "u", "n").drop("n")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
