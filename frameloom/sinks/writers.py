@@ -21,6 +21,11 @@ def write_jsonl(d: DataFrame, path: str) -> None:
     d.write.mode("overwrite").json(path)
 
 
+def without_rasters(d: DataFrame, columns: tuple[str, ...] = ("mask", "image", "depth")) -> DataFrame:
+    """The table without columns of pixels."""
+    return d.drop(*columns)
+
+
 def write_twins(parts: list[DataFrame], path: str) -> None:
     """The union of tables, columns in order of first appearance, as CSV (nested values as JSON) and as Parquet."""
     rows = parts[0]

@@ -45,6 +45,19 @@ def table(spark: SparkSession, path: str) -> DataFrame:
         return csv(spark, path.removesuffix(".parquet") + ".csv")
 
 
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a table; of Parquet from its footers alone."""
+    if not path.endswith(".parquet"):
+        return csv(spark, path).count()
+    key = "spark.sql.parquet.aggregatePushdown"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return table(spark, path).count()
+    finally:
+        spark.conf.set(key, old)
+
+
 def frames(spark: SparkSession, path: str, schema: str, stride: int = 1, start: float | None = None, end: float | None = None, most: int | None = None) -> DataFrame:
     """Frame rows of the stride and the time range, at most so many in order of video and frame."""
     d = spark.read.schema(schema).parquet(path).where(F.col("frame_index") % stride == 0)

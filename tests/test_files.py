@@ -36,6 +36,8 @@ def test_twin_files_and_fallback(spark, tmp_path):
     flat = readers.csv(spark, str(tmp_path / "t.csv")).orderBy("id").collect()
     assert flat[0]["box"] == "[1.0,2.0]" and flat[1]["extra"] == "x"
     assert readers.table(spark, str(tmp_path / "t.csv")).count() == 2
+    assert readers.row_count(spark, str(tmp_path / "t.parquet")) == readers.row_count(spark, str(tmp_path / "t.csv")) == 2
+    assert writers.without_rasters(a.withColumn("mask", F.lit(1))).columns == ["id", "box"]
     (tmp_path / "only.csv").write_text("id\n7\n")
     assert readers.table(spark, str(tmp_path / "only.parquet")).first()["id"] == "7"
 
