@@ -1,7 +1,7 @@
 """Fixed-size Bloom bitmaps in DataFrame operations only.
 
-A bitmap is a table of at most ``probes * bits / 32768`` rows of 4096 bytes, so
-its broadcast has a bound that does not depend on the data. Where it fills up,
+A bitmap is a table of at most ``probes * bits / 32768`` rows of 4096 bytes, and
+has at most MOST_BITS bits, so its broadcast has a bound. Where it fills up,
 more rows are let through; rows that belong are never turned away.
 """
 
@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 8 * 4096  # bits of one value of bitmap_construct_agg
 
 
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bits_for(rows: int) -> int:
+    """Eight bits a row, as a power of two between 2^20 and 2^28 (32 MB a probe to broadcast)."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(8 * rows - 1, 1).bit_length()))
+
+
 def probe(value: Column, k: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(value, F.lit(k)), F.lit(bits))
 

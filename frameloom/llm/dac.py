@@ -13,7 +13,8 @@ by Spark's committer, so a lost executor leaves no half files), dealt by ranges
 of the id; a file knows where it starts in its range.
 
 Cases: null and empty texts are the end id alone; documents with one id lie one
-behind the other, ordered by their text's hash; extra columns are ignored; an
+behind the other, ordered by their text's hash, those without an id before all
+others; extra columns are ignored; an
 empty table gives an empty result. Ids of documents are whole numbers.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import textcols as tc
 from frameloom.llm import tokenids
-from frameloom.llm.shared import tasks_for, written
+from frameloom.llm.shared import id_array, id_column, tasks_for, written
 
 MAGIC = b"DACF"
 VERSION = 1
@@ -133,7 +134,7 @@ def _files(batches, path: str, end: int, bits: int, most_ids: int):
             if not batch.num_rows:
                 continue
             got, n = tokenids.encode(batch.column("text"), path, end)
-            docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+            docs.append(id_array(batch.column("doc_id")))
             sizes.append(n)
             ids.append(got)
             if sum(len(x) for x in ids) >= most_ids:
@@ -168,6 +169,6 @@ def read(files: DataFrame) -> DataFrame:
                 view = memoryview(np.ascontiguousarray(file.levels.all(), dtype="<u4")).cast("B")
                 at = file.starts.tolist()
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids), pa.array(base[part] + start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([id_column(file.doc_ids), pa.array(base[part] + start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("part", "part_start", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

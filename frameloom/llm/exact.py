@@ -2,8 +2,9 @@
 
 Pass one turns every text's hash into ``probes`` positions of a bitmap and
 marks the positions hit twice or more; the positions are counted before they
-are shuffled. The bitmap has a fixed number of bits, so the broadcast table of
-its blocks never exceeds ``bits / 8`` bytes. Pass two tests each row: a row one
+are shuffled. The bitmap has ``bits`` bits (eight a row by
+default, 2^28 at most), so the broadcast table of its blocks never exceeds
+``probes * bits / 8`` bytes. Pass two tests each row: a row one
 of whose positions was hit once has no equal and passes straight through;
 only the others (repeats and the filter's false positives) shuffle, as id and
 digest, never as text. A fuller filter lets more rows shuffle but never changes
@@ -14,7 +15,8 @@ Groups of at least one ``1/heavy`` of the shuffled rows number at most
 
 Texts are equal when their UTF-8 bytes are (compared by SHA-256); null counts
 as empty. Of equal texts the row with the largest id stays. Repeated rows with
-one id count singly. An empty table gives an empty result.
+one id count singly and stay together. A row without an id stays only where no
+equal one has an id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ def _found(suspects: DataFrame) -> DataFrame:
     return suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 24, probes: int = 2, heavy: int = 1024) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 2, heavy: int = 1024) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
+    bits = bits or bitmaps.bits_for(digests.count())
     marks = written(_marked(digests, bits, probes), "bitmap")
     tested = bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
@@ -50,20 +53,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     found = written(_found(suspects), "groups")
     shared = heavy_join(suspects, found, "text_sha256", "group_size", heavy).select("doc_id", "keep_id", "group_size", "text_sha256")
     out = alone.unionByName(shared)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 24, probes: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 2) -> DataFrame:
     """The documents, all columns, without the rows that an equal text with a larger id replaces.
 
     Rows that the filter clears pass without a shuffle; only the others meet
-    the ids that stay, by id, so that no large group lands in one task.
+    what stays, by digest and id, so that no large group lands in one task.
     """
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
+    bits = bits or bitmaps.bits_for(digests.count())
     marks = written(_marked(digests, bits, probes), "bitmap")
-    staying = _found(bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes).where("maybe")).select(F.col("keep_id").alias(id_col))
+    staying = _found(bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes).where("maybe")).select(F.col("text_sha256").alias("_d"), F.col("keep_id").alias("_keep"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     digest, maybe = bitmaps.free_name(docs.columns, "_digest"), bitmaps.free_name(docs.columns, "_maybe")
     rows = bitmaps.tested(docs.withColumn(digest, _digest(text_col)), F.col(digest), marks, bits, probes, maybe)
-    alone, unsure = rows.where(~F.col(maybe)).select(columns), rows.where(F.col(maybe)).select(columns)
-    return alone.unionByName(unsure.join(staying, id_col, "left_semi").select(columns))
+    alone, unsure = rows.where(~F.col(maybe)), rows.where(F.col(maybe))
+    stay = unsure.join(staying, (unsure[digest] == staying["_d"]) & unsure[id_col].eqNullSafe(staying["_keep"]), "left_semi")
+    return alone.select(columns).unionByName(stay.select(columns))

@@ -23,7 +23,8 @@ with a probability of 3e-7, and less above.
 Cases: documents without words (null, empty, blank) have an empty set and are
 linked with nothing; fewer words than a shingle has are one shingle. Equal
 texts link. Repeated rows with one id share their result. Extra columns are
-ignored; an empty table gives an empty result. Ids are whole numbers.
+ignored; an empty table gives an empty result. Ids are whole numbers; a row
+without one is linked only with rows of equal sets, and keep_one() keeps it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from frameloom.llm import textcols as tc
 from frameloom.llm.components import components
 from frameloom.llm.shared import heavy_join, written
 
-ID_BITS, ID_PROBES = 1 << 24, 2
+ID_PROBES = 2
 
 
 def _signed(batches, size: int, coordinates: int):
@@ -217,9 +218,10 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size:
     cand = written(cand.select("doc_id", "component", "prefix", "sig", "n_shingles"), "candidates")
     blocks = cand.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("members"))
     placed = heavy_join(cand, written(blocks, "blocks"), "component", "members").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    wanted = bitmaps.from_positions(bitmaps.positions(cand, F.col("doc_id"), ID_BITS, ID_PROBES).distinct())
+    bits = bitmaps.bits_for(cand.count())
+    wanted = bitmaps.from_positions(bitmaps.positions(cand, F.col("doc_id"), bits, ID_PROBES).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = bitmaps.tested(texts, F.col("doc_id"), written(wanted, "wanted"), ID_BITS, ID_PROBES).where("maybe").drop("maybe")
+    texts = bitmaps.tested(texts, F.col("doc_id"), written(wanted, "wanted"), bits, ID_PROBES).where("maybe").drop("maybe")
     sets = texts.mapInArrow(lambda b: _sets(b, size), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
     keyed = placed.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "prefix", "sig", "shingles")
@@ -234,16 +236,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     named = classes.select("set_key", "doc_id", "members").join(found, classes["doc_id"] == found["node"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "members")
     full = heavy_join(table.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), written(named, "named"), "set_key", "members").select("doc_id", "n_shingles", "component_id")
     empty = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, of which one of each group stays (the least id)."""
     gone = written(groups(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    bitmap = written(bitmaps.from_positions(bitmaps.positions(gone, F.col("_gone"), ID_BITS, ID_PROBES).distinct()), "gone-bits")
+    bits = bitmaps.bits_for(gone.count())
+    bitmap = written(bitmaps.from_positions(bitmaps.positions(gone, F.col("_gone"), bits, ID_PROBES).distinct()), "gone-bits")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     maybe = bitmaps.free_name(docs.columns, "_maybe")
-    rows = bitmaps.tested(docs, F.col(f"`{id_col}`").cast("bigint"), bitmap, ID_BITS, ID_PROBES, maybe)
+    rows = bitmaps.tested(docs, F.col(f"`{id_col}`").cast("bigint"), bitmap, bits, ID_PROBES, maybe)
     stay, unsure = rows.where(~F.col(maybe)).select(columns), rows.where(F.col(maybe)).select(columns)
     rest = unsure.join(gone, unsure[id_col].cast("bigint") == gone["_gone"], "left_anti").select(columns)
     return stay.unionByName(rest)

@@ -21,7 +21,7 @@ stands, texts never shuffle, and no task holds more than a block or a range.
 
 Cases: a null or empty text is the end token alone. Words differ by their bytes
 after A-Z are made small. With no training documents every count is 0, both
-scores are those of p = 1. Extra columns and repeated rows do no harm (each row
+scores are those of p = 1. Documents without an id are learned from. Extra columns and repeated rows do no harm (each row
 is a document of its own); an empty table gives an empty result.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import blobs
 from frameloom.llm import textcols as tc
-from frameloom.llm.shared import removed, tasks_for, written
+from frameloom.llm.shared import id_array, id_column, removed, tasks_for, written
 
 LEVELS = 48  # buckets of context frequency: none, then one for each power of two
 GRID = 4  # steps of the grid of estimates for each factor of two
@@ -103,7 +103,7 @@ def _blocks(batches, ranges: int):
                 continue
             known, codes, counts = _stream(tc.words(batch.column("text")))
             parts = batch.column("part").to_numpy(zero_copy_only=False)
-            ids = np.asarray(batch.column("doc_id").cast(pa.int64())).astype(np.int64)
+            ids = np.ascontiguousarray(id_array(batch.column("doc_id")))
             by_token = np.repeat(parts, counts)
             asked = [(known, *_counts(codes, by_token, len(known)))]
             grams, inverse = np.unique(_pairs(known, codes, counts), return_inverse=True)
@@ -235,7 +235,7 @@ def _scores(batches, total: dict, mixture: np.ndarray):
             sums = [tc.segment_sums(x, starts, block.counts) for x in ((c > 0).astype(np.int64), base, model)]
             n = len(block.ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids), pa.array(block.parts == OTHER), pa.array(block.counts), pa.array(sums[0]), pa.array(np.full(n, total["n"], np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                [id_column(block.ids), pa.array(block.parts == OTHER), pa.array(block.counts), pa.array(sums[0]), pa.array(np.full(n, total["n"], np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

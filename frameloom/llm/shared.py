@@ -10,6 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,21 @@ def tasks_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Stands for a missing id in arrays of ids.
+NO_ID = -(2**63)
+
+
+def id_array(column) -> np.ndarray:
+    """Ids of an Arrow column as 64-bit numbers, missing ones as NO_ID."""
+    return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+
+
+def id_column(ids: np.ndarray) -> pa.Array:
+    """The reverse of id_array()."""
+    ids = np.asarray(ids, dtype=np.int64)
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def only(docs: DataFrame, **wanted: str) -> DataFrame:
     """The columns an operator reads, under its own names (extra columns go).
 

@@ -33,3 +33,10 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def nothing(odd):
     return odd.limit(0)
+
+
+@pytest.fixture(scope="session")
+def without_ids(spark):
+    """Some rows have no id."""
+    rows = [(None, "the cat sat on the mat"), (1, "the cat sat on the mat"), (None, "all alone here"), (None, None), (2, "another text of some words")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")

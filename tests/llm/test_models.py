@@ -165,3 +165,28 @@ def test_quality_cases(odd, nothing, spark):
     assert {(r["expected_grade"], r["selected"]) for r in quality.score(odd, none).collect()} == {(None, True)}
     assert quality.keep_good(odd, none).count() == odd.count()
     assert quality.train(nothing, ratings) is None
+
+
+def test_rows_without_ids(without_ids, spark):
+    from frameloom.llm import dac, exact, isomedia, near, packing, sentencepieces, viterbi
+    from tests.llm.test_tokens import BYTES, PIECES, WORDS
+
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=lambda x: (x is not None, x or 0))
+    all_ids = [None, None, None, 1, 2]
+    for df in (
+        sentencepieces.round_trip(without_ids, PIECES),
+        language.identify(without_ids, language.train(without_ids.withColumn("lang", F.lit("en")))),
+        viterbi.count_tokens(without_ids, PIECES),
+        ngrams.score(without_ids, F.col("doc_id") == 2, F.lit(False)),
+        near.groups(without_ids),
+        exact.groups(without_ids),
+        quality.score(without_ids, None),
+        packing.pack(without_ids, WORDS),
+        dac.read(dac.write(without_ids, BYTES)),
+        isomedia.digests(without_ids),
+    ):
+        assert ids(df) == all_ids
+    assert ids(exact.keep_one(without_ids)) == [None, None, 1, 2]
+    assert ids(near.keep_one(without_ids)) == all_ids
+    dropped = {(r["doc_id"], r["kept"]) for r in exact.groups(without_ids).collect()}
+    assert (1, True) in dropped and (2, True) in dropped and (None, True) in dropped and (None, False) in dropped
