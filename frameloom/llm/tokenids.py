@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from frameloom.llm import textcols as tc
 
 _JOINED = 512  # words in one string
+KEPT_WORDS = 800_000  # words whose ids a worker keeps
 _UNEVEN = re.compile(r"[^\S ]|  |^ | $")
 
 
@@ -35,6 +36,12 @@ class Encoder:
         for token, i in vocabulary.items():
             self.width[i] = len(token.removesuffix(suffix) if suffix else token)
 
+        self.forget()
+
+    def forget(self) -> None:
+        """Nothing is kept: words, ids, where each word's start, and how many it has."""
+        self.kept = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -104,23 +111,49 @@ def byte_level_units(texts) -> tc.Units:
     return tc.with_special(tc.Units(both, codes, fast.starts, fast.counts), special, lists)
 
 
-def encoded_units(encoder: Encoder, units: tc.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids of the distinct units, where each starts, and how many it has."""
+def _encoded(encoder: Encoder, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of distinct units, and how many each has."""
     if encoder.spaced:
-        ids, counts = encoder.words(units.words)
-        return ids, np.cumsum(counts) - counts, counts
-    regular = pc.match_substring_regex(units.words, r"(?s)^ [^\s](.*[^\s])?$").to_numpy(zero_copy_only=False)
-    if len(units.words):  # other blanks than the pattern's are rare: those units are encoded alone
-        regular &= ~pc.match_substring_regex(units.words, _ODD_BLANKS).to_numpy(zero_copy_only=False)
+        return encoder.words(words)
+    regular = pc.match_substring_regex(words, r"(?s)^ [^\s](.*[^\s])?$").to_numpy(zero_copy_only=False)
+    if len(words):  # other blanks than the pattern's are rare: those units are encoded alone
+        regular &= ~pc.match_substring_regex(words, _ODD_BLANKS).to_numpy(zero_copy_only=False)
     some, rest = np.flatnonzero(regular), np.flatnonzero(~regular)
-    ids_a, n_a = encoder.words(units.words.take(pa.array(some)))
-    each = [encoder._ids(w) for w in units.words.take(pa.array(rest)).to_pylist()]
-    counts = np.zeros(len(units.words), dtype=np.int64)
+    ids_a, n_a = encoder.words(words.take(pa.array(some)))
+    each = [encoder._ids(w) for w in words.take(pa.array(rest)).to_pylist()]
+    counts = np.zeros(len(words), dtype=np.int64)
     counts[some], counts[rest] = n_a, [len(e) for e in each]
     starts = np.cumsum(counts) - counts
     ids = np.zeros(int(counts.sum()), dtype=np.uint32)
     ids[tc.ranges(starts[some], n_a)] = ids_a
     ids[tc.ranges(starts[rest], counts[rest])] = np.array([i for e in each for i in e], dtype=np.uint32)
+    return ids, counts
+
+
+def encoded_units(encoder: Encoder, units: tc.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in which every distinct unit's lie, where each starts, and how many it has.
+
+    Units that the worker has met lately are not encoded again; what it keeps
+    is bounded by KEPT_WORDS.
+    """
+    known, known_ids, known_starts, known_counts = encoder.kept
+    place = pc.index_in(units.words, known) if len(known) else pa.nulls(len(units.words), pa.int32())
+    new = place.is_null().to_numpy(zero_copy_only=False)
+    at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)
+    fresh = units.words.filter(pa.array(new))
+    fresh_ids, fresh_counts = _encoded(encoder, fresh)
+    starts, counts = np.zeros(len(new), dtype=np.int64), np.zeros(len(new), dtype=np.int64)
+    if len(known):
+        starts[~new], counts[~new] = known_starts[at[~new]], known_counts[at[~new]]
+    fresh_starts = len(known_ids) + np.cumsum(fresh_counts) - fresh_counts
+    starts[new], counts[new] = fresh_starts, fresh_counts
+    ids = np.concatenate([known_ids, fresh_ids])
+    if len(known) + len(fresh) <= KEPT_WORDS:
+        encoder.kept = (pa.concat_arrays([known, fresh]), ids, np.r_[known_starts, fresh_starts], np.r_[known_counts, fresh_counts])
+    elif len(new) <= KEPT_WORDS:  # begin anew with this batch
+        encoder.kept = (pa.concat_arrays([units.words]), ids[tc.ranges(starts, counts)], np.cumsum(counts) - counts, counts)
+    else:
+        encoder.forget()
     return ids, starts, counts
 
 

@@ -104,6 +104,19 @@ def test_ids_equal_the_tokenizer(path):
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == want
 
 
+@pytest.mark.parametrize("kept", [0, 30, 200, 10**6])
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_kept_words_change_nothing(path, kept, monkeypatch):
+    monkeypatch.setattr(tokenids, "KEPT_WORDS", kept)
+    tokenids.load(path).forget()
+    t = tokenizer(path)
+    for seed in range(6):
+        texts = scrambled(60, seed) + TEXTS[:10]
+        ids, sizes = tokenids.encode(pa.array(texts), path)
+        assert ids.tolist() == [i for e in t.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+        assert len(tokenids.load(path).kept[0]) <= kept
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(ALPHABET, min_size=1, max_size=4))
 def test_ids_equal_the_tokenizer_on_any_text(texts):
