@@ -126,14 +126,13 @@ def event_candidates(spark, sf_dir):
 @query(
     "M01 M02 F12 X10",
     f"""WITH {V.DET}, p AS (SELECT a.det_id AS a_id, b.det_id AS b_id, {V.sql_intersection("a.", "b.")} AS i, {V.sql_area("a.")} AS aa, {V.sql_area("b.")} AS ba FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id < b.det_id WHERE a.frame_idx % 5 = 0)
-    SELECT a_id, b_id, CAST(i AS BIGINT) AS common, round(i / (aa + ba - i), 6) AS iou FROM p""",
+    SELECT a_id, b_id, CAST(i AS BIGINT) AS common, round(i / (aa + ba - i), 6) AS iou FROM p WHERE i > 0""",
 )
 def mask_overlaps(spark, sf_dir):
     from frameloom.operators import joins
 
-    d = V.detections(spark, sf_dir).where("frame_idx % 5 = 0").withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W)).select("det_id", "video_id", "frame_idx", "runs")
-    a, b = F.col("a.runs"), F.col("b.runs")
-    return joins.frame_pairs(d).select(F.col("a.det_id").alias("a_id"), F.col("b.det_id").alias("b_id"), masks.intersection(a, b).alias("common"), R(masks.iou(a, b)).alias("iou"))
+    d = V.detections(spark, sf_dir).where("frame_idx % 5 = 0").withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W))
+    return joins.mask_pairs(d, V.FRAME_W).withColumn("iou", R(F.col("iou")))
 
 
 @query(

@@ -98,3 +98,17 @@ def test_snapshots_and_packets(spark, tmp_path):
     writers.to_connector(spark.range(10), lambda rows: seen.add(len(rows)))
     assert seen.value == 10
     assert writers.newest(one.select(F.col("name")), "name", 0).count() == 1
+
+
+def test_mask_pairs_equal_the_pixels(spark):
+    from frameloom.operators.joins import mask_pairs
+
+    r = np.random.default_rng(5)
+    shapes = [(r.random((6, 11)) < 0.5).astype(np.uint8) for _ in range(6)]
+    rows = [(0, i % 2, i, [(s, n) for s, n in masks.encode(m)]) for i, m in enumerate(shapes)]  # runs go across rows
+    d = spark.createDataFrame(rows, "video_id int, frame_idx int, det_id int, runs array<struct<s: bigint, n: bigint>>")
+    got = {(x["a_id"], x["b_id"]): (x["common"], round(x["iou"], 9)) for x in mask_pairs(d, 11).collect()}
+    want = {(i, j): (int((shapes[i] & shapes[j]).sum()), round((shapes[i] & shapes[j]).sum() / (shapes[i] | shapes[j]).sum(), 9)) for i in range(6) for j in range(i + 1, 6) if i % 2 == j % 2 and (shapes[i] & shapes[j]).any()}
+    assert got == want
+    exact = d.alias("a").join(d.alias("b"), F.expr("a.det_id < b.det_id and a.frame_idx = b.frame_idx")).select(F.col("a.det_id").alias("p"), F.col("b.det_id").alias("q"), masks.intersection(F.col("a.runs"), F.col("b.runs")).alias("n"))
+    assert {(x["p"], x["q"]): x["n"] for x in exact.collect() if x["n"]} == {k: v[0] for k, v in want.items()}
