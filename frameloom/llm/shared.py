@@ -29,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WRITTEN: list[str] = []  # tables of this process
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote; for after their results have been stored elsewhere."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the reread table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -154,3 +154,13 @@ def test_heavy_join_is_an_inner_join(spark):
     groups = shared.written(rows.groupBy("key").count().withColumnRenamed("count", "n"), "t")
     got = shared.heavy_join(rows, groups, "key", "n", heavy=4)
     assert got.count() == 200 and got.where("key = 'hot'").select("n").distinct().count() == 1
+
+
+def test_written_tables_can_be_cleared(spark):
+    table = shared.written(spark.range(5), "t")
+    assert table.count() == 5
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    from pathlib import Path
+
+    assert Path(folder).exists() and shared.clear(spark) > 0 and not Path(folder).exists()
+    assert shared.clear(spark) == 0
