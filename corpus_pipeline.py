@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next one's documents. All but the last return the
-columns of ``documents``.
+columns of ``documents``. Stages that run Python bound the session's Arrow
+batches by bytes.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm import exact, language, near, packing, quality
-from frameloom.llm.shared import fold, written
+from frameloom.llm.shared import bounded_batches, fold, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no clear language, go."""
+    bounded_batches(spark)
     return language.keep_known(docs, language.train(docs, only_where=fold("doc_id", 5) != 0))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are toxic or of low quality go."""
+    bounded_batches(spark)
     ratings = quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, quality.train(docs, ratings))
 
@@ -31,11 +34,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    bounded_batches(spark)
     return near.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
