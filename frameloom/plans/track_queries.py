@@ -75,7 +75,7 @@ def cached_masks(spark, sf_dir):
     f"""WITH {V.DET} SELECT det_id, CAST({V.sql_area("")} AS BIGINT) AS pixels FROM det WHERE confidence >= 0.30 AND det_id % 10 = 0""",
 )
 def segmented_boxes(spark, sf_dir):
-    d = V.detections(spark, sf_dir).where("det_id % 10 = 0").select("det_id", "confidence", "bbox.*", F.lit(V.FRAME_W).alias("width"))
+    d = V.detections(spark, sf_dir).select("det_id", "confidence", "bbox.*", F.lit(V.FRAME_W).alias("width"))
     return models.segmented(d, "box").select("det_id", masks.area(F.col("runs")).alias("pixels"))
 
 
@@ -92,5 +92,5 @@ def class_map_regions(spark, sf_dir):
                     out.append((i, label, n, p, len(masks.outlines(mask)), len(masks.sample_points(mask)), x1, y1, x2, y2))
             yield pd.DataFrame(out, columns=["det_id", "label", "pixels", "probability", "rings", "points", "x1", "y1", "x2", "y2"])
 
-    d = V.detections(spark, sf_dir).where("det_id % 50 = 0").select("det_id")
+    d = V.detections(spark, sf_dir).select("det_id")
     return d.mapInPandas(run, "det_id bigint, label string, pixels bigint, probability double, rings int, points int, x1 int, y1 int, x2 int, y2 int")
