@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,15 @@ def taxonomy_name(d: DataFrame, names: DataFrame) -> DataFrame:
     return rows.withColumn("fine", F.coalesce(F.get(F.filter("_p", lambda x: x["n"] == raw), 0)["n"], F.get(F.filter("_p", lambda x: F.contains(raw, x["n"])), 0)["n"])).drop("_p")
 
 
-def from_model(raw: DataFrame, threshold: float, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
+def from_model(raw: DataFrame, threshold: float, scale_x: float = 1.0, scale_y: float = 1.0, keys: Sequence[str] = ("frame_idx",)) -> DataFrame:
     """Model output above the threshold, labels normalised, boxes back in frame pixels."""
     kept = raw.where(F.col("score") >= threshold)
-    return kept.select("frame_idx", "seq", L.normalize(F.col("phrase")).alias("label"), G.restored(F.col("bbox"), F.lit(scale_x), F.lit(scale_y)).alias("bbox"), F.col("score").alias("confidence"))
+    return kept.select(*keys, "seq", L.normalize(F.col("phrase")).alias("label"), G.restored(F.col("bbox"), F.lit(scale_x), F.lit(scale_y)).alias("bbox"), F.col("score").alias("confidence"))
 
 
-def frames_with_candidates(frames: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Every requested frame with its k best candidates; a frame without any has one row of nulls."""
+def frames_with_candidates(frames: DataFrame, candidates: DataFrame, k: int, keys: Sequence[str] = ("frame_idx",)) -> DataFrame:
+    """Every requested frame (by ``keys``) with its k best candidates; a frame without any has one row of nulls."""
     from frameloom.operators.topk import per_group
 
-    best = per_group(candidates, ["frame_idx"], [F.col("score").desc(), F.col("seq")], k)
-    return frames.join(best, "frame_idx", "left")
+    best = per_group(candidates, list(keys), [F.col("score").desc(), F.col("seq")], k)
+    return frames.join(best, list(keys), "left")

@@ -203,10 +203,11 @@ def taxonomy_names(spark, sf_dir):
     SELECT f.i AS frame_idx, r.seq, r.label, r.left_, r.rank FROM (SELECT CAST(range AS BIGINT) AS i FROM range(20)) f LEFT JOIN r ON r.frame_idx = f.i AND r.rank <= 2""",
 )
 def raw_candidates(spark, sf_dir):
-    raw = V.detections(spark, sf_dir).where("video_id = 0").select("frame_idx", F.col("det_id").alias("seq"), F.col("raw_label").alias("phrase"), "bbox", F.col("confidence").alias("score"))
-    found = prompts.from_model(raw, 0.9, 0.5, 0.5).withColumn("score", F.col("confidence"))
-    out = prompts.frames_with_candidates(spark.range(20).select(F.col("id").alias("frame_idx")), found, 2)
-    return out.select("frame_idx", "seq", "label", F.col("bbox.x1").alias("left_"), "rank")
+    d = V.detections(spark, sf_dir)
+    raw = d.select("video_id", "frame_idx", F.col("det_id").alias("seq"), F.col("raw_label").alias("phrase"), "bbox", F.col("confidence").alias("score"))
+    found = prompts.from_model(raw, 0.9, 0.5, 0.5, ["video_id", "frame_idx"]).withColumn("score", F.col("confidence"))
+    out = prompts.frames_with_candidates(d.select("video_id", "frame_idx").distinct(), found, 2, ["video_id", "frame_idx"])
+    return out.select("video_id", "frame_idx", "seq", "label", F.col("bbox.x1").alias("left_"), "rank")
 
 
 @query(

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from frameloom.plans import fusion_queries, join_queries, review_queries, stateful_queries, track_queries  # noqa: F401
+from frameloom.plans import views as V
 from frameloom.plans.catalog import REGISTRY
 
 
@@ -40,3 +41,21 @@ def test_class_map_regions_take_every_detection(spark, duck, small):
     for label, pixels in {"wall": (30 - right) * 20, "sink": right * 8, "floor": right * 12}.items():
         mine = d["label"] == label
         assert mine.sum() == d["det_id"].nunique() and (d.loc[mine, "pixels"] == pixels[mine]).all()
+
+
+def test_raw_candidates_take_every_frame(spark, duck, small):
+    got = {}
+    for r in REGISTRY["raw_candidates"].build(spark, small).collect():
+        got.setdefault((r["video_id"], r["frame_idx"]), []).append((r["seq"], r["label"], r["left_"], r["rank"]))
+    sql = f"WITH {V.DET} SELECT video_id, frame_idx, det_id, {V.sql_normalize('raw_label')}, x1 / 0.5, confidence FROM det"
+    found = {}
+    for video, frame, seq, label, left, score in duck.execute(sql).fetchall():
+        found.setdefault((video, frame), []).append((-score, seq, label, left))
+    assert max(v for v, _ in found) > 0 and max(f for _, f in found) >= 20
+    assert got.keys() == found.keys()
+    for key, rows in found.items():
+        best = sorted(r for r in rows if r[0] <= -0.9)[:2]
+        want = [(seq, label, left, n) for n, (_, seq, label, left) in enumerate(best, 1)] or [(None, None, None, None)]
+        assert sorted(got[key], key=str) == sorted(want, key=str)
+    cut = duck.execute(REGISTRY["raw_candidates"].sql).fetchall()  # the first frames of one video
+    assert sorted(cut, key=str) == sorted(((f, *r) for (v, f), rows in got.items() if v == 0 and f < 20 for r in rows), key=str)
