@@ -305,7 +305,7 @@ def _drawn(d):
 
 @query("M09 M11 Z21 Z31 Z22")
 def mask_depths(spark, sf_dir):
-    rows = _drawn(V.detections(spark, sf_dir).where("det_id % 20 = 0"))
+    rows = _drawn(V.detections(spark, sf_dir))
     m = rasters.pandas_metrics("mask", "depth", "h", "w")
     return rows.select("det_id", m.alias("m")).select("det_id", *[R(F.col(f"m.{k}")).alias(k) for k in ("median", "std", "compactness", "separation", "edge_alignment", "largest_ratio")], "m.area")
 
@@ -314,7 +314,7 @@ def mask_depths(spark, sf_dir):
 def detected_blobs(spark, sf_dir):
     from frameloom import models
 
-    rows = _drawn(V.detections(spark, sf_dir).where("det_id % 20 = 0"))
+    rows = _drawn(V.detections(spark, sf_dir))
     scaled = rows.select(F.lit(0).cast("bigint").alias("video_id"), F.col("det_id").alias("frame_idx"), F.col("mask").alias("image"), F.col("h").alias("height"), F.col("w").alias("width"))
     return models.hybrid(_bright(scaled), "blobs", "none", ["pot", "lid"], ["wall"]).select("frame_idx", "label", "x1", "y1", "x2", "y2", "confidence")
 

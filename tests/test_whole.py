@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 from frameloom.plans import fusion_queries, join_queries, review_queries, stateful_queries, track_queries  # noqa: F401
@@ -59,3 +60,13 @@ def test_raw_candidates_take_every_frame(spark, duck, small):
         assert sorted(got[key], key=str) == sorted(want, key=str)
     cut = duck.execute(REGISTRY["raw_candidates"].sql).fetchall()  # the first frames of one video
     assert sorted(cut, key=str) == sorted(((f, *r) for (v, f), rows in got.items() if v == 0 and f < 20 for r in rows), key=str)
+
+
+def test_drawn_masks_take_every_detection(spark, duck, small):
+    ids = [r[0] for r in duck.execute("SELECT event_id FROM events ORDER BY 1").fetchall()]
+    depths = {r["det_id"]: r["area"] for r in REGISTRY["mask_depths"].build(spark, small).collect()}
+    assert sorted(depths) == ids
+    y, x = np.mgrid[0:24, 0:32]
+    for i in ids:
+        assert depths[i] == ((x - 10 - i % 8) ** 2 + (y - 12) ** 2 < 40 + i % 30).sum()
+    assert sorted({r["frame_idx"] for r in REGISTRY["detected_blobs"].build(spark, small).collect()}) == ids
