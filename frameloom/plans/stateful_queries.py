@@ -131,7 +131,7 @@ def event_candidates(spark, sf_dir):
 def mask_overlaps(spark, sf_dir):
     from frameloom.operators import joins
 
-    d = V.detections(spark, sf_dir).where("frame_idx % 5 = 0").withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W))
+    d = V.detections(spark, sf_dir).withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W))
     return joins.mask_pairs(d, V.FRAME_W).withColumn("iou", R(F.col("iou")))
 
 

@@ -70,3 +70,10 @@ def test_drawn_masks_take_every_detection(spark, duck, small):
     for i in ids:
         assert depths[i] == ((x - 10 - i % 8) ** 2 + (y - 12) ** 2 < 40 + i % 30).sum()
     assert sorted({r["frame_idx"] for r in REGISTRY["detected_blobs"].build(spark, small).collect()}) == ids
+
+
+def test_mask_overlaps_take_every_frame(spark, duck, small):
+    got = rows_of(REGISTRY["mask_overlaps"].build(spark, small), ["a_id", "b_id", "common", "iou"])
+    want = sorted(duck.execute(uncut("mask_overlaps", " WHERE a.frame_idx % 5 = 0")).fetchall())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
