@@ -137,7 +137,7 @@ def conflict_zones(spark, sf_dir):
     f"""WITH {V.DET} SELECT a.det_id AS a_id, b.det_id AS b_id, round({V.sql_iou("a.", "b.")}, 6) AS iou FROM det a JOIN det b ON a.video_id = b.video_id AND a.det_id < b.det_id AND a.frame_idx % 10 = 0 AND b.frame_idx % 10 = 0 AND a.frame_idx // 50 = b.frame_idx // 50 WHERE {V.sql_iou("a.", "b.")} >= 0.8""",
 )
 def spatial_grid_join(spark, sf_dir):
-    d = V.detections(spark, sf_dir).where("frame_idx % 10 = 0").withColumn("era", F.floor(F.col("frame_idx") / 50)).select("det_id", "video_id", "era", "bbox")
+    d = V.detections(spark, sf_dir).withColumn("era", F.floor(F.col("frame_idx") / 50)).select("det_id", "video_id", "era", "bbox")
     pairs = joins.grid_pairs(d, d, 80.0, 0.8, ["video_id", "era"]).where(F.col("a.det_id") < F.col("b.det_id"))
     return pairs.select(F.col("a.det_id").alias("a_id"), F.col("b.det_id").alias("b_id"), R(G.iou(F.col("a.bbox"), F.col("b.bbox"))).alias("iou"))
 

@@ -77,3 +77,10 @@ def test_mask_overlaps_take_every_frame(spark, duck, small):
     want = sorted(duck.execute(uncut("mask_overlaps", " WHERE a.frame_idx % 5 = 0")).fetchall())
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+
+
+def test_spatial_grid_join_takes_every_frame(spark, duck, small):
+    got = rows_of(REGISTRY["spatial_grid_join"].build(spark, small), ["a_id", "b_id", "iou"])
+    want = sorted(duck.execute(uncut("spatial_grid_join", " AND a.frame_idx % 10 = 0 AND b.frame_idx % 10 = 0")).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
