@@ -84,3 +84,21 @@ def test_spatial_grid_join_takes_every_frame(spark, duck, small):
     want = sorted(duck.execute(uncut("spatial_grid_join", " AND a.frame_idx % 10 = 0 AND b.frame_idx % 10 = 0")).fetchall())
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
+def test_replayed_review_folds_every_event(spark, duck, small):
+    names = ["proposal_id", "cluster_id", "status", "label", "reason"]
+    got = {r[0]: r for r in rows_of(REGISTRY["replayed_review"].build(spark, small), names)}
+    head = uncut("replayed_review", " WHERE event_id % 50 < 3").split("rows_ AS")[0].rstrip().rstrip(",").replace("WITH RECURSIVE", "WITH")
+    state = {i: [i, c, "unreviewed", label, ""] for i, c, label in duck.execute(f"{head} SELECT proposal_id, cluster_id, human_label FROM prop").fetchall()}
+    events = duck.execute(f"{head} SELECT kind, target, status, label, reason FROM ev ORDER BY seq").fetchall()
+    assert len(events) == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    for kind, target, status, label, reason in events:
+        hit = [state[target]] if kind == "instance" and target in state else [s for s in state.values() if kind != "instance" and s[1] == target]
+        for s in hit:
+            if kind != "label":
+                s[2], s[4] = status or s[2], reason or s[4]
+                s[3] = (label or s[3]) if kind == "instance" else s[3]
+            elif s[2] != "deleted":
+                s[2], s[3] = status or "reviewed", label
+    assert got == {i: tuple(s) for i, s in state.items()}
