@@ -187,7 +187,7 @@ def principal_components(spark, sf_dir):
     return vectors.principal(V.proposals(spark, sf_dir), "embedding", 8).select("proposal_id", F.size("reduced").alias("size"))
 
 
-@query("V05 V06 V07 V08")
+@query("V05 V06 V07")
 def density_clusters(spark, sf_dir):
     rows = vectors.bucketed(V.proposals(spark, sf_dir), "embedding", 400, 1500)
     return vectors.density_clusters(rows, ["bucket"], "embedding").select("bucket", "proposal_id", "local_cluster_id", R(F.col("probability")).alias("probability"))

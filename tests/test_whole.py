@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from frameloom.operators import vectors
 from frameloom.plans import fusion_queries, join_queries, review_queries, stateful_queries, track_queries  # noqa: F401
 from frameloom.plans import views as V
 from frameloom.plans.catalog import REGISTRY
@@ -102,3 +103,28 @@ def test_replayed_review_folds_every_event(spark, duck, small):
             elif s[2] != "deleted":
                 s[2], s[3] = status or "reviewed", label
     assert got == {i: tuple(s) for i, s in state.items()}
+
+
+def test_density_clusters_take_copies(spark):
+    r = np.random.default_rng(2)
+    one, other = r.normal(size=8), r.normal(size=8)
+    vectors_ = [one.tolist()] * 4100 + [(other + r.normal(0, 0.01, 8)).tolist() for _ in range(30)]
+    d = spark.createDataFrame(list(enumerate(vectors_)), "proposal_id bigint, embedding array<double>")
+    rows = vectors.density_clusters(vectors.bucketed(d, "embedding", 400, 1500), ["bucket"], "embedding").collect()
+    assert sorted(x["proposal_id"] for x in rows) == list(range(4130))
+    assert len({(x["bucket"], x["local_cluster_id"]) for x in rows if x["proposal_id"] < 4100}) == 1
+    assert all(x["local_cluster_id"] >= 0 for x in rows if x["proposal_id"] < 4100)
+
+
+def test_density_labels_of_weighted_points_are_those_of_copies():
+    r = np.random.default_rng(3)
+    points = np.concatenate([r.normal(c, 0.3, (30, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [r.uniform(-6, 9, (8, 2))])
+    weights = r.choice([1, 1, 2, 3, 9], len(points))
+    copies = np.repeat(np.arange(len(points)), weights)
+    plain = vectors.density_labels(points[copies], 10, 5)
+    # a tie may part the copies of a vector, which a weighted point keeps together
+    together = np.array([len(set(plain[0][copies == i])) == 1 for i in copies])
+    assert (~together).sum() <= 3
+    for whole in (4000, 10):
+        for mine, theirs in zip(vectors.density_labels(points, 10, 5, weights, whole), plain, strict=True):
+            assert mine[copies][together] == pytest.approx(theirs[together], abs=1e-6)
