@@ -5,9 +5,9 @@ pieces are sequences of their own. The others are dealt by hash into groups of
 bounded size. A group is packed best fit, longest first; then a local search
 moves documents, exchanges one for one or two for one, between bins that are
 not full, always so that the sum of squared fills grows, working on the least
-filled bin until it is empty or nothing helps. Bins that are still underfull
-are gathered from all groups and packed again, in fewer groups, until one group
-holds them.
+filled bin first, until no bin has a move that helps. Bins that are still
+underfull are gathered from all groups and packed again, until one group holds
+them, a round saves no bin (the packing before stays) or after 61 rounds.
 
 Cases: null and empty texts are the end id alone; ties in length go by id and
 piece; repeated rows are packed as documents of their own; extra columns are
@@ -69,8 +69,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improved(bins: list[list[int]], lengths: list[int], capacity: int, most_moves: int = 2000, donors: int = 24) -> list[list[int]]:
-    """Local search between bins that are not full; never more bins than before."""
+def improved(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search between bins that are not full, until no donor improves; never more bins than before.
+
+    A donor without an improvement is tried again against the bins that changed
+    since. Documents and pairs of a donor count by their length, once each.
+    """
     size = np.array(lengths, dtype=np.int64)
     fill = np.array([size[b].sum() for b in bins], dtype=np.int64)
     active = np.flatnonzero(fill < capacity)
@@ -80,36 +84,46 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, most_move
     home = np.repeat(active, [len(bins[b]) for b in active])
     length = size[item]
     moves = 0
-    given_up: set[int] = set()
-    while moves < most_moves and len(given_up) < donors:
-        left = [b for b in active.tolist() if fill[b] and b not in given_up]
-        if len(left) < 2:
+    changed = np.zeros(len(bins), dtype=np.int64)  # the last move of each bin
+    tried = np.full(len(bins), -1, dtype=np.int64)  # the last move before a donor was given up
+    while True:
+        left = active[(fill[active] > 0) & (fill[active] < capacity) & (tried[active] < moves)]
+        if len(left) == 0:
             break
-        donor = min(left, key=lambda b: (fill[b], b))
+        donor = int(left[np.argmin(fill[left])])
         mine = np.flatnonzero(home == donor)
-        others = home != donor
-        room = capacity - fill[home]
+        fresh = np.flatnonzero((home != donor) & (changed[home] > tried[donor]) & (fill[home] < capacity))
         best = (0, None)
-        emptier = np.flatnonzero((fill[active] > 0) & (active != donor))
-        singles = [(int(length[m]), (int(m),)) for m in mine]
-        pairs = [(int(length[a] + length[b]), (int(a), int(b))) for x, a in enumerate(mine[:40]) for b in mine[x + 1 : 40]]
-        for total, who in singles:  # a move
-            fits = emptier[capacity - fill[active[emptier]] >= total]
+        emptier = active[(fill[active] > 0) & (active != donor) & (changed[active] > tried[donor])]
+        kinds, first = np.unique(length[mine], return_index=True)
+        for total, m in zip(kinds.tolist(), mine[first].tolist(), strict=True):  # a move
+            fits = emptier[capacity - fill[emptier] >= total]
             if len(fits):
-                to = int(active[fits[np.argmax(fill[active[fits]])]])
+                to = int(fits[np.argmax(fill[fits])])
                 gain = 2 * total * int(fill[to] - fill[donor] + total)
                 if gain > best[0]:
-                    best = (gain, (who, None, to))
-        for total, who in singles + pairs:  # an exchange for one
-            less = total - length
-            ok = others & (less > 0) & (less <= room)
-            if ok.any():
-                gain = np.where(ok, 2 * less * (fill[home] - fill[donor] + less), 0)
-                at = int(np.argmax(gain))
-                if gain[at] > best[0]:
-                    best = (int(gain[at]), (who, at, int(home[at])))
+                    best = (gain, ((m,), None, to))
+        if len(fresh):  # an exchange for one
+            # of equal lengths and fills, one stands for all
+            pairs = np.unique(np.stack([length[fresh], fill[home[fresh]]]), axis=1, return_index=True)
+            back = fresh[pairs[1]]
+            theirs, filled = length[back], fill[home[back]]
+            ways = {int(k): (int(m),) for k, m in zip(kinds, mine[first], strict=True)}
+            for x, k in enumerate(kinds.tolist()):
+                same = mine[length[mine] == k]
+                if len(same) > 1:
+                    ways.setdefault(2 * k, (int(same[0]), int(same[1])))
+                for y in range(x + 1, len(kinds)):
+                    ways.setdefault(k + int(kinds[y]), (int(mine[first[x]]), int(mine[first[y]])))
+            totals = np.array(sorted(ways), dtype=np.int64)
+            for at in range(0, len(totals), 256):
+                less = totals[at : at + 256, None] - theirs[None, :]
+                gain = np.where((less > 0) & (less <= capacity - filled), 2 * less * (filled - fill[donor] + less), 0)
+                x, y = np.unravel_index(int(np.argmax(gain)), gain.shape)
+                if gain[x, y] > best[0]:
+                    best = (int(gain[x, y]), (ways[int(totals[at + x])], int(back[y]), int(home[back[y]])))
         if best[1] is None:
-            given_up.add(donor)
+            tried[donor] = moves
             continue
         who, back, to = best[1]
         moved = int(length[list(who)].sum()) - (int(length[back]) if back is not None else 0)
@@ -119,6 +133,8 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, most_move
         fill[to] += moved
         fill[donor] -= moved
         moves += 1
+        changed[[to, donor]] = moves
+        tried[[to, donor]] = -1
     out = [list(b) for b in bins]
     for b in active:
         out[b] = item[home == b].tolist()
@@ -156,19 +172,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int =
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest, round_no = pieces.where(F.col("length") < capacity), 1
-    waiting = rest.count()
+    before, waiting = float("inf"), rest.count()
     while waiting:
         n = max(1, -(-waiting // group_size))
         dealt = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(n)).alias("group"))
         now = written(dealt.groupBy("group").applyInArrow(_packer(capacity, round_no), _PACKED.format(kind)), "packed")
+        bins = now.where(F.col("offset") == 0).count()
+        if bins >= before:  # no bin saved: the packing before stays
+            done = done.unionByName(rest.select(names))
+            break
         last = n == 1 or round_no > 60
         settled = now if last else now.where(F.col("fill") >= underfull * capacity)
         done = done.unionByName(settled.select(names))
         if last:
             break
         rest, round_no = now.where(F.col("fill") < underfull * capacity), round_no + 1
-        before, waiting = waiting, rest.count()
-        if 2 * waiting > before:  # packing again would not pay
-            done = done.unionByName(rest.select(names))
-            break
+        before, waiting = rest.where(F.col("offset") == 0).count(), rest.count()
     return done.select(names)

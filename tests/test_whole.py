@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from frameloom.llm import packing
 from frameloom.operators import vectors
 from frameloom.plans import fusion_queries, join_queries, review_queries, stateful_queries, track_queries  # noqa: F401
 from frameloom.plans import views as V
@@ -128,3 +129,18 @@ def test_density_labels_of_weighted_points_are_those_of_copies():
     for whole in (4000, 10):
         for mine, theirs in zip(vectors.density_labels(points, 10, 5, weights, whole), plain, strict=True):
             assert mine[copies][together] == pytest.approx(theirs[together], abs=1e-6)
+
+
+def test_packing_searches_until_no_donor_improves():
+    lengths = np.random.default_rng(0).integers(900, 1500, 400).tolist()
+    bins = packing.improved(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(400))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= 4096
+    for d, donor in enumerate(bins):
+        mine = [lengths[i] for i in donor]
+        totals = {*mine, *(a + b for x, a in enumerate(mine) for b in mine[x + 1 :])}
+        for o, other in enumerate(bins):
+            if o != d and fill[d] < 4096 and fill[o] < 4096:
+                for total, less in [(t, t) for t in mine] + [(t, t - lengths[i]) for t in totals for i in other]:
+                    assert not 0 < less <= 4096 - fill[o] or fill[o] - fill[d] + less <= 0
