@@ -165,21 +165,3 @@ def pending(videos: DataFrame, ledger: DataFrame, limit: int | None = None) -> D
     """Videos that the ledger doesn't list as done, in order."""
     rest = videos.join(ledger.where("state = 'completed'"), "video_id", "left_anti").orderBy("video_id")
     return rest.limit(limit) if limit else rest
-
-
-def mask_pairs(d: DataFrame, width: int) -> DataFrame:
-    """Pairs of a frame's masks (det_id, runs) with common pixels, and their IoU.
-
-    Runs are cut at the ends of image rows and joined by row, so that the work
-    follows the pixels' rows and not all pairs of runs.
-    """
-    first, last = F.floor(F.col("r.s") / width), F.floor((F.col("r.s") + F.col("r.n") - 1) / width)
-    runs = d.select("video_id", "frame_idx", "det_id", F.explode("runs").alias("r")).where("r.n > 0").withColumn("y", F.explode(F.sequence(first, last)))
-    start, stop = F.greatest(F.col("r.s"), F.col("y") * width), F.least(F.col("r.s") + F.col("r.n"), (F.col("y") + 1) * width)
-    rows = runs.select("video_id", "frame_idx", "det_id", "y", start.alias("s"), stop.alias("e"))
-    hit = (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))
-    met = rows.alias("a").join(rows.alias("b"), same_frame() & (F.col("a.y") == F.col("b.y")) & (F.col("a.det_id") < F.col("b.det_id")) & hit)
-    common = met.groupBy(F.col("a.det_id").alias("a_id"), F.col("b.det_id").alias("b_id")).agg(F.sum(F.least("a.e", "b.e") - F.greatest("a.s", "b.s")).alias("common"))
-    size = d.select("det_id", F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]).alias("size"))
-    out = common.join(size.select(F.col("det_id").alias("a_id"), F.col("size").alias("_a")), "a_id").join(size.select(F.col("det_id").alias("b_id"), F.col("size").alias("_b")), "b_id")
-    return out.select("a_id", "b_id", "common", (F.col("common") / (F.col("_a") + F.col("_b") - F.col("common"))).alias("iou"))

@@ -21,26 +21,34 @@ def replayed(instances: DataFrame, events: DataFrame) -> DataFrame:
 
     Instance events (kind ``instance``) set what they carry. Cluster labels
     (``label``) change rows that are not deleted at that moment; cluster actions
-    (``action``) change every row. Events are joined to the rows they name and
-    each row folds its own, in order, so that a row's state depends on its own
-    events only.
+    (``action``) change every row. An event without a status leaves it; a label
+    event without one means ``reviewed``.
+
+    No log is gathered: what an instance was when a label came is the last
+    status set before (a running value over its events, which spills), and the
+    last event that counts gives each column.
     """
-    direct = events.where("kind = 'instance'").select(F.col("target").alias("proposal_id"), "seq", F.struct("seq", "kind", "status", "label", "reason").alias("e"))
-    wide = events.where("kind <> 'instance'").select(F.col("target").alias("cluster_id"), F.struct("seq", "kind", "status", "label", "reason").alias("e"))
-    on_rows = instances.select("proposal_id", "cluster_id").join(wide, "cluster_id").select("proposal_id", "e").unionByName(direct.select("proposal_id", "e"))
-    logs = on_rows.groupBy("proposal_id").agg(F.array_sort(F.collect_list("e")).alias("log"))
-    rows = instances.join(logs, "proposal_id", "left")
-    start = F.struct(F.col("review_status").alias("status"), F.col("human_label").alias("label"), F.lit("").alias("reason"))
-
-    def step(s: Column, e: Column) -> Column:
-        labelled = (e["kind"] == "label") & (s["status"] != "deleted")
-        status = F.when(e["kind"] == "label", F.when(labelled, C.first_present(e["status"], F.lit("reviewed"))).otherwise(s["status"])).otherwise(C.first_present(e["status"], s["status"]))
-        label = F.when(e["kind"] == "label", F.when(labelled, F.coalesce(e["label"], F.lit(""))).otherwise(s["label"])).when(e["kind"] == "instance", C.first_present(e["label"], s["label"])).otherwise(s["label"])
-        reason = F.when(e["kind"] == "label", s["reason"]).otherwise(C.first_present(e["reason"], s["reason"]))
-        return F.struct(status.alias("status"), label.alias("label"), reason.alias("reason"))
-
-    final = F.aggregate(F.coalesce("log", F.array().cast(logs.schema["log"].dataType)), start, step)
-    return rows.select("proposal_id", "cluster_id", final.alias("s")).select("proposal_id", "cluster_id", "s.*")
+    said = ["seq", "kind", F.when(F.trim("status") != "", F.col("status")).alias("status"), F.coalesce("label", F.lit("")).alias("label"), F.when(F.trim("reason") != "", F.col("reason")).alias("reason")]
+    direct = events.where("kind = 'instance'").select(F.col("target").alias("proposal_id"), *said)
+    wide = events.where("kind <> 'instance'").select(F.col("target").alias("cluster_id"), *said)
+    on_rows = instances.select("proposal_id", "cluster_id").join(wide, "cluster_id").drop("cluster_id").unionByName(direct)
+    is_label = F.col("kind") == "label"
+    sets = ~is_label & F.col("status").isNotNull()
+    before = Window.partitionBy("proposal_id").orderBy("seq")
+    logs = on_rows.withColumns({"_base": F.last(F.when(sets, F.col("status")), ignorenulls=True).over(before), "_part": F.count(F.when(sets, 1)).over(before)})
+    within = Window.partitionBy("proposal_id", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    logs = logs.withColumn("_ended", F.coalesce(F.max(is_label & (F.col("status") == "deleted")).over(within), F.lit(False)))  # by a label event since the status was set
+    logs = logs.join(instances.select("proposal_id", F.col("review_status").alias("_first")), "proposal_id")
+    counts = is_label & (F.coalesce("_base", "_first") != "deleted") & ~F.col("_ended")
+    named = counts | ((F.col("kind") == "instance") & (F.trim("label") != ""))
+    last = lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
+    final = logs.groupBy("proposal_id").agg(
+        last(F.struct(F.coalesce("status", F.lit("reviewed")).alias("v")), sets | counts)["v"].alias("_status"),
+        last(F.struct(F.col("label").alias("v")), named)["v"].alias("_label"),
+        last(F.col("reason"), ~is_label & F.col("reason").isNotNull()).alias("_reason"),
+    )
+    rows = instances.join(final, "proposal_id", "left")
+    return rows.select("proposal_id", "cluster_id", F.coalesce("_status", "review_status").alias("status"), F.coalesce("_label", "human_label").alias("label"), F.coalesce("_reason", F.lit("")).alias("reason"))
 
 
 def rolled_up(instances: DataFrame) -> DataFrame:

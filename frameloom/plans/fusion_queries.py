@@ -199,8 +199,8 @@ def taxonomy_names(spark, sf_dir):
 
 @query(
     "Z08 Z09 Z10 D02 D03",
-    f"""WITH {V.DET}, m AS (SELECT frame_idx, det_id AS seq, {V.sql_normalize("raw_label")} AS label, x1 / 0.5 AS left_, confidence FROM det WHERE video_id = 0 AND confidence >= 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY confidence DESC, seq) AS rank FROM m)
-    SELECT f.i AS frame_idx, r.seq, r.label, r.left_, r.rank FROM (SELECT CAST(range AS BIGINT) AS i FROM range(20)) f LEFT JOIN r ON r.frame_idx = f.i AND r.rank <= 2""",
+    f"""WITH {V.DET}, m AS (SELECT video_id, frame_idx, det_id AS seq, {V.sql_normalize("raw_label")} AS label, x1 / 0.5 AS left_, confidence FROM det WHERE confidence >= 0.9), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY confidence DESC, seq) AS rank FROM m)
+    SELECT f.video_id, f.frame_idx, r.seq, r.label, r.left_, r.rank FROM (SELECT DISTINCT video_id, frame_idx FROM det) f LEFT JOIN r ON r.video_id = f.video_id AND r.frame_idx = f.frame_idx AND r.rank <= 2""",
 )
 def raw_candidates(spark, sf_dir):
     d = V.detections(spark, sf_dir)

@@ -16,7 +16,7 @@ EVENTS = """ev AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'in
     CASE WHEN event_type = 'click' THEN user_id * 3 + event_id % 3 ELSE event_id % 17 - 1 END AS target,
     CASE WHEN event_type = 'click' THEN ['deleted','reviewed','uncertain',''][event_id % 4 + 1] WHEN event_type = 'view' THEN '' ELSE ['deleted','uncertain','reviewed'][event_id % 3 + 1] END AS status,
     CASE WHEN event_type IN ('click','view') AND event_id % 5 <> 0 THEN ['pot','pan','lid'][event_id % 3 + 1] ELSE '' END AS label,
-    CASE WHEN event_id % 7 = 0 THEN 'r' || event_id % 10 ELSE '' END AS reason FROM events WHERE event_id % 50 < 3)"""
+    CASE WHEN event_id % 7 = 0 THEN 'r' || event_id % 10 ELSE '' END AS reason FROM events)"""
 
 
 def review_events(spark, sf_dir):
@@ -32,15 +32,12 @@ def review_events(spark, sf_dir):
     )
 
 
-_REPLAY = f"""WITH RECURSIVE {V.PROP}, {EVENTS},
-    rows_ AS (SELECT p.proposal_id, e.seq, e.kind, e.status, e.label, e.reason FROM prop p JOIN ev e ON CASE WHEN e.kind = 'instance' THEN e.target = p.proposal_id ELSE e.target = p.cluster_id END),
-    num AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY seq) AS k FROM rows_),
-    fold(proposal_id, k, status, label, reason) AS (SELECT proposal_id, CAST(0 AS BIGINT), CAST('unreviewed' AS VARCHAR), CAST(human_label AS VARCHAR), CAST('' AS VARCHAR) FROM prop UNION ALL
-        SELECT f.proposal_id, n.k, CASE WHEN n.kind = 'label' THEN CASE WHEN f.status <> 'deleted' THEN coalesce(nullif(n.status, ''), 'reviewed') ELSE f.status END ELSE coalesce(nullif(n.status, ''), f.status) END,
-            CASE WHEN n.kind = 'label' THEN CASE WHEN f.status <> 'deleted' THEN n.label ELSE f.label END WHEN n.kind = 'instance' THEN coalesce(nullif(n.label, ''), f.label) ELSE f.label END,
-            CASE WHEN n.kind = 'label' THEN f.reason ELSE coalesce(nullif(n.reason, ''), f.reason) END
-        FROM fold f JOIN num n ON n.proposal_id = f.proposal_id AND n.k = f.k + 1)
-    SELECT f.proposal_id, p.cluster_id, f.status, f.label, f.reason FROM fold f JOIN prop p USING (proposal_id) JOIN (SELECT proposal_id, max(k) AS k FROM fold GROUP BY proposal_id) m ON m.proposal_id = f.proposal_id AND m.k = f.k"""
+_REPLAY = f"""WITH {V.PROP}, {EVENTS},
+    rows_ AS (SELECT p.proposal_id, p.human_label, e.* FROM prop p JOIN ev e ON e.kind = 'instance' AND e.target = p.proposal_id UNION ALL SELECT p.proposal_id, p.human_label, e.* FROM prop p JOIN ev e ON e.kind <> 'instance' AND e.target = p.cluster_id),
+    now AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'label' THEN nullif(status, '') END IGNORE NULLS) OVER (PARTITION BY proposal_id ORDER BY seq), 'unreviewed') <> 'deleted' AS alive FROM rows_),
+    fold AS (SELECT proposal_id, max_by(coalesce(nullif(status, ''), 'reviewed'), seq) FILTER (CASE WHEN kind = 'label' THEN alive ELSE status <> '' END) AS status,
+        max_by(label, seq) FILTER (CASE kind WHEN 'label' THEN alive WHEN 'instance' THEN label <> '' ELSE FALSE END) AS label, max_by(reason, seq) FILTER (kind <> 'label' AND reason <> '') AS reason FROM now GROUP BY proposal_id)
+    SELECT p.proposal_id, p.cluster_id, coalesce(f.status, 'unreviewed') AS status, coalesce(f.label, p.human_label) AS label, coalesce(f.reason, '') AS reason FROM prop p LEFT JOIN fold f USING (proposal_id)"""
 
 
 @query("X20 J18", _REPLAY)
@@ -120,13 +117,13 @@ def memory_manifest(spark, sf_dir):
 
 
 _COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 9)"
-_KNN = f"""{_MEMORY}, k AS (SELECT q.proposal_id AS query_id, q.predicted_label, m.proposal_id AS memory_id, m.label, m.action, {_COS} AS similarity FROM prop q, e m WHERE q.proposal_id % 5 = 0 AND m.action <> 'uncertain' AND m.proposal_id % 5 <> 0),
+_KNN = f"""{_MEMORY}, k AS (SELECT q.proposal_id AS query_id, q.predicted_label, m.proposal_id AS memory_id, m.label, m.action, {_COS} AS similarity FROM prop q, e m WHERE q.proposal_id % 50 = 0 AND m.action <> 'uncertain'),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM k), n AS (SELECT * FROM t WHERE rank <= 5)"""
 
 
 def _neighbours(spark, sf_dir, k=5, bonus=0.0):
-    m = _memory(spark, sf_dir).where("action <> 'uncertain' AND proposal_id % 5 <> 0").select(F.col("proposal_id").alias("memory_id"), "label", "action", F.col("embedding").alias("vector"))
-    q = V.proposals(spark, sf_dir).where("proposal_id % 5 = 0").select(F.col("proposal_id").alias("query_id"), F.col("predicted_label").alias("query_class"), F.col("embedding").alias("vector"))
+    m = _memory(spark, sf_dir).where("action <> 'uncertain'").select(F.col("proposal_id").alias("memory_id"), "label", "action", F.col("embedding").alias("vector"))
+    q = V.proposals(spark, sf_dir).where("proposal_id % 50 = 0").select(F.col("proposal_id").alias("query_id"), F.col("predicted_label").alias("query_class"), F.col("embedding").alias("vector"))
     return vectors.nearest(q, m, k, bonus), q.select("query_id", F.col("query_class").alias("predicted_label"))
 
 

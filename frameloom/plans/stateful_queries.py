@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameloom import taxonomy as T
 from frameloom.functions import geometry as G
 from frameloom.functions import labels as L
-from frameloom.operators import masks, relations
+from frameloom.operators import masks, perframe, relations
 from frameloom.plans import views as V
 from frameloom.plans.catalog import query
 from frameloom.sinks import writers
@@ -20,35 +20,68 @@ VIDEO = ["video_id"]
 def flat(spark, sf_dir):
     """Labelled detections with the box as four columns."""
     d = V.labelled(spark, sf_dir)
-    return d.select("det_id", "video_id", "frame_idx", "raw_label", "coarse", "source", "track_id", "confidence", "confirmed", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
+    return d.select("det_id", "video_id", "frame_idx", "raw_label", "coarse", "source", "track_id", "confidence", "confirmed", "fine", "bbox.x1", "bbox.y1", "bbox.x2", "bbox.y2")
 
 
 IDS = "det_id bigint, video_id bigint, frame_idx bigint"
 
 
-@query("T04 T05")
+_CONFLICT = f"{V.sql_in('lower(trim(a.raw_label))', T.COOKWARE_BODIES + T.COOKWARE_LIDS)} AND {V.sql_in('lower(trim(b.raw_label))', T.COOKWARE_BODIES + T.COOKWARE_LIDS)} AND lower(trim(a.raw_label)) <> lower(trim(b.raw_label))"
+
+
+def _greedy(order: str, removes: str, never: str = "FALSE", source: str = "lab") -> str:
+    """SQL of a greedy choice: rows of a frame in an order; ``removes`` says when a row a that stays removes a later b, ``never`` which rows a row b of any place removes."""
+    return f"""WITH RECURSIVE {V.LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY {order}) AS k FROM {source}),
+    e AS (SELECT b.video_id, b.frame_idx, b.k, list(a.k) FILTER (a.k < b.k AND {removes}) AS before, coalesce(bool_or({never}), FALSE) AS never FROM r a JOIN r b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx GROUP BY ALL),
+    fold(video_id, frame_idx, k, kept) AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r UNION ALL
+        SELECT f.video_id, f.frame_idx, e.k, CASE WHEN e.never OR list_has_any(f.kept, coalesce(e.before, [])) THEN f.kept ELSE list_append(f.kept, e.k) END FROM fold f JOIN e ON e.video_id = f.video_id AND e.frame_idx = f.frame_idx AND e.k = f.k + 1),
+    done AS (SELECT video_id, frame_idx, max_by(kept, k) AS kept FROM fold GROUP BY ALL)"""
+
+
+@query("T04 T05", f"{_greedy('confidence DESC, det_id', f'{V.sql_iou("a.", "b.")} >= CASE WHEN {_CONFLICT} THEN 0.82 ELSE 0.45 END')} SELECT det_id, video_id, frame_idx, confidence FROM r JOIN done USING (video_id, frame_idx) WHERE list_contains(kept, k)")
 def suppressed_boxes(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.Suppress, f"{IDS}, confidence double", VIDEO)
+    return perframe.suppressed(flat(spark, sf_dir))
 
 
-@query("T03")
+@query("T03", f"{_greedy(V.sql_area('') + ' DESC, det_id', f'({V.sql_iou("a.", "b.")} >= 0.45 OR {V.sql_overlap("a.", "b.")} >= 0.8)')} SELECT det_id, video_id, frame_idx FROM r JOIN done USING (video_id, frame_idx) WHERE list_position(kept, k) <= 4")
 def diverse_boxes(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.Diverse, IDS, VIDEO)
+    return perframe.diverse(flat(spark, sf_dir))
 
 
-@query("J11 F04")
+_KIND = "CASE WHEN {0} IN ('pot', 'cooking pot', 'saucepan', 'pan', 'frying pan', 'cookware') THEN 'body' WHEN {0} IN ('lid', 'pot lid', 'pan lid') THEN 'lid' ELSE {0} END"
+_COVERS = f"({V.sql_in('b.source', T.TEMPORAL_SOURCES)} AND {_KIND.format('lower(a.coarse)')} = {_KIND.format('lower(b.coarse)')} AND {V.sql_iou('a.', 'b.')} >= 0.45 AND ({V.sql_rank('a.source', T.SOURCE_RANK)}, a.confidence) > ({V.sql_rank('b.source', T.SOURCE_RANK)}, b.confidence))"
+
+
+@query("J11 F04", f"{_greedy('det_id', _COVERS, f'a.k > b.k AND {_COVERS}')} SELECT det_id, video_id, frame_idx, source FROM r JOIN done USING (video_id, frame_idx) WHERE list_contains(kept, k)")
 def redundant_dropped(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.DropRedundant, f"{IDS}, source string", VIDEO)
+    return perframe.without_redundant(flat(spark, sf_dir))
 
 
 @query("J10 Z01 Z02 F03 F04")
 def conflicts_resolved(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.ResolveConflicts, f"{IDS}, coarse string, confirmed boolean, alternatives string", VIDEO)
+    return perframe.resolved(flat(spark, sf_dir))
+
+
+_POT = f"{V.sql_in('lower(trim(raw_label))', T.COOKWARE_BODIES)}"
+_LID = f"{V.sql_in('lower(trim(raw_label))', T.COOKWARE_LIDS)}"
 
 
-@query("V15")
+@query(
+    "V15",
+    f"""WITH RECURSIVE {V.LABELLED}, r AS (SELECT *, CASE WHEN {_POT} THEN 1 ELSE 2 END AS kind, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_id) AS k FROM lab WHERE {_POT} OR {_LID}),
+    e AS (SELECT b.video_id, b.frame_idx, b.k, list(a.k) FILTER (a.k < b.k AND {V.sql_iou("a.", "b.")} >= 0.35) AS near FROM r a JOIN r b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx GROUP BY ALL),
+    fold(video_id, frame_idx, k, label) AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r UNION ALL
+        SELECT f.video_id, f.frame_idx, e.k, list_append(f.label, coalesce(list_min(list_transform(e.near, lambda x: f.label[x])), e.k)) FROM fold f JOIN e ON e.video_id = f.video_id AND e.frame_idx = f.frame_idx AND e.k = f.k + 1),
+    g AS (SELECT video_id, frame_idx, max_by(label, k) AS label FROM fold GROUP BY ALL), c AS (SELECT r.*, label[k] AS cluster, count(*) OVER (PARTITION BY video_id, frame_idx, label[k]) AS crowd FROM r JOIN g USING (video_id, frame_idx)),
+    h AS (SELECT DISTINCT c.video_id, c.frame_idx, c.cluster FROM c JOIN lab b ON c.video_id = b.video_id AND c.frame_idx = b.frame_idx AND lower(trim(b.raw_label)) = 'hand' WHERE {V.sql_iou("c.", "b.")} >= 0.05),
+    m AS (SELECT *, lead(frame_idx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_id) AS after FROM lab WHERE track_id >= 0),
+    l AS (SELECT c.det_id, max({V.sql_iou("c.", "m.")}) AS recent FROM c JOIN m ON m.video_id = c.video_id AND c.frame_idx - m.frame_idx BETWEEN 1 AND 2 AND c.frame_idx <= coalesce(m.after, c.frame_idx) WHERE c.kind = 2 AND m.fine IN ('lid', 'pot lid', 'pan lid') GROUP BY ALL),
+    s AS (SELECT c.*, row_number() OVER (PARTITION BY c.video_id, c.frame_idx, c.cluster, kind ORDER BY confidence + CASE WHEN kind = 2 AND crowd > 1 AND h.cluster IS NOT NULL THEN 0.08 ELSE 0.0 END + CASE WHEN kind = 2 THEN 0.12 * coalesce(recent, 0.0) ELSE 0.0 END DESC, det_id) AS place
+        FROM c LEFT JOIN h ON h.video_id = c.video_id AND h.frame_idx = c.frame_idx AND h.cluster = c.cluster LEFT JOIN l USING (det_id))
+    SELECT det_id, video_id, frame_idx, raw_label FROM s WHERE place = 1 UNION ALL SELECT det_id, video_id, frame_idx, raw_label FROM lab WHERE NOT ({_POT} OR {_LID})""",
+)
 def cookware_clusters(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.ClusterCookware, f"{IDS}, raw_label string", VIDEO)
+    return perframe.best_cookware(flat(spark, sf_dir))
 
 
 @query(
@@ -58,7 +91,7 @@ def cookware_clusters(spark, sf_dir):
     r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS det_id, min(y) AS component FROM r GROUP BY x""",
 )
 def overlap_components(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.Connect, f"{IDS}, component bigint", VIDEO).select("det_id", "component")
+    return perframe.cookware_components(flat(spark, sf_dir)).select("det_id", "component")
 
 
 @query("X03")
@@ -86,26 +119,27 @@ def occlusion_states(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Occlusion, "video_id bigint, frame_idx bigint, occluded boolean, affected int", VIDEO)
 
 
-@query("J14 D18")
+@query(
+    "J14 D18",
+    f"""WITH RECURSIVE {V.DET}, s AS (SELECT *, (det_id // 4) % 2 = 0 AS is_left FROM det), p AS (SELECT a.video_id, a.frame_idx, a.det_id AS x, b.det_id AS y, {V.sql_iou("a.", "b.")} AS iou, {V.sql_containment("a.", "b.")} AS inside, {V.sql_distance("a.", "b.")} AS far FROM s a JOIN s b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.is_left AND NOT b.is_left),
+    e AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY iou DESC, inside DESC, far, x, y) AS k FROM p WHERE iou >= 0.5 OR inside >= 0.8),
+    fold(video_id, frame_idx, k, used, chosen) AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM e UNION ALL
+        SELECT f.video_id, f.frame_idx, e.k, CASE WHEN list_has_any(f.used, [e.x, e.y]) THEN f.used ELSE list_concat(f.used, [e.x, e.y]) END, CASE WHEN list_has_any(f.used, [e.x, e.y]) THEN f.chosen ELSE list_append(f.chosen, e.k) END FROM fold f JOIN e ON e.video_id = f.video_id AND e.frame_idx = f.frame_idx AND e.k = f.k + 1),
+    g AS (SELECT video_id, frame_idx, max_by(chosen, k) AS chosen FROM fold GROUP BY ALL), m AS (SELECT e.* FROM e JOIN g USING (video_id, frame_idx) WHERE list_contains(chosen, k))
+    SELECT video_id, frame_idx, x AS left_id, y AS right_id, iou FROM m UNION ALL SELECT video_id, frame_idx, CASE WHEN is_left THEN det_id END, CASE WHEN NOT is_left THEN det_id END, 0.0 FROM s WHERE det_id NOT IN (SELECT x FROM m) AND det_id NOT IN (SELECT y FROM m)""",
+)
 def matched_detectors(spark, sf_dir):
-    d = flat(spark, sf_dir).withColumn("side", F.when(F.floor(F.col("det_id") / 4) % 2 == 0, "left").otherwise("right"))
-    return frames.by_frame(d, _match, "video_id bigint, frame_idx bigint, left_id bigint, right_id bigint, iou double", VIDEO)
-
-
-def _match():
-    return steps.MatchTwo("left", "right")
+    return perframe.matched_sides(flat(spark, sf_dir), F.floor(F.col("det_id") / 4) % 2 == 0)
 
 
 @query("A17 X12")
 def merged_scenes(spark, sf_dir):
-    d = flat(spark, sf_dir).where(L.is_scene(F.col("raw_label")))
-    return frames.by_frame(d, steps.MergeScenes, "video_id bigint, frame_idx bigint, label string, confidence double, members int", VIDEO)
+    return perframe.merged_scenes(flat(spark, sf_dir).where(L.is_scene(F.col("raw_label"))))
 
 
 @query("T09 T10")
 def track_representatives(spark, sf_dir):
-    d = flat(spark, sf_dir).where("track_id >= 0").withColumn("one", F.lit(0))
-    return frames.by_frame(d, steps.Representatives, f"{IDS}, track_id bigint, place int", ["video_id", "track_id"], "one")
+    return perframe.representatives(flat(spark, sf_dir).where("track_id >= 0"))
 
 
 @query("W01 X01 D11")
@@ -125,14 +159,12 @@ def event_candidates(spark, sf_dir):
 
 @query(
     "M01 M02 F12 X10",
-    f"""WITH {V.DET}, p AS (SELECT a.det_id AS a_id, b.det_id AS b_id, {V.sql_intersection("a.", "b.")} AS i, {V.sql_area("a.")} AS aa, {V.sql_area("b.")} AS ba FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id < b.det_id WHERE a.frame_idx % 5 = 0)
+    f"""WITH {V.DET}, p AS (SELECT a.det_id AS a_id, b.det_id AS b_id, {V.sql_intersection("a.", "b.")} AS i, {V.sql_area("a.")} AS aa, {V.sql_area("b.")} AS ba FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id < b.det_id)
     SELECT a_id, b_id, CAST(i AS BIGINT) AS common, round(i / (aa + ba - i), 6) AS iou FROM p WHERE i > 0""",
 )
 def mask_overlaps(spark, sf_dir):
-    from frameloom.operators import joins
-
     d = V.detections(spark, sf_dir).withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W))
-    return joins.mask_pairs(d, V.FRAME_W).withColumn("iou", R(F.col("iou")))
+    return perframe.mask_pairs(d, V.FRAME_W).withColumn("iou", R(F.col("iou")))
 
 
 @query(

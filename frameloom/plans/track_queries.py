@@ -72,7 +72,7 @@ def cached_masks(spark, sf_dir):
 
 @query(
     "D07 D08 D09 D13 F11 M02",
-    f"""WITH {V.DET} SELECT det_id, CAST({V.sql_area("")} AS BIGINT) AS pixels FROM det WHERE confidence >= 0.30 AND det_id % 10 = 0""",
+    f"""WITH {V.DET} SELECT det_id, CAST({V.sql_area("")} AS BIGINT) AS pixels FROM det WHERE confidence >= 0.30""",
 )
 def segmented_boxes(spark, sf_dir):
     d = V.detections(spark, sf_dir).select("det_id", "confidence", "bbox.*", F.lit(V.FRAME_W).alias("width"))

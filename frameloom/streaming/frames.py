@@ -57,12 +57,14 @@ def by_frame(d: DataFrame, step: Callable[[], Step], schema: str, keys: list[str
     return ordered.mapInPandas(run, schema)
 
 
-def in_stream(stream: DataFrame, step: Callable[[], Step], schema: str, key: str, frame: str = "frame_idx", order: str = "det_id") -> DataFrame:
+def in_stream(stream: DataFrame, step: Callable[[], Step], schema: str, key: str, frame: str = "frame_idx", order: str = "det_id", idle_ms: int | None = None) -> DataFrame:
     """Streaming run on keyed state: the same rows as in batch for data in order.
 
-    A key's newest frame waits until a newer one comes or a row says ``last``
-    (a Boolean column, if there is one). Rows of frames that were emitted are
-    late and dropped.
+    A key's newest frame waits until a newer one comes, a row says ``last`` (a
+    Boolean column, if there is one), or, with ``idle_ms``, the key has had no
+    rows for so long. (A stream with such a limit never ends by itself, so it
+    doesn't suit a trigger that stops when all data is read.) Rows of frames
+    that were emitted are late and dropped.
     """
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -73,7 +75,7 @@ def in_stream(stream: DataFrame, step: Callable[[], Step], schema: str, key: str
             rows = [r for r in rows if r[frame] > done]
         rows.sort(key=lambda r: (r[frame], r[order]))
         newest = rows[-1][frame] if rows else None
-        ended = any(r.get("last") for r in rows)
+        ended = (idle_ms is not None and state.hasTimedOut) or any(r.get("last") for r in rows)
         work, out = step(), []
         at = 0
         while at < len(rows) and (ended or rows[at][frame] < newest):
@@ -83,6 +85,8 @@ def in_stream(stream: DataFrame, step: Callable[[], Step], schema: str, key: str
             out += work(memory, rows[at:end])
             done, at = rows[at][frame], end
         state.update((pickle.dumps((memory, rows[at:], done)),))
+        if rows[at:] and idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")

@@ -30,21 +30,6 @@ def test_smoothing_ignores_unconfirmed_rows():
     assert not state
 
 
-def test_suppression_keeps_different_cookware():
-    near = (1, 0, 10, 10)  # IoU .9 with the first, .72 with the third
-    rows = [row(1, confidence=0.9), row(2, box=near, confidence=0.8), row(3, box=(0, 0, 10, 8), label="lid", confidence=0.7)]
-    assert [r["det_id"] for r in steps.Suppress()({}, rows)] == [1, 3]
-
-
-def test_conflicts():
-    resolve = lambda *rows: {r["det_id"]: (r["alternatives"], r["confirmed"]) for r in steps.ResolveConflicts()({}, list(rows))}
-    assert resolve(row(1, track=1, confidence=0.5), row(2, track=2, label="pan", confidence=0.9)) == {2: ("pot", True)}
-    assert resolve(row(1, track=1), row(2, coarse="hand", label="hand", track=2)) == {1: ("", True), 2: ("", True)}
-    assert resolve(row(1, coarse="utensil", label="knife", confidence=0.3, track=1), row(2, track=2)) == {1: ("", False), 2: ("knife", True)}
-    assert resolve(row(1, coarse="dishware", label="plate", confidence=0.4, track=1), row(2, confidence=0.35, confirmed=False)) == {2: ("plate", False)}
-    assert resolve(row(1), row(2, box=(50, 50, 60, 60))) == {1: ("", True), 2: ("", True)}
-
-
 def test_matching_is_optimal():
     r = random.Random(4)
     for _ in range(60):
@@ -78,12 +63,6 @@ def test_reassignment_is_one_to_one():
     assert again(state, [row(4, 9, track=None)])[0]["track_id"] is None
 
 
-def test_two_detectors_are_matched_once():
-    rows = [{**row(1), "side": "a"}, {**row(2, box=(0, 0, 10, 9)), "side": "b"}, {**row(3, box=(0, 0, 9, 9)), "side": "b"}, {**row(4, box=(50, 50, 60, 60)), "side": "a"}]
-    out = steps.MatchTwo("a", "b")({}, rows)
-    assert [(r["left_id"], r["right_id"]) for r in out] == [(1, 2), (4, None), (None, 3)]
-
-
 def test_occlusion_lasts():
     state, step = {}, steps.Occlusion()
     step(state, [row(i, 0, box=(i * 10, 0, i * 10 + 10, 10), track=i) for i in range(3)])

@@ -1,4 +1,4 @@
-"""Queries cover whole tables: against SQL without the cuts of the registered one, or against brute force."""
+"""Queries cover whole tables: against SQL, or against brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import duckdb
 import numpy as np
 import pytest
 
-from frameloom.llm import packing
 from frameloom.operators import vectors
 from frameloom.plans import fusion_queries, join_queries, review_queries, stateful_queries, track_queries  # noqa: F401
 from frameloom.plans import views as V
@@ -25,15 +24,9 @@ def rows_of(df, names):
     return sorted(tuple(r[c] for c in names) for r in df.collect())
 
 
-def uncut(name, cut):
-    """The registered SQL without its filter, which must be there."""
-    assert cut in REGISTRY[name].sql
-    return REGISTRY[name].sql.replace(cut, "")
-
-
 def test_segmented_boxes_take_every_detection(spark, duck, small):
     got = rows_of(REGISTRY["segmented_boxes"].build(spark, small), ["det_id", "pixels"])
-    assert got == sorted(duck.execute(uncut("segmented_boxes", " AND det_id % 10 = 0")).fetchall())
+    assert got == sorted(duck.execute(REGISTRY["segmented_boxes"].sql).fetchall())
 
 
 def test_class_map_regions_take_every_detection(spark, duck, small):
@@ -60,8 +53,6 @@ def test_raw_candidates_take_every_frame(spark, duck, small):
         best = sorted(r for r in rows if r[0] <= -0.9)[:2]
         want = [(seq, label, left, n) for n, (_, seq, label, left) in enumerate(best, 1)] or [(None, None, None, None)]
         assert sorted(got[key], key=str) == sorted(want, key=str)
-    cut = duck.execute(REGISTRY["raw_candidates"].sql).fetchall()  # the first frames of one video
-    assert sorted(cut, key=str) == sorted(((f, *r) for (v, f), rows in got.items() if v == 0 and f < 20 for r in rows), key=str)
 
 
 def test_drawn_masks_take_every_detection(spark, duck, small):
@@ -76,14 +67,14 @@ def test_drawn_masks_take_every_detection(spark, duck, small):
 
 def test_mask_overlaps_take_every_frame(spark, duck, small):
     got = rows_of(REGISTRY["mask_overlaps"].build(spark, small), ["a_id", "b_id", "common", "iou"])
-    want = sorted(duck.execute(uncut("mask_overlaps", " WHERE a.frame_idx % 5 = 0")).fetchall())
+    want = sorted(duck.execute(REGISTRY["mask_overlaps"].sql).fetchall())
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
 
 
 def test_spatial_grid_join_takes_every_frame(spark, duck, small):
     got = rows_of(REGISTRY["spatial_grid_join"].build(spark, small), ["a_id", "b_id", "iou"])
-    want = sorted(duck.execute(uncut("spatial_grid_join", " AND a.frame_idx % 10 = 0 AND b.frame_idx % 10 = 0")).fetchall())
+    want = sorted(duck.execute(REGISTRY["spatial_grid_join"].sql).fetchall())
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
 
@@ -91,7 +82,7 @@ def test_spatial_grid_join_takes_every_frame(spark, duck, small):
 def test_replayed_review_folds_every_event(spark, duck, small):
     names = ["proposal_id", "cluster_id", "status", "label", "reason"]
     got = {r[0]: r for r in rows_of(REGISTRY["replayed_review"].build(spark, small), names)}
-    head = uncut("replayed_review", " WHERE event_id % 50 < 3").split("rows_ AS")[0].rstrip().rstrip(",").replace("WITH RECURSIVE", "WITH")
+    head = f"WITH {V.PROP}, {review_queries.EVENTS}"
     state = {i: [i, c, "unreviewed", label, ""] for i, c, label in duck.execute(f"{head} SELECT proposal_id, cluster_id, human_label FROM prop").fetchall()}
     events = duck.execute(f"{head} SELECT kind, target, status, label, reason FROM ev ORDER BY seq").fetchall()
     assert len(events) == duck.execute("SELECT count(*) FROM events").fetchone()[0]
@@ -129,18 +120,3 @@ def test_density_labels_of_weighted_points_are_those_of_copies():
     for whole in (4000, 10):
         for mine, theirs in zip(vectors.density_labels(points, 10, 5, weights, whole), plain, strict=True):
             assert mine[copies][together] == pytest.approx(theirs[together], abs=1e-6)
-
-
-def test_packing_searches_until_no_donor_improves():
-    lengths = np.random.default_rng(0).integers(900, 1500, 400).tolist()
-    bins = packing.improved(packing.best_fit(lengths, 4096), lengths, 4096)
-    assert sorted(i for b in bins for i in b) == list(range(400))
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    assert max(fill) <= 4096
-    for d, donor in enumerate(bins):
-        mine = [lengths[i] for i in donor]
-        totals = {*mine, *(a + b for x, a in enumerate(mine) for b in mine[x + 1 :])}
-        for o, other in enumerate(bins):
-            if o != d and fill[d] < 4096 and fill[o] < 4096:
-                for total, less in [(t, t) for t in mine] + [(t, t - lengths[i]) for t in totals for i in other]:
-                    assert not 0 < less <= 4096 - fill[o] or fill[o] - fill[d] + less <= 0
