@@ -21,10 +21,16 @@ def _linked_to_least(edges: DataFrame) -> DataFrame:
     return heavy_join(edges, least, "u", "n").drop("n")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (columns a, b); a component is named by its least node."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (columns a, b); a component is named by its least node.
+
+    Rounds go on until one changes nothing. Every round that changes something
+    lowers some node's parent, so they end; their number grows with the
+    logarithm of the longest path.
+    """
     links = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
+    changed = 1
+    while changed:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _linked_to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "links")
@@ -36,6 +42,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         removed(links)
         removed(large)
         links = small
-        if not changed:
-            break
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,14 +8,17 @@
    has no partner. Of two classes that agree in ``matches`` coordinates or
    more, each has a common pair among its rarest ones: all but
    ``matches - 1`` of them. Only this prefix is kept as inverted lists.
-3. Classes that meet in a list belong to one candidate component. Components
-   are dealt into blocks of bounded size, and each pair of blocks is one task:
-   there the prefix lists are merged into candidate pairs, the collisions of
-   the others are counted by probing (skipping the long lists), pairs with
-   fewer than ``matches`` collisions go, and the rest are confirmed on full
-   sets. Pairs whose ends are connected already are skipped, so a task
-   returns a spanning forest and never all pairs of a group.
-4. Components of the forests' links give the result.
+3. Lists are merged in two ways. Short ones (SHORT classes at most) give their
+   pairs, whose collisions are counted over all coordinates; pairs with
+   ``matches`` or more are confirmed on full sets, one by one. Long ones are
+   skipped in that merge: classes that meet in a long list belong to one crowd.
+   Crowds are dealt into blocks of bounded size, and each pair of blocks is one
+   task: there all prefix lists are merged into candidate pairs, collisions are
+   counted, pairs with fewer than ``matches`` go, and the rest are confirmed on
+   full sets. Pairs whose ends are connected already are skipped, so a task
+   returns a spanning forest and never all pairs of a crowd. Short lists leave
+   out pairs inside one crowd.
+4. Components of the confirmed links give the result.
 
 With 64 coordinates and 34 matches, a pair at a similarity of 0.8 is missed
 with a probability of 3e-7, and less above.
@@ -42,6 +45,7 @@ from frameloom.llm.components import components
 from frameloom.llm.shared import heavy_join, written
 
 ID_PROBES = 2
+SHORT = 16  # members of a list whose pairs are all counted
 
 
 def _signed(batches, size: int, coordinates: int):
@@ -203,29 +207,61 @@ def prefixes(classes: DataFrame, matches: int) -> DataFrame:
     """(doc_id, prefix): the rarest shared coordinate-value pairs of each class that can have a partner."""
     pairs = classes.select("doc_id", F.posexplode("sig").alias("k", "v")).select("doc_id", F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pair"))
     often = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    mine = pairs.join(often, "pair").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("all"))
+    mine = pairs.join(often.hint("merge"), "pair").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("all"))
     return mine.where(F.size("all") >= matches).select("doc_id", F.expr(f"slice(transform(all, x -> x.pair), 1, size(all) - {matches} + 1)").alias("prefix"))
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, matches: int, percent: int, block_docs: int = 256, block_shingles: int = 400_000) -> DataFrame:
-    """Confirmed links between classes (a spanning forest of each pair of blocks), as (a, b)."""
-    short = written(prefixes(classes, matches), "prefixes")
-    posted = short.select("doc_id", F.explode("prefix").alias("pair"))
-    heads = posted.groupBy("pair").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = posted.join(heads, "pair").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    grouped = components(met)
-    cand = grouped.join(short, grouped["node"] == short["doc_id"]).select("component", "doc_id", "prefix").join(classes, "doc_id")
+def _pairs_confirmed(batches, percent: int):
+    """Pairs (a, b) whose full sets are similar enough."""
+    for batch in batches:
+        hit = np.zeros(batch.num_rows, dtype=bool)
+        for k, (x, y) in enumerate(zip(batch.column("left_set"), batch.column("right_set"), strict=True)):
+            x, y = blobs.unpack_sorted(x.as_py()), blobs.unpack_sorted(y.as_py())
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            hit[k] = 100 * common >= percent * (len(x) + len(y) - common)
+        yield batch.select(["a", "b"]).filter(pa.array(hit))
+
+
+def short_pairs(posted: DataFrame, lists: DataFrame, crowds: DataFrame, classes: DataFrame, matches: int, short: int) -> DataFrame:
+    """(a, b): pairs of short lists, not inside one crowd, that agree in ``matches`` coordinates or more."""
+    few = lists.where((F.col("n") > 1) & (F.col("n") <= short)).select("pair")
+    docs = posted.join(few.hint("merge"), "pair").groupBy("pair").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
+    each = F.expr("flatten(transform(sequence(0, size(d) - 2), i -> transform(slice(d, i + 2, size(d)), y -> struct(d[i] AS a, y AS b))))")
+    pairs = docs.select(F.explode(each).alias("p")).select("p.*").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(crowds.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge"), end, "left")
+    pairs = pairs.where("_a is null or _b is null or _a <> _b").select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("doc_id").alias(end), F.col("sig").alias(f"_{end}")).hint("merge"), end)
+    same = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.where(same >= matches).select("a", "b")
+
+
+def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, matches: int, percent: int, block_docs: int = 256, block_shingles: int = 400_000, short: int = SHORT) -> DataFrame:
+    """Confirmed links between classes, as (a, b): all of short lists, and a spanning forest of each pair of blocks of a crowd."""
+    lead = written(prefixes(classes, matches), "prefixes")
+    posted = lead.select("doc_id", F.explode("prefix").alias("pair"))
+    lists = written(posted.groupBy("pair").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"), "lists")
+    met = posted.join(lists.where(F.col("n") > short).hint("merge"), "pair").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    crowds = components(met)
+    pairs = written(short_pairs(posted, lists, crowds, classes, matches, short), "pairs")
+    cand = crowds.join(lead.hint("merge"), crowds["node"] == lead["doc_id"]).select("component", "doc_id", "prefix").join(classes.hint("merge"), "doc_id")
     cand = written(cand.select("doc_id", "component", "prefix", "sig", "n_shingles"), "candidates")
     blocks = cand.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block_docs, F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("members"))
     placed = heavy_join(cand, written(blocks, "blocks"), "component", "members").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    bits = bitmaps.bits_for(cand.count())
-    wanted = bitmaps.from_positions(bitmaps.positions(cand, F.col("doc_id"), bits, ID_PROBES).distinct())
+    named = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(cand.select("doc_id")).distinct(), "named")
+    bits = bitmaps.bits_for(named.count())
+    wanted = bitmaps.from_positions(bitmaps.positions(named, F.col("doc_id"), bits, ID_PROBES).distinct())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = bitmaps.tested(texts, F.col("doc_id"), written(wanted, "wanted"), bits, ID_PROBES).where("maybe").drop("maybe")
     sets = texts.mapInArrow(lambda b: _sets(b, size), "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
-    keyed = placed.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = written(sets.join(named.hint("merge"), "doc_id", "left_semi"), "sets")
+    for end, name in (("a", "left_set"), ("b", "right_set")):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)).hint("merge"), end)
+    direct = pairs.select("a", "b", "left_set", "right_set").mapInArrow(lambda b: _pairs_confirmed(b, percent), "a bigint, b bigint")
+    keyed = placed.join(sets.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "prefix", "sig", "shingles")
-    return keyed.groupBy("component", "i", "j").applyInArrow(lambda t: _confirmed(t, matches, percent), "a bigint, b bigint")
+    return direct.unionByName(keyed.groupBy("component", "i", "j").applyInArrow(lambda t: _confirmed(t, matches, percent), "a bigint, b bigint"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 34) -> DataFrame:
@@ -233,7 +269,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     table = signed(docs, id_col, text_col, size, coordinates)
     classes = written(table.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("sig", "n_shingles"), "doc_id").alias("first"), F.min("doc_id").alias("doc_id"), F.count("*").alias("members")).select("set_key", "doc_id", "members", "first.sig", "first.n_shingles"), "classes")
     found = components(links(docs, classes, id_col, text_col, size, matches, percent))
-    named = classes.select("set_key", "doc_id", "members").join(found, classes["doc_id"] == found["node"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "members")
+    named = classes.select("set_key", "doc_id", "members").join(found.hint("merge"), classes["doc_id"] == found["node"], "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"), "members")
     full = heavy_join(table.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), written(named, "named"), "set_key", "members").select("doc_id", "n_shingles", "component_id")
     empty = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
