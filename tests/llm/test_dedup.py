@@ -81,6 +81,14 @@ def test_near_on_a_hot_group(spark, blocks, monkeypatch):
     assert result(near.groups(docs, size=4)) == brute(rows)
 
 
+def test_near_keeps_one_of_each_with_clashing_columns(odd, nothing):
+    kept = near.keep_one(odd)
+    assert kept.columns == odd.columns and near.keep_one(nothing).count() == 0 and near.keep_one(nothing).columns == odd.columns
+    want = {i for i, v in brute([*ODD], 5).items() if v[2]}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert all(r["text_sha256"] == "keep" and r["k"] == "x" for r in kept.collect())
+
+
 def test_near_on_the_small_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
@@ -90,6 +98,33 @@ def test_near_on_the_small_table(spark, small):
     assert near.keep_one(docs).columns == docs.columns
 
 
+def test_chains_of_passages_make_no_candidate_groups(spark, monkeypatch):
+    """Each text shares two of three passages with the next (similarity .5): no crowd, few counted pairs, no link."""
+    r, seen = random.Random(1), {}
+    passages = [" ".join(f"w{r.randrange(10**7)}" for _ in range(60)) for _ in range(402)]
+    docs = spark.createDataFrame([(i, " ".join(passages[i : i + 3])) for i in range(400)], "doc_id bigint, text string")
+    original = near.short_pairs
+
+    def spy(*a):
+        out = original(*a)
+        seen.update(pairs=out.count(), crowds=a[2].count())
+        return out
+
+    monkeypatch.setattr(near, "short_pairs", spy)
+    assert near.groups(docs).where("not kept").count() == 0
+    assert seen["crowds"] == 0 and seen["pairs"] < 400
+
+
+@pytest.mark.parametrize("short", [0, 3, 1000])
+def test_near_with_any_split_of_lists(spark, short, monkeypatch):
+    """All lists long, a mixture, all lists short: a hot group and pairs that reach out of it."""
+    rows = family(30, 5)
+    rows += [(100 + i, t + f" x{i} y{i}") for i, t in rows[:6]] + [(200 + i, f"{i} " * 5 + f"tail{i % 3}") for i in range(9)]
+    original = near.links
+    monkeypatch.setattr(near, "links", lambda *a: original(*a, short=short))
+    assert result(near.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4)) == brute(rows)
+
+
 def test_shingles_of_a_batch():
     import pyarrow as pa
 
@@ -123,14 +158,15 @@ def digest(t):
     return hashlib.sha256((t or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("probes", [1, 3])
 @pytest.mark.parametrize("bits", [1 << 24, 1 << 15, 64])
-def test_exact(odd, nothing, bits):
+def test_exact(odd, nothing, bits, probes):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     size = Counter(digest(t) for _, t in rows)
     last = {}
     for i, t in rows:
         last[digest(t)] = max(i, last.get(digest(t), i))
-    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact.groups(odd, bits=bits).collect())
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact.groups(odd, bits=bits, probes=probes).collect())
     assert got == sorted((i, last[digest(t)], size[digest(t)], i == last[digest(t)], digest(t)) for i, t in rows)
     assert exact.groups(nothing).count() == 0
 

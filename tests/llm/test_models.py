@@ -74,6 +74,17 @@ def test_language_on_held_out_documents(spark, small):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_bounds(spark):
+    """A dirty column of many languages: the most frequent ones are learned; long texts bound the sample by bytes."""
+    rows = [(i, "the cat sat on a mat " * (2000 if i == 0 else 1), "en") for i in range(40)] + [(100 + i, "der hund und die katze", "de") for i in range(30)] + [(200 + i, f"x{i}", f"dirty{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    trees = language.train(docs, most_languages=2)
+    assert trees.languages == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, trees).collect()}
+    assert got[1] == "en" and got[101] == "de"
+    assert len(language.train(docs, most_bytes=200).languages) == 256
+
+
 def test_language_cases(odd, nothing):
     trees = language.train(odd)
     rows = {r["doc_id"]: r for r in language.identify(odd, trees).collect()}
@@ -106,14 +117,15 @@ def slow_lm(rows, held, deleted, mixture):
     return out, main
 
 
-def test_language_model_equals_brute_force(spark, small, monkeypatch):
+@pytest.mark.parametrize("ranges", [(3, 1), (2, 3), (5, 4)])
+def test_language_model_equals_brute_force(spark, small, monkeypatch, ranges):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(80)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     found = {}
     original = ngrams.weights
     monkeypatch.setattr(ngrams, "weights", lambda *a: found.setdefault("a", original(*a)))
     local = spark.createDataFrame([*rows, (10**6, None), (10**6 + 1, "")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in ngrams.score(local, fold("doc_id", 7) == 2, fold("doc_id", 7) == 3, ranges=3).collect()}
+    got = {r["doc_id"]: r for r in ngrams.score(local, fold("doc_id", 7) == 2, fold("doc_id", 7) == 3, ranges=ranges).collect()}
     h = lambda i: zlib.crc32(str(i).encode()) % 7
     want, _ = slow_lm([*rows, (10**6, None), (10**6 + 1, "")], lambda i: h(i) == 2, lambda i: h(i) == 3, found["a"])
     assert set(got) == set(want)
@@ -135,12 +147,115 @@ def test_language_model_cases(odd, nothing):
     assert ngrams.score(nothing, F.lit(False), F.lit(False)).count() == 0
 
 
+def test_hash_ranges_follow_the_bytes():
+    assert ngrams.ranges_for(0) == (1, 1)
+    for size in (10**6, 10**9, 3 * 10**10, 10**13, 10**14):
+        coarse, fine = ngrams.ranges_for(size)
+        assert size / (coarse * fine) <= ngrams.RANGE_BYTES and max(coarse, fine) <= 2 * ngrams.MOST_RANGES
+
+
 def test_mixture_weights_prefer_what_explains():
     cells = np.array([(3 * (ngrams.DEPTH + 1) + 2) * (ngrams.DEPTH + 1) + 60, (3 * (ngrams.DEPTH + 1) + ngrams.DEPTH) * (ngrams.DEPTH + 1) + ngrams.DEPTH])
     a = ngrams.weights(cells, np.array([90, 10]), 1e-4)[3]
     assert a[0] == pytest.approx(0.9, abs=0.01) and a[2] == pytest.approx(0.1, abs=0.01)
 
 
+def graded(n=60, features=25, seed=0):
+    """Random sparse documents, and grades that follow a score."""
+    r = np.random.default_rng(seed)
+    sizes = r.integers(1, 8, n)
+    starts = np.r_[0, np.cumsum(sizes)]
+    feature = np.concatenate([r.choice(features, s, replace=False) for s in sizes])
+    value = r.uniform(0.5, 2.0, len(feature))
+    truth = r.normal(0, 1.5, features)
+    score = np.array([(truth[feature[a:b]] * value[a:b]).sum() for a, b in zip(starts, starts[1:])]) + r.normal(0, 0.5, n)
+    return starts, feature, value, np.digitize(score, [-1.0, 1.0])
+
+
+def slow_value(scores, thresholds, grade, mass):
+    total = 0.0
+    for s, g, m in zip(scores, grade, mass, strict=True):
+        below = lambda k, s=s: 0.0 if k < 0 else 1.0 if k >= len(thresholds) else 1 / (1 + math.exp(s - thresholds[k]))
+        total -= m * math.log(below(g) - below(g - 1))
+    return total
+
+
+def test_quality_likelihood_and_slopes():
+    r = np.random.default_rng(1)
+    scores, thresholds, grade, mass = r.normal(0, 2, 40), np.array([-0.7, 0.9, 2.0]), r.integers(0, 4, 40), r.uniform(0.1, 1, 40)
+    value, ds, dt = quality.slopes(scores, thresholds, grade, mass)
+    assert value == pytest.approx(slow_value(scores, thresholds, grade, mass), rel=1e-9)
+    h = 1e-6
+    for i in range(40):
+        up, down = (slow_value(scores + h * sign * (np.arange(40) == i), thresholds, grade, mass) for sign in (1, -1))
+        assert ds[i] == pytest.approx((up - down) / (2 * h), abs=1e-6)
+    for k in range(3):
+        up, down = (slow_value(scores, thresholds + h * sign * (np.arange(3) == k), grade, mass) for sign in (1, -1))
+        assert dt[k] == pytest.approx((up - down) / (2 * h), abs=1e-6)
+
+
+def test_quality_fit_ends_at_the_least_value():
+    """At the end no weight can improve the penalised value: slopes of live weights equal the penalty, others lie below it."""
+    starts, feature, value, grade = graded()
+    features, penalty, n = 25, 0.004, 60
+    model = quality.fit(starts, feature, value, grade, features, 3, penalty=penalty, rounds=20000, tolerance=0.0)
+    rarity = np.log(n / np.maximum(np.bincount(feature, minlength=features), 1)) / np.log(n) + 0.02
+    x = np.zeros((n, features))
+    for d in range(n):
+        x[d, feature[starts[d] : starts[d + 1]]] = value[starts[d] : starts[d + 1]]
+    _, ds, dt = quality.slopes(x @ model.weights, model.thresholds, grade, np.full(n, 1 / n))
+    slope, live = (x.T @ ds) * rarity, model.weights != 0
+    assert np.abs(dt).max() < 1e-4 and live.any() and not live.all()
+    assert np.allclose(slope[live], -penalty * np.sign(model.weights[live]), atol=1e-4)
+    assert (np.abs(slope[~live]) <= penalty + 1e-4).all()
+    early = quality.fit(starts, feature, value, grade, features, 3, penalty=penalty)
+    total = lambda m: quality.slopes(x @ m.weights, m.thresholds, grade, np.full(n, 1 / n))[0] + penalty * np.abs(m.weights / rarity).sum()
+    assert total(early) <= total(model) * 1.001
+
+
+def slow_features(text, buckets):
+    import xxhash
+
+    h = lambda b: xxhash.xxh3_64_intdigest(b) % buckets
+    found, marks, again = Counter(), Counter(), 0
+    tokens = [w.decode() for w in words(text)]
+    for before, w in zip([None, *tokens], tokens):
+        core = w.strip(quality._PUNCTUATION)
+        if core:
+            found[h(b"w" + core.encode())] += 1
+            for n in quality.PREFIXES:
+                if len(core) > n:
+                    found[(n, h(b"p" + core[:n].encode()))] += 1
+        tail = w[len(w.rstrip(quality._PUNCTUATION)) :]
+        if core != w and tail:
+            marks[h(b"e" + tail.encode())] += 1
+        again += before == w
+    out = Counter()
+    for key, n in found.items():
+        slot = key[1] if isinstance(key, tuple) else key
+        out[slot] += 1
+        if n > 1:
+            out[quality._often(slot, buckets)] += 1
+    for slot, n in [*marks.items(), *([(h(b"r"), again)] if again else [])]:
+        out[slot] += math.sqrt(n / len(tokens)) * 4
+    return out
+
+
+def test_quality_scores_equal_brute_force(spark, small):
+    """The query's columns from weights, words and thresholds, one text at a time."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.train(docs, quality.grades_of(spark.read.parquet(f"{small}/labels.parquet")), least_docs=2)
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert weight and got.keys() == texts.keys()
+    for i, text in texts.items():
+        s = sum(weight.get(slot, 0.0) * x for slot, x in slow_features(text, model.buckets).items())
+        tails = [1 - 1 / (1 + math.exp(min(500, s - t))) for t in model.thresholds]
+        assert got[i]["expected_grade"] == pytest.approx(sum(tails), abs=1e-4) and got[i]["tail_probability"] == pytest.approx(tails[1], abs=1e-4)
+        assert got[i]["selected"] == (got[i]["tail_probability"] >= 0.5)
+
+
 def test_quality_on_held_out_ratings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
     labels = quality.grades_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id < 6000"))

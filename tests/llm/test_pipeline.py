@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 from frameloom.llm import queries
 from tests.llm.test_dedup import brute, digest
@@ -37,3 +39,40 @@ def test_run_gives_the_last_stage(spark, small):
 
 def test_every_query_is_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+@pytest.fixture(scope="module")
+def odd_folder(odd, spark, tmp_path_factory):
+    """Odd documents with clashing columns, and ratings with nulls, doubles and unknown ids."""
+    folder = tmp_path_factory.mktemp("odd")
+    odd.write.parquet(f"{folder}/documents.parquet")
+    ratings = [(3, 1, 0), (4, 1, 0), (4, None, None), (5, None, 0), (7, 0, 1), (99, 1, 0), (None, 1, 0)]
+    spark.createDataFrame(ratings, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages_on_odd_documents(spark, odd, odd_folder):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd_folder)
+        assert out.columns == odd.columns
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {r["doc_id"] for r in docs.collect()}
+        if name == "language_id":
+            assert not ids & {0, 1, 2, 12}
+        if name == "exact_dedup":
+            assert 4 not in ids  # row 5 has its text and a larger id
+        docs = out if ids else docs
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, odd_folder)
+    assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in odd.collect()}
+
+
+def test_stages_on_an_empty_table(spark, nothing, odd_folder):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, odd_folder)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == nothing.columns)
+
+
+def test_without_ratings_all_documents_stay(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_classifier(spark, odd, str(tmp_path)).count() == odd.count()

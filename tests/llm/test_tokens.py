@@ -59,6 +59,41 @@ def test_decoding_any_ids(ids):
     assert sentencepieces.decode(ids, PIECES) == library().decode(ids)
 
 
+def test_long_words_equal_the_library():
+    """Words of more than LONG characters: random letters, pieces, periodic runs whose pairs tie, characters outside."""
+    r, lib = random.Random(2), library()
+    pieces = [t.replace("▁", "") for t in sentencepieces.load(PIECES).texts[300:] if t.replace("▁", "")]
+    texts = [w * (1500 // len(w) + 1) for w in ("a", "ab", "thx", "inging", "==", "日", "é0", "\u3000x")]
+    texts += ["".join(r.choice(alphabet) for _ in range(3000)) for alphabet in ("01", "etaoinshr", "ABCxyz0189+/", "日本éß a" * 1)]
+    for _ in range(60):
+        parts = r.sample(pieces, r.randint(1, 5))
+        texts.append("".join(r.choice(parts) for _ in range(700)))
+    texts += ["short " + t + " " + t[:600] + " end" for t in texts[:6]]
+    for got, t in zip(sentencepieces.encode(pa.array(texts), PIECES), texts, strict=True):
+        assert got.tolist() == lib.encode(t)
+
+
+@pytest.mark.parametrize("unit", ["QxZ7+kw/", "inging", "a"])
+def test_a_megabyte_without_blanks(unit):
+    r = random.Random(0)
+    text = "".join(r.choice(unit) for _ in range(1 << 20)) if len(unit) > 6 else unit * ((1 << 20) // len(unit))
+    assert sentencepieces.encode(pa.array([text]), PIECES)[0].tolist() == library().encode(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.text(max_size=60)), min_size=1, max_size=4))
+def test_digests_equal_the_library_on_any_text(texts):
+    """What the query returns of each text, with its own way of decoding."""
+    lib = library()
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(sentencepieces._digests([batch], PIECES)).to_pylist()
+    for row, t in zip(rows, texts, strict=True):
+        ids = lib.encode(t)
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
 def test_round_trip_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in sentencepieces.round_trip(odd, PIECES).collect()}
     lib = library()
@@ -182,6 +217,7 @@ def test_directly_addressable_codes(values, bits):
     assert file.levels.all().tolist() == values
     for i in range(0, len(values), 97):
         assert file.levels.get(i) == values[i]
+    assert file.levels.at(np.arange(len(values))).tolist() == values
 
 
 def test_token_files(odd, nothing):
@@ -197,3 +233,23 @@ def test_token_files(odd, nothing):
     assert files.count() > 3
     assert sorted(r["n_tokens"] for r in dac.read(dac.write(odd, BYTES)).collect())[0] == 1  # repeated rows are documents
     assert dac.read(dac.write(nothing, BYTES)).count() == 0
+
+
+def test_token_files_answer_single_positions(spark, odd, nothing):
+    t = tokenizer(BYTES)
+    files = dac.write(odd.dropDuplicates(["doc_id"]), BYTES, most_ids=50, ranges=3)
+    ids = {i: [*t.encode(text or "", add_special_tokens=False).ids, 0] for i, text in ODD}
+    wanted = [(i, p) for i, x in ids.items() for p in {0, len(x) // 2, len(x) - 1, len(x), -1}] + [(999, 0)]
+    got = {(r["doc_id"], r["position"]): r["token"] for r in dac.lookup(files, spark.createDataFrame(wanted, "doc_id bigint, position bigint")).collect()}
+    assert got == {(i, p): ids[i][p] for i, p in wanted if i in ids and 0 <= p < len(ids[i])}
+    ends = {r["doc_id"]: (r["first_token"], r["last_token"]) for r in dac.read(files).collect()}
+    assert ends == {i: (x[0], x[-1]) for i, x in ids.items()}
+    assert dac.lookup(dac.write(nothing, BYTES), spark.createDataFrame([(1, 0)], "doc_id bigint, position bigint")).count() == 0
+
+
+def test_rows_of_one_id_spread_over_ranges(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 40} of many words") for i in range(200)], "doc_id bigint, text string").repartition(4)
+    files = dac.write(docs, BYTES, ranges=6)
+    assert files.select("part").distinct().count() > 3
+    rows = sorted(dac.read(files).collect(), key=lambda r: r["start"])
+    assert len(rows) == 200 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
