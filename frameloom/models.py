@@ -8,6 +8,7 @@ name; unknown names give the default, as do missing models the stubs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,6 +63,16 @@ def _blobs(frames: pd.DataFrame, labels: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTED.split(", ")])
 
 
+@detector("recorded")
+def _recorded(frames: pd.DataFrame, labels: list[str]) -> pd.DataFrame:
+    """Detections that the image column holds as JSON: label, and whether it is a scene region."""
+    rows = []
+    for f in frames.itertuples():
+        found = json.loads(f.image)
+        rows.append((f.video_id, f.frame_idx, 0, found["raw_label"], 0.0, 0.0, 1.0, 1.0, 1.0, "segformer_scene" if found["scene"] else "yolo_world"))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTED.split(", ")])
+
+
 @embedder("histogram")
 def _histogram(crops: pd.DataFrame) -> np.ndarray:
     from frameloom.operators.rasters import histogram_embedding
@@ -85,6 +96,13 @@ def hybrid(frames: DataFrame, foreground: str, scene: str, labels: list[str], sc
     return detected(frames, foreground, labels).unionByName(detected(frames, scene, scene_labels))
 
 
+def detected_apart(frames: DataFrame, backend: str, labels: list[str], scene_sources: tuple[str, ...] = ("segformer_scene", "secondary_scene_anchor")) -> tuple[DataFrame, DataFrame]:
+    """One run of a detector over all frames, its rows told apart by source: objects, and scene regions."""
+    rows = detected(frames, backend, labels)
+    scene = F.coalesce(F.col("source").isin(*scene_sources), F.lit(False))
+    return rows.where(~scene), rows.where(scene)
+
+
 def embedded(crops: DataFrame, backend: str = "histogram", key: str = "proposal_id") -> DataFrame:
     """(key, embedding) of crops with an image; the others are left out."""
     run = _EMBEDDERS[backend]

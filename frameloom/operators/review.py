@@ -78,7 +78,7 @@ def cleaned(instances: DataFrame, clusters: DataFrame, include_uncertain: bool =
         keep = keep & (F.col("status") != "uncertain") & ~F.coalesce(F.col("cluster_status") == "uncertain", F.lit(False))
     out = rows.where(keep).withColumn("label", L.normalize(C.first_present(F.col("human_label"), F.col("predicted_label"))))
     names = out.select("label").distinct().withColumn("class_idx", F.dense_rank().over(Window.orderBy("label")) - 1)
-    return out.join(F.broadcast(names), "label").select("proposal_id", "label", "class_idx")  # names: as many rows as labels
+    return out.join(names, "label").select("proposal_id", "label", "class_idx")
 
 
 def correction_state(bbox: Column, mask: Column, bbox_only: Column) -> Column:
@@ -87,7 +87,7 @@ def correction_state(bbox: Column, mask: Column, bbox_only: Column) -> Column:
 
 def merged_clusters(instances: DataFrame, merges: DataFrame) -> DataFrame:
     """Rows of source clusters get the target's id (one step: targets are not sources)."""
-    return instances.join(F.broadcast(merges), instances["cluster_id"] == merges["source"], "left").withColumn("cluster_id", F.coalesce("target", "cluster_id")).drop("source", "target")
+    return instances.join(merges, instances["cluster_id"] == merges["source"], "left").withColumn("cluster_id", F.coalesce("target", "cluster_id")).drop("source", "target")
 
 
 def split_off(instances: DataFrame, chosen: DataFrame) -> DataFrame:

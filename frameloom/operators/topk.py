@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.windows import running_total
+
 
 def per_group(d: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k of each group with their rank."""
@@ -45,7 +47,7 @@ def split_index(d: DataFrame, key: str, seed: int, share: float) -> DataFrame:
     """Adds ``split``: the first share of the keys, in a seeded hash order, is val (one at least)."""
     keys = d.select(key).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
     n = keys.count()
-    cut = keys.orderBy("_h", key).limit(max(1, int(n * share))).select(key, F.lit("val").alias("split"))
+    cut = running_total(keys, "_h", F.lit(1), "_n", 1 << 52).where(F.col("_n") < max(1, int(n * share))).select(key, F.lit("val").alias("split"))
     return d.join(cut, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 

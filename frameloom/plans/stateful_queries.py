@@ -9,7 +9,8 @@ from frameloom.functions import geometry as G
 from frameloom.functions import labels as L
 from frameloom.operators import masks, perframe, relations
 from frameloom.plans import views as V
-from frameloom.plans.catalog import query
+from frameloom.plans import summary_queries  # noqa: F401  its SQL is used again
+from frameloom.plans.catalog import REGISTRY, query
 from frameloom.sinks import writers
 from frameloom.streaming import frames, steps
 
@@ -94,7 +95,15 @@ def overlap_components(spark, sf_dir):
     return perframe.cookware_components(flat(spark, sf_dir)).select("det_id", "component")
 
 
-@query("X03")
+@query(
+    "X03",
+    f"""WITH RECURSIVE {V.LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx, det_id) AS k, {{'c': coarse, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b FROM lab),
+    fold(video_id, k, tracks, det_id, frame_idx, assigned) AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(c VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM r UNION ALL
+        SELECT video_id, k, CASE WHEN own > len(tracks) THEN list_append(tracks, b) ELSE list_transform(tracks, lambda t, i: CASE WHEN i = own THEN b ELSE t END) END, det_id, frame_idx, own FROM (
+            SELECT *, CASE WHEN best.s >= 0.25 THEN -best.i ELSE len(tracks) + 1 END AS own FROM (
+                SELECT f.video_id, r.k, f.tracks, r.det_id, r.frame_idx, r.b, list_max(list_transform(f.tracks, lambda t, i: {{'s': CASE WHEN t.c = r.coarse THEN {V.sql_iou("r.", "t.")} ELSE -1.0 END, 'i': -i}})) AS best FROM fold f JOIN r ON r.video_id = f.video_id AND r.k = f.k + 1)))
+    SELECT det_id, video_id, frame_idx, assigned FROM fold WHERE det_id IS NOT NULL""",
+)
 def simple_tracks(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.SimpleTracker, f"{IDS}, assigned bigint", VIDEO)
 
@@ -109,12 +118,36 @@ def reassigned_tracks(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Reassign, f"{IDS}, track_id bigint, reassigned boolean", VIDEO)
 
 
-@query("X04 X06 X11")
+_TRACK_ORDER = "(PARTITION BY video_id, track_id ORDER BY frame_idx, det_id)"
+_ABSENT = "NOT EXISTS (SELECT 1 FROM lab p WHERE p.video_id = f.video_id AND p.frame_idx = f.frame_idx AND p.track_id = o.track_id)"
+
+
+@query(
+    "X04 X06 X11",
+    f"""WITH {V.LABELLED}, f AS (SELECT DISTINCT video_id, frame_idx FROM lab), o AS (SELECT *, lead(frame_idx) OVER {_TRACK_ORDER} AS after, CASE coarse WHEN 'hand' THEN 5 WHEN 'cookware' THEN 4 ELSE 3 END AS most FROM lab WHERE confirmed AND track_id >= 0),
+    lost AS (SELECT DISTINCT o.det_id FROM o JOIN f ON f.video_id = o.video_id AND f.frame_idx > o.frame_idx + o.most AND f.frame_idx < o.after WHERE {_ABSENT}),
+    b AS (SELECT *, lag(det_id IN (SELECT det_id FROM lost), 1, FALSE) OVER {_TRACK_ORDER} AS anew FROM o), c AS (SELECT *, sum(CAST(anew AS INT)) OVER {_TRACK_ORDER} AS life FROM b),
+    s AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id, life ORDER BY frame_idx, det_id) AS stable FROM c),
+    e AS (SELECT o.det_id, o.video_id, f.frame_idx, o.track_id, coarse, f.frame_idx - o.frame_idx AS age, greatest(0.05, confidence * pow(0.92, f.frame_idx - o.frame_idx)) AS confidence FROM s o JOIN f ON f.video_id = o.video_id AND f.frame_idx > o.frame_idx AND f.frame_idx <= o.frame_idx + o.most AND (o.after IS NULL OR f.frame_idx < o.after)
+        WHERE {_ABSENT} AND stable >= 2 AND confidence >= CASE coarse WHEN 'hand' THEN 0.18 - 0.04 ELSE 0.18 END)
+    SELECT det_id, video_id, frame_idx, track_id, 'track_persist' AS source, round(confidence, 6) AS confidence, age <= CASE coarse WHEN 'hand' THEN 4 ELSE 2 END AND confidence >= 0.16 AS confirmed, CAST(age AS INT) AS persisted_age FROM e
+    UNION ALL SELECT det_id, video_id, frame_idx, track_id, source, round(confidence, 6), confirmed, 0 FROM lab""",
+)
 def persisted_rows(spark, sf_dir):
-    return frames.by_frame(flat(spark, sf_dir), steps.Persist, f"{IDS}, track_id bigint, source string, confidence double, confirmed boolean, persisted_age int", VIDEO)
+    rows = frames.by_frame(flat(spark, sf_dir), steps.Persist, f"{IDS}, track_id bigint, source string, confidence double, confirmed boolean, persisted_age int", VIDEO)
+    return rows.withColumn("confidence", R(F.col("confidence")))
 
 
-@query("X08 U06")
+@query(
+    "X08 U06",
+    f"""WITH {V.LABELLED}, f AS (SELECT *, lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS before FROM (SELECT DISTINCT video_id, frame_idx FROM lab)), h AS (SELECT video_id, frame_idx, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM lab WHERE coarse = 'hand' GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, track_id ORDER BY det_id DESC) AS n FROM lab WHERE coarse <> 'hand' AND confirmed AND track_id >= 0),
+    a AS (SELECT f.video_id, f.frame_idx, t.track_id FROM f JOIN h ON h.video_id = f.video_id AND h.frame_idx = f.frame_idx JOIN t ON t.video_id = f.video_id AND t.frame_idx = f.before AND t.n = 1 WHERE {V.sql_iou("h.", "t.")} >= 0.15 OR {V.sql_containment("h.", "t.")} >= 0.40),
+    c AS (SELECT f.video_id, f.frame_idx, count(DISTINCT a.track_id) >= 3 AS hit FROM f LEFT JOIN a ON a.video_id = f.video_id AND a.frame_idx = f.frame_idx GROUP BY ALL),
+    l AS (SELECT *, max(CASE WHEN hit THEN frame_idx END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS last FROM c), g AS (SELECT *, sum(CAST(NOT hit AND (last IS NULL OR frame_idx > last + 8) AS INT)) OVER (PARTITION BY video_id ORDER BY frame_idx) AS part FROM l),
+    x AS (SELECT g.video_id, g.part, g.frame_idx, a.track_id FROM g JOIN a ON a.video_id = g.video_id AND a.frame_idx = g.frame_idx WHERE g.hit)
+    SELECT g.video_id, g.frame_idx, coalesce(g.frame_idx <= any_value(g.last) + 8, FALSE) AS occluded, CAST(count(DISTINCT x.track_id) AS INT) AS affected FROM g LEFT JOIN x ON x.video_id = g.video_id AND x.part = g.part AND x.frame_idx <= g.frame_idx GROUP BY g.video_id, g.frame_idx""",
+)
 def occlusion_states(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Occlusion, "video_id bigint, frame_idx bigint, occluded boolean, affected int", VIDEO)
 
@@ -142,7 +175,7 @@ def track_representatives(spark, sf_dir):
     return perframe.representatives(flat(spark, sf_dir).where("track_id >= 0"))
 
 
-@query("W01 X01 D11")
+@query("W01 X01 D11", f"SELECT event_id AS det_id, event_id % 4 AS video_id, CAST(floor(event_id / 40) AS BIGINT) AS frame_idx, s.smoothed FROM events LEFT JOIN ({REGISTRY['smoothed_labels'].sql}) s ON s.det_id = event_id")
 def smoothed_step(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Smooth, f"{IDS}, smoothed string", VIDEO)
 

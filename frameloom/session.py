@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Plans are left to the optimizer; skewed and small partitions are handled at run time.
@@ -19,3 +22,13 @@ def session(name: str = "frameloom", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, below ``spark.checkpoint.dir``; a temporary one in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="frameloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,8 @@ Spark's writers.
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def coco_tables(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, categories and annotations of detections (video_id, frame_idx, det_id, fine, bbox)."""
     images = numbered_by_first(d, ["video_id", "frame_idx"], "det_id", "image_id")
     categories = numbered_by_first(d, ["fine"], "det_id", "category_id")
-    rows = d.join(images, ["video_id", "frame_idx"]).join(F.broadcast(categories), "fine")  # one row for each label
+    rows = d.join(images, ["video_id", "frame_idx"]).join(categories, "fine")
     b = F.col("bbox")
     numbered = rows.withColumn("in_image", F.row_number().over(Window.partitionBy("image_id").orderBy("det_id")))
     before = running_total(rows.groupBy("image_id").count(), "image_id", F.col("count"), "before").select("image_id", "before")
@@ -54,16 +56,17 @@ def coco_tables(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return images, categories, annotations
 
 
-def coco_documents(d: DataFrame, split: str) -> DataFrame:
-    """One JSON document for each value of ``split`` (its rows must fit one document)."""
+def coco_documents(d: DataFrame, split: str, documents: int = 1) -> DataFrame:
+    """JSON documents of each value of ``split``: one, or so many, dealt by frame (a document's rows must fit a task)."""
     doc = lambda c, *fields: F.array_sort(F.collect_set(F.struct(*fields))).alias(c)
     b = F.col("bbox")
-    grouped = d.groupBy(split).agg(
+    part = F.pmod(F.xxhash64("frame"), F.lit(documents)).cast("int").alias("part")
+    grouped = d.groupBy(split, part).agg(
         doc("images", F.col("frame").alias("file_name")),
         doc("categories", F.col("class_idx").alias("id"), F.col("label").alias("name")),
         F.array_sort(F.collect_list(F.struct(F.col("proposal_id").alias("id"), F.col("frame").alias("image"), F.col("class_idx").alias("category_id"), G.xywh(b).alias("bbox")))).alias("annotations"),
     )
-    return grouped.select(split, F.to_json(F.struct("images", "categories", "annotations")).alias("document"))
+    return grouped.select(split, *(["part"] if documents > 1 else []), F.to_json(F.struct("images", "categories", "annotations")).alias("document"))
 
 
 def yolo_lines(d: DataFrame, width: str, height: str) -> DataFrame:
@@ -88,8 +91,8 @@ def class_folders(d: DataFrame, most: int, seed: int, share: float) -> DataFrame
 
 
 def newest(d: DataFrame, name: str, keep: int) -> DataFrame:
-    """Names beyond the newest ``keep``: what housekeeping may delete."""
-    return d.withColumn("_n", F.row_number().over(Window.orderBy(F.col(name).desc()))).where(F.col("_n") > keep).drop("_n")
+    """Names (distinct) beyond the newest ``keep``, a small number: what housekeeping may delete."""
+    return d.join(d.select(name).orderBy(F.col(name).desc()).limit(keep), name, "left_anti")
 
 
 def summary_text(row: dict, title: str) -> str:
@@ -116,6 +119,12 @@ def packets(d: DataFrame, key: str) -> DataFrame:
     return d.select(key, F.to_json(F.struct(*[c for c in d.columns if c != key])).alias("packet"))
 
 
-def to_connector(d: DataFrame, send) -> None:
-    """Rows of each partition handed to ``send(rows)``, on the executors."""
-    d.foreachPartition(lambda rows: send(list(rows)))
+def to_connector(d: DataFrame, send, at_once: int = 1000) -> None:
+    """Rows of each partition handed to ``send(rows)``, so many at once, on the executors."""
+
+    def run(rows):
+        rows = iter(rows)
+        while some := list(islice(rows, at_once)):
+            send(some)
+
+    d.foreachPartition(run)

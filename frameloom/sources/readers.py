@@ -106,7 +106,7 @@ def supervisely(spark: SparkSession, path: str, label_map: DataFrame) -> DataFra
     doc = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     rows = doc.select("file", "size.height", "size.width", F.explode("objects").alias("o"))
     rows = rows.where((F.col("o.geometryType") == "polygon") & (F.size("o.points.exterior") >= 3))
-    return rows.withColumn("title", F.lower(F.trim("o.classTitle"))).join(F.broadcast(label_map), "title").select("file", "width", "height", "label", F.flatten("o.points.exterior").alias("points"))  # the map is a fixed dimension
+    return rows.withColumn("title", F.lower(F.trim("o.classTitle"))).join(label_map, "title").select("file", "width", "height", "label", F.flatten("o.points.exterior").alias("points"))  # the map is a fixed dimension
 
 
 def yolo_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +131,24 @@ def npy(spark: SparkSession, path: str, name: str = "embedding") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"embedding_idx bigint, {name} array<float>")
 
 
+def record(d: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key (none if there is none; of several the first by all columns)."""
+    return d.where(F.col(key) == value).orderBy(*[c for c, t in d.dtypes if not t.startswith("map")]).limit(1)
+
+
+def cluster_states(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Saved cluster states: a JSON list of them, or an object with the list under ``clusters``; without a file no rows."""
+    kind = f"array<struct<{fields}>>"
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], fields)
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<clusters: {kind}>")["clusters"])
+    return raw.select(F.explode(listed).alias("s")).select("s.*")
+
+
 def synthetic_proposals(images: DataFrame, labels: list[str], width: int, height: int) -> DataFrame:
     """One to five boxes for each image, decided by a hash of its id."""
     part = lambda salt, n: F.pmod(F.xxhash64("image_id", "i", F.lit(salt)), F.lit(n))

@@ -70,7 +70,7 @@ def test_occlusion_lasts():
     assert [r["occluded"] for r in out] == [True] * 9 + [False] * 2 and out[0]["affected"] == 3
 
 
-@pytest.mark.parametrize(("step", "extra"), [(steps.Smooth, "smoothed string"), (steps.SimpleTracker, "assigned bigint"), (steps.TwoStageTracker, "assigned bigint"), (steps.Reassign, "track_id bigint, reassigned boolean")])
+@pytest.mark.parametrize(("step", "extra"), [(steps.Smooth, "smoothed string"), (steps.SimpleTracker, "assigned bigint"), (steps.TwoStageTracker, "assigned bigint"), (steps.Reassign, "track_id bigint, reassigned boolean"), (steps.Persist, "track_id bigint, source string, confidence double, persisted_age int"), (steps.MaskCache, "cached boolean")])
 def test_stream_equals_batch(spark, small, tmp_path, step, extra):
     d = Q.flat(spark, small).where("frame_idx < 12")
     schema = f"{Q.IDS}, {extra}"
