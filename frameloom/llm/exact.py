@@ -2,9 +2,10 @@
 
 Pass one turns every text's hash into ``probes`` positions of a bitmap and
 marks the positions hit twice or more; the positions are counted before they
-are shuffled. The bitmap has ``bits`` bits (eight a row by
-default, 2^28 at most), so the broadcast table of its blocks never exceeds
-``probes * bits / 8`` bytes. Pass two tests each row: a row one
+are shuffled, as one number and its count. The bitmap has ``bits`` bits (16 a
+row by default, 2^29 at most), so the broadcast table of its blocks never
+exceeds ``probes * bits / 8`` bytes. One probe is the default: a second one
+would send as many positions again to clear one row in twenty more. Pass two tests each row: a row one
 of whose positions was hit once has no equal and passes straight through;
 only the others (repeats and the filter's false positives) shuffle, as id and
 digest, never as text. A fuller filter lets more rows shuffle but never changes
@@ -30,8 +31,10 @@ from frameloom.llm.shared import heavy_join, only, written
 
 def _marked(digests: DataFrame, bits: int, probes: int) -> DataFrame:
     """The bitmap of the positions that two rows or more hit."""
-    each = bitmaps.positions(digests, F.col("text_sha256"), bits, probes)
-    return bitmaps.from_positions(each.groupBy("k", "position").agg(F.count("*").alias("n")).where("n > 1"))
+    places = [F.lit(k * bits) + bitmaps.probe(F.col("text_sha256"), k, bits) for k in range(probes)]
+    place = places[0] if probes == 1 else F.explode(F.array(*places))
+    hit = digests.select(place.alias("place")).groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    return bitmaps.from_positions(hit.select(F.floor(F.col("place") / bits).cast("int").alias("k"), F.pmod("place", F.lit(bits)).alias("position")))
 
 
 def _digest(text: str):
@@ -42,10 +45,10 @@ def _found(suspects: DataFrame) -> DataFrame:
     return suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 2, heavy: int = 1024) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 1, heavy: int = 1024) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
-    bits = bits or bitmaps.bits_for(digests.count())
+    bits = bits or 2 * bitmaps.bits_for(digests.count())
     marks = written(_marked(digests, bits, probes), "bitmap")
     tested = bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes)
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
@@ -56,14 +59,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, probes: int = 1) -> DataFrame:
     """The documents, all columns, without the rows that an equal text with a larger id replaces.
 
     Rows that the filter clears pass without a shuffle; only the others meet
     what stays, by digest and id, so that no large group lands in one task.
     """
     digests = written(only(docs, doc_id=id_col, text=text_col).select("doc_id", _digest("text").alias("text_sha256")), "digests")
-    bits = bits or bitmaps.bits_for(digests.count())
+    bits = bits or 2 * bitmaps.bits_for(digests.count())
     marks = written(_marked(digests, bits, probes), "bitmap")
     staying = _found(bitmaps.tested(digests, F.col("text_sha256"), marks, bits, probes).where("maybe")).select(F.col("text_sha256").alias("_d"), F.col("keep_id").alias("_keep"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
