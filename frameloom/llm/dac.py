@@ -10,12 +10,14 @@ decoded for that.
 A file holds whole documents in ascending order of id: header, document ids,
 where each starts, and the levels. Files are rows of a Parquet table (written
 by Spark's committer, so a lost executor leaves no half files), dealt by ranges
-of the id; a file knows where it starts in its range.
+of the id, one for RANGE_BYTES of text; a file knows where it starts in its
+range. lookup() reads single ids by document and position.
 
 Cases: null and empty texts are the end id alone; documents with one id lie one
 behind the other, ordered by their text's hash, those without an id before all
-others; extra columns are ignored; an
-empty table gives an empty result. Ids of documents are whole numbers.
+others (ranges cut by that hash and the row too, so that rows of one id spread);
+extra columns are ignored; an empty table gives an empty result. Ids of
+documents are whole numbers.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from frameloom.llm.shared import id_array, id_column, tasks_for, written
 MAGIC = b"DACF"
 VERSION = 1
 STRIDE = 512  # bits between two entries of a rank directory
+RANGE_BYTES = 16 << 20  # bytes of text for each range of ids
 _HEAD = struct.Struct("<4sHBBQQ")  # magic, version, bits, levels, documents, ids
 
 
@@ -81,6 +84,23 @@ class Levels:
             i = int(ranks[i // STRIDE]) + int(np.bitwise_count(bitmap[first:byte]).sum(dtype=np.int64)) + (int(bitmap[byte]) & ((1 << bit) - 1)).bit_count()
         return value
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places, each as get() finds it."""
+        places = np.asarray(places, dtype=np.int64)
+        out, open_ = np.zeros(len(places), dtype=np.uint32), np.arange(len(places))
+        for level, (chunks, bitmap, ranks) in enumerate(zip(self.chunks, self.bitmaps, self.ranks, strict=True)):
+            out[open_] |= chunks[places].astype(np.uint32) << np.uint32(level * self.bits)
+            more = (bitmap[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+            open_, places = open_[more], places[more]
+            if not len(open_):
+                break
+            stride, inside = places // STRIDE, places % STRIDE
+            windows = bitmap.reshape(-1, STRIDE // 8)[stride]
+            byte = np.arange(STRIDE // 8)
+            mask = np.where(byte < (inside >> 3)[:, None], 0xFF, np.where(byte == (inside >> 3)[:, None], (1 << (inside & 7)[:, None]) - 1, 0)).astype(np.uint8)
+            places = ranks[stride].astype(np.int64) + np.bitwise_count(windows & mask).sum(axis=1, dtype=np.int64)
+        return out
+
     def all(self) -> np.ndarray:
         """Every id."""
         above = None
@@ -147,18 +167,27 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 0, bits: int = 8, mos
     """Write the files; the table of files (part, seq, part_start, tokens, payload), read again.
 
     Files in order of (part, seq) hold the documents in ascending order of id.
+    ``ranges`` is by default one for RANGE_BYTES of text, the session's number
+    of shuffle partitions at least.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = ranges or tasks_for(docs.sparkSession)
-    ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(tasks_for(docs.sparkSession), -(-size // RANGE_BYTES))
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"), "text")
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "_text", "_row").sortWithinPartitions("doc_id", "_text").select("doc_id", "text")
     return written(ordered.mapInArrow(lambda b: _files(b, tokenizer_path, end, bits, most_ids), "part int, seq int, part_start bigint, tokens bigint, payload binary"), "dac")
 
 
 def read(files: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("tokens")).alias("n")).collect()  # one row for each range
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, first_token, last_token.
+
+    The last two are read by random access, the sum over all ids from the
+    decoded levels.
+    """
+    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("tokens")).alias("n"))  # one row for each range
     base, total = {}, 0
-    for row in sorted(totals, key=lambda r: r["part"]):
+    for row in totals.orderBy("part").toLocalIterator():
         base[row["part"]] = total
         total += row["n"]
 
@@ -169,6 +198,36 @@ def read(files: DataFrame) -> DataFrame:
                 view = memoryview(np.ascontiguousarray(file.levels.all(), dtype="<u4")).cast("B")
                 at = file.starts.tolist()
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([id_column(file.doc_ids), pa.array(base[part] + start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ends = [file.levels.at(p).astype(np.int64) for p in (file.starts[:-1], file.starts[1:] - 1)]
+                yield pa.RecordBatch.from_arrays([id_column(file.doc_ids), pa.array(base[part] + start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64()), *map(pa.array, ends)], names=["doc_id", "start", "n_tokens", "ids_crc32", "first_token", "last_token"])
+
+    return files.select("part", "part_start", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_token bigint, last_token bigint")
+
+
+def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, position, token) of wanted (doc_id, position) rows, by random access; nothing for positions outside.
 
-    return files.select("part", "part_start", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    The documents of the files say which file has a wanted row; only those rows
+    travel, to the files, where no more than their codes is read. With repeated
+    ids every document of the id answers.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            for part, seq, payload in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("payload"), strict=True):
+                file = File(payload.as_py())
+                n = len(file.doc_ids)
+                yield pa.RecordBatch.from_arrays([id_column(file.doc_ids), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(file.starts[:-1]), pa.array(np.diff(file.starts))], names=["doc_id", "part", "seq", "first", "n"])
+
+    def found(batches):
+        for batch in batches:
+            for payload, rows in zip(batch.column("payload"), batch.column("rows").to_pylist(), strict=True):
+                file = File(payload.as_py())
+                tokens = file.levels.at(np.array([r["first"] + r["position"] for r in rows], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["position"] for r in rows], pa.int64()), pa.array(tokens.astype(np.int64))], names=["doc_id", "position", "token"])
+
+    index = files.select("part", "seq", "payload").mapInArrow(listed, "doc_id bigint, part int, seq int, first bigint, n bigint")
+    asked = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("position").cast("bigint").alias("position")).join(index, "doc_id").where("position >= 0 and position < n")
+    chunk = F.pmod(F.xxhash64("doc_id", "position"), F.lit(64)).alias("chunk")  # a file's rows come in so many lists
+    lists = asked.groupBy("part", "seq", chunk).agg(F.collect_list(F.struct("doc_id", "first", "position")).alias("rows"))
+    return files.select("part", "seq", "payload").join(lists, ["part", "seq"]).select("payload", "rows").mapInArrow(found, "doc_id bigint, position bigint, token bigint")
