@@ -58,7 +58,37 @@ def redundant_dropped(spark, sf_dir):
     return perframe.without_redundant(flat(spark, sf_dir))
 
 
-@query("J10 Z01 Z02 F03 F04")
+def _side(x: str) -> str:
+    """Columns of one row of a pair, named with its letter in front."""
+    names = {"id": "det_id", "g": "lower(coarse)", "raw": "raw_label", "c": "confidence", "conf": "coalesce(confirmed, FALSE)", "seen": "CASE WHEN track_id >= 0 THEN 2 ELSE 1 END", "strong": f"CAST({V.sql_in('source', T.STRONG_SOURCES)} AS INT)", "rank": V.sql_rank("source", T.SOURCE_RANK), "group": V.sql_rank("lower(coarse)", T.GROUP_RANK),
+             "long": "greatest(greatest(1.0, x2 - x1) / greatest(1.0, y2 - y1), greatest(1.0, y2 - y1) / greatest(1.0, x2 - x1)) >= 2.2"}
+    return ", ".join(f"{expression} AS {x}_{name}" for name, expression in names.items())
+
+
+_SOLID = "('cookware', 'dishware', 'appliance')"
+_BETTER = "(b_g = 'dishware' AND a_g = 'cookware' AND ((a_c >= 0.30 AND b_c < a_c + 0.20) OR (sa, a_strong, a_group, a_c) >= (sb, b_strong, b_group, b_c)))"
+_WORSE = "(a_g = 'dishware' AND b_g = 'cookware' AND ((b_c >= 0.30 AND a_c < b_c + 0.20) OR (sb, b_strong, b_group, b_c) >= (sa, a_strong, a_group, a_c)))"
+
+
+@query(
+    "J10 Z01 Z02 F03 F04",
+    f"""WITH RECURSIVE {V.LABELLED}, l AS (SELECT *, {_side("a")} FROM lab), r AS (SELECT *, {_side("b")} FROM lab),
+    p AS (SELECT a.video_id, a.frame_idx, {", ".join(f"{x}_{n}" for x in "ab" for n in ("id", "g", "raw", "c", "conf", "seen", "strong", "rank", "group", "long"))}, row_number() OVER (PARTITION BY a.video_id, a.frame_idx ORDER BY a.det_id, b.det_id) AS k
+        FROM l a JOIN r b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id < b.det_id WHERE ({V.sql_iou("a.", "b.")} >= 0.60 OR {V.sql_containment("a.", "b.")} >= 0.70) AND (a_g = b_g OR (a_g <> 'hand' AND b_g <> 'hand'))),
+    fold(video_id, frame_idx, k, cur, cur_gone, cur_conf, gone, weak, notes) AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), FALSE, FALSE, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS STRUCT(w BIGINT, t VARCHAR)[]) FROM p UNION ALL
+        SELECT video_id, frame_idx, k, a_id, cg, cc, CASE WHEN active AND NOT doubt THEN list_append(gone, loser) ELSE gone END, CASE WHEN active AND doubt THEN list_append(weak, loser) ELSE weak END,
+            CASE WHEN active AND (doubt OR a_g <> b_g OR a_raw <> b_raw) THEN list_append(notes, {{'w': winner, 't': trim(CASE WHEN loser = a_id THEN a_raw ELSE b_raw END)}}) ELSE notes END FROM (
+            SELECT *, da OR db AS doubt, CASE WHEN da THEN b_id WHEN db THEN a_id WHEN wins THEN a_id ELSE b_id END AS winner, CASE WHEN da THEN a_id WHEN db THEN b_id WHEN wins THEN b_id ELSE a_id END AS loser FROM (
+                SELECT *, a_g = 'utensil' AND b_g IN {_SOLID} AND a_c < 0.60 AND NOT (a_long AND sa >= 1) AS da, b_g = 'utensil' AND a_g IN {_SOLID} AND b_c < 0.60 AND NOT (b_long AND sb >= 1) AS db,
+                    CASE WHEN {_BETTER} THEN TRUE WHEN {_WORSE} THEN FALSE ELSE (sa, a_strong, a_rank, a_group, a_c) >= (sb, b_strong, b_rank, b_group, b_c) END AS wins, NOT cg AND NOT list_contains(gone, b_id) AS active FROM (
+                    SELECT *, CASE WHEN cc THEN a_seen ELSE 0 END AS sa, CASE WHEN b_conf AND NOT list_contains(weak, b_id) THEN b_seen ELSE 0 END AS sb FROM (
+                        SELECT p.*, f.gone, f.weak, f.notes, CASE WHEN p.a_id <> f.cur THEN list_contains(f.gone, p.a_id) ELSE f.cur_gone END AS cg, CASE WHEN p.a_id <> f.cur THEN p.a_conf AND NOT list_contains(f.weak, p.a_id) ELSE f.cur_conf END AS cc
+                        FROM fold f JOIN p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx AND p.k = f.k + 1))))),
+    done AS (SELECT video_id, frame_idx, max_by(gone, k) AS gone, max_by(weak, k) AS weak, max_by(notes, k) AS notes FROM fold GROUP BY ALL),
+    told AS (SELECT w, t, min(i) AS i FROM (SELECT n.w AS w, n.t AS t, i FROM (SELECT unnest(notes) AS n, unnest(range(len(notes))) AS i FROM done)) GROUP BY ALL)
+    SELECT lab.det_id, video_id, frame_idx, coarse, coalesce(confirmed, FALSE) AND NOT coalesce(list_contains(weak, lab.det_id), FALSE) AS confirmed, coalesce((SELECT string_agg(t, ',' ORDER BY i) FROM told WHERE told.w = lab.det_id), '') AS alternatives
+    FROM lab LEFT JOIN done USING (video_id, frame_idx) WHERE NOT coalesce(list_contains(gone, lab.det_id), FALSE)""",
+)
 def conflicts_resolved(spark, sf_dir):
     return perframe.resolved(flat(spark, sf_dir))
 
@@ -165,12 +195,30 @@ def matched_detectors(spark, sf_dir):
     return perframe.matched_sides(flat(spark, sf_dir), F.floor(F.col("det_id") / 4) % 2 == 0)
 
 
-@query("A17 X12")
+_CANONICAL = "CASE lower(trim(raw_label)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SCENE_CANONICAL.items()) + " ELSE lower(trim(raw_label)) END"
+
+
+@query(
+    "A17 X12",
+    f"""WITH RECURSIVE {V.LABELLED}, r AS (SELECT *, {_CANONICAL} AS name, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY confidence DESC, det_id) AS k FROM lab WHERE {V.sql_in("lower(trim(raw_label))", T.SCENE_SUPPORTS + T.SCENE_BACKGROUNDS)}),
+    fold(video_id, frame_idx, k, boxes) AS (SELECT DISTINCT video_id, frame_idx, CAST(0 AS BIGINT), CAST([] AS STRUCT(name VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, confidence DOUBLE, members INT)[]) FROM r UNION ALL
+        SELECT video_id, frame_idx, k, CASE WHEN home = 0 THEN list_append(boxes, {{'name': name, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'confidence': confidence, 'members': 1}})
+            ELSE list_transform(boxes, lambda b, i: CASE WHEN i = home THEN {{'name': b.name, 'x1': least(b.x1, x1), 'y1': least(b.y1, y1), 'x2': greatest(b.x2, x2), 'y2': greatest(b.y2, y2), 'confidence': greatest(b.confidence, confidence), 'members': b.members + 1}} ELSE b END) END FROM (
+            SELECT r.*, f.boxes, coalesce(list_position(list_transform(f.boxes, lambda b: b.name = r.name AND ({V.sql_iou("b.", "r.")} >= 0.55 OR {V.sql_overlap("b.", "r.")} >= 0.82)), TRUE), 0) AS home FROM fold f JOIN r ON r.video_id = f.video_id AND r.frame_idx = f.frame_idx AND r.k = f.k + 1)),
+    last AS (SELECT video_id, frame_idx, max_by(boxes, k) AS boxes FROM fold GROUP BY ALL), done AS (SELECT video_id, frame_idx, unnest(boxes) AS b FROM last) SELECT video_id, frame_idx, b.name AS label, b.confidence AS confidence, CAST(b.members AS INT) AS members FROM done""",
+)
 def merged_scenes(spark, sf_dir):
     return perframe.merged_scenes(flat(spark, sf_dir).where(L.is_scene(F.col("raw_label"))))
 
 
-@query("T09 T10")
+@query(
+    "T09 T10",
+    f"""WITH RECURSIVE {V.DET}, t AS (SELECT video_id, track_id, list({{'f': frame_idx, 'c': confidence, 'd': det_id}}) AS members FROM det WHERE track_id >= 0 GROUP BY ALL),
+    fold(video_id, track_id, members, chosen, ids, n) AS (SELECT video_id, track_id, members, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), 0 FROM t UNION ALL
+        SELECT video_id, track_id, members, list_append(chosen, best.f), list_append(ids, -best.d), n + 1 FROM (SELECT *, list_max(list_transform(list_filter(members, lambda x: len(chosen) = 0 OR list_min(list_transform(chosen, lambda c: abs(x.f - c))) >= 3),
+            lambda x: {{'s': 0.7 * x.c + 0.3 * least(1.0, coalesce(list_min(list_transform(chosen, lambda c: abs(x.f - c))), 20) / 20.0), 'd': -x.d, 'f': x.f}})) AS best FROM fold WHERE n < 8) WHERE best IS NOT NULL),
+    last AS (SELECT video_id, track_id, max_by(ids, n) AS ids FROM fold GROUP BY ALL), done AS (SELECT video_id, track_id, unnest(ids) AS det_id, unnest(range(len(ids))) AS place FROM last) SELECT det_id, video_id, frame_idx, track_id, CAST(place AS INT) AS place FROM done JOIN (SELECT det_id, frame_idx FROM det) USING (det_id)""",
+)
 def track_representatives(spark, sf_dir):
     return perframe.representatives(flat(spark, sf_dir).where("track_id >= 0"))
 
@@ -180,12 +228,48 @@ def smoothed_step(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Smooth, f"{IDS}, smoothed string", VIDEO)
 
 
-@query("J08 J09")
+_SCENE = T.SCENE_SUPPORTS + T.SCENE_BACKGROUNDS
+_OVERLAP = V.sql_iou("a.", "b.")
+_FAR = V.sql_distance("a.", "b.")
+
+
+def _nearest(name: str, columns: str, where: str, order: str) -> str:
+    return f"{name} AS (SELECT a.det_id, {columns}, row_number() OVER (PARTITION BY a.det_id ORDER BY {order} DESC, b.det_id) AS n FROM obj a JOIN lab b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id <> b.det_id WHERE {where})"
+
+
+#: Confirmed objects with their hand, surface and cookware, for a WITH clause.
+_SNAPSHOT = f"""{V.LABELLED}, obj AS (SELECT * FROM lab WHERE coarse <> 'hand' AND NOT {V.sql_in("lower(trim(raw_label))", _SCENE)} AND confirmed AND track_id >= 0),
+    {_nearest("h", f"b.det_id AS hand_id, {_OVERLAP} AS hand_iou, {_FAR} AS far, {V.sql_area('b.')} AS hand_area", "lower(trim(b.raw_label)) = 'hand'", f"{_OVERLAP} - {_FAR} / greatest(1.0, sqrt({V.sql_area('a.')}))")},
+    {_nearest("s", f"CASE WHEN {V.sql_in('lower(trim(b.raw_label))', T.SCENE_SUPPORTS)} THEN 'support_surface' ELSE 'background_surface' END AS surface, {_OVERLAP} AS surface_iou", f"{V.sql_in('lower(trim(b.raw_label))', _SCENE)} AND {_OVERLAP} > 0", _OVERLAP)},
+    {_nearest("c", f"b.det_id AS cookware_id, {_OVERLAP} AS cookware_iou", f"{V.sql_in('lower(trim(b.raw_label))', T.COOKWARE_BODIES)} AND {V.sql_in('lower(trim(a.fine))', T.COOKWARE_LIDS + T.PLATE_PROXIES)} AND {_OVERLAP} >= 0.12 AND greatest(1.0, {V.sql_area('a.')}) / greatest(1.0, {V.sql_area('b.')}) BETWEEN 0.08 AND 1.20 AND {_FAR} <= greatest(18.0, {V.sql_diagonal('b.')} * 0.38)", _OVERLAP)},
+    snap AS (SELECT o.*, hand_id, hand_iou, surface, surface_iou, cookware_id, cookware_iou, m.free, coalesce(m.free AND (hand_iou >= 0.03 OR far <= greatest(14.0, sqrt({V.sql_area('o.')}) * 0.45)) AND greatest(1.0, {V.sql_area('o.')}) / greatest(1.0, hand_area) <= 4.5 AND hand_iou >= 0.06, FALSE) AS attached
+        FROM obj o JOIN (SELECT det_id, {V.sql_in("lower(trim(coarse))", T.MANIPULABLE)} OR {V.sql_in("lower(trim(fine))", T.COOKWARE_LIDS + T.PLATE_PROXIES)} AS free FROM obj) m USING (det_id) LEFT JOIN h ON h.det_id = o.det_id AND h.n = 1 LEFT JOIN s ON s.det_id = o.det_id AND s.n = 1 LEFT JOIN c ON c.det_id = o.det_id AND c.n = 1)"""
+
+
+@query(
+    "J08 J09",
+    f"""WITH {_SNAPSHOT} SELECT det_id, 'hand_object' AS type, CAST(hand_id AS VARCHAR) AS other, round(hand_iou, 6) AS strength FROM snap WHERE hand_id IS NOT NULL UNION ALL SELECT det_id, 'object_scene', surface, round(surface_iou, 6) FROM snap WHERE surface IS NOT NULL
+    UNION ALL SELECT det_id, 'object_cookware', CAST(cookware_id AS VARCHAR), round(cookware_iou, 6) FROM snap WHERE cookware_id IS NOT NULL""",
+)
 def relation_rows(spark, sf_dir):
     return relations.relation_rows(relations.snapshot(V.labelled(spark, sf_dir))).withColumn("strength", R(F.col("strength")))
 
 
-@query("W06")
+_ROWS = "OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_id)"
+_CANDIDATES = {
+    "pick_candidate": "free AND attached AND NOT was",
+    "lift_candidate": "free AND attached AND before >= 0.18 AND now < greatest(0.10, before * 0.65)",
+    "place_candidate": "free AND was AND NOT attached AND coalesce(surface, '') = 'support_surface'",
+    "cover_candidate": f"{V.sql_in('lower(trim(fine))', T.COOKWARE_LIDS + T.PLATE_PROXIES)} AND NOT attached AND now >= 0.18 AND was",
+}
+
+
+@query(
+    "W06",
+    f"""WITH {_SNAPSHOT}, w AS (SELECT *, coalesce(lag(attached) {_ROWS}, FALSE) AS was, coalesce(lag(cookware_iou) {_ROWS}, 0.0) AS before, coalesce(cookware_iou, 0.0) AS now, row_number() {_ROWS} AS k FROM snap),
+    u AS ({" UNION ALL ".join(f"SELECT *, '{name}' AS type, {test} AS hit FROM w" for name, test in _CANDIDATES.items())}),
+    z AS (SELECT *, k - coalesce(max(CASE WHEN NOT hit THEN k END) OVER (PARTITION BY type, video_id, track_id ORDER BY k), 0) AS streak FROM u) SELECT det_id, video_id, frame_idx, track_id, type, streak FROM z WHERE hit""",
+)
 def event_candidates(spark, sf_dir):
     return relations.events(relations.snapshot(V.labelled(spark, sf_dir)), since_transition=True)
 

@@ -59,13 +59,26 @@ def failure_counts(spark, sf_dir):
     return tracks.failure_counts(r)
 
 
-@query("X12")
+@query(
+    "X12",
+    f"""WITH RECURSIVE {V.DET}, f AS (SELECT *, frame_idx % 40 = 7 AS changed, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM (SELECT DISTINCT video_id, frame_idx FROM det)),
+    fold(video_id, k, frame_idx, last, run) AS (SELECT video_id, k, frame_idx, frame_idx, TRUE FROM f WHERE k = 1 UNION ALL
+        SELECT f.video_id, f.k, f.frame_idx, CASE WHEN f.changed OR f.frame_idx - o.last >= 60 THEN f.frame_idx ELSE o.last END, f.changed OR f.frame_idx - o.last >= 60 FROM fold o JOIN f ON f.video_id = o.video_id AND f.k = o.k + 1)
+    SELECT video_id, frame_idx, run, frame_idx - last AS age FROM fold""",
+)
 def scene_refreshes(spark, sf_dir):
     d = V.detections(spark, sf_dir).groupBy("video_id", "frame_idx").agg(F.max("confidence").alias("change"), F.min("det_id").alias("det_id")).withColumn("change", F.when(F.col("frame_idx") % 40 == 7, 0.9).otherwise(0.1))
     return frames.by_frame(d, steps.SceneRefresh, "video_id bigint, frame_idx bigint, run boolean, age bigint", VIDEO)
 
 
-@query("X11")
+@query(
+    "X11",
+    f"""WITH RECURSIVE {V.LABELLED}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_id) AS k FROM lab WHERE track_id >= 0),
+    fold(video_id, track_id, k, det_id, frame_idx, cached, m) AS (SELECT video_id, track_id, k, det_id, frame_idx, FALSE, {{'f': frame_idx, 'c': coarse, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} FROM o WHERE k = 1 UNION ALL
+        SELECT video_id, track_id, k, det_id, frame_idx, hit, CASE WHEN hit THEN m ELSE own END FROM (SELECT o.video_id, o.track_id, o.k, o.det_id, o.frame_idx, t.m, {{'f': o.frame_idx, 'c': coarse, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS own,
+            t.m.c = o.coarse AND o.frame_idx - t.m.f BETWEEN 1 AND 2 AND {V.sql_iou("o.", "t.m.")} >= 0.5 AS hit FROM fold t JOIN o ON o.video_id = t.video_id AND o.track_id = t.track_id AND o.k = t.k + 1))
+    SELECT det_id, video_id, frame_idx, cached FROM fold UNION ALL SELECT det_id, video_id, frame_idx, FALSE FROM lab WHERE track_id IS NULL OR track_id < 0""",
+)
 def cached_masks(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.MaskCache, f"{IDS}, cached boolean", VIDEO)
 
