@@ -310,13 +310,17 @@ def mask_depths(spark, sf_dir):
     return rows.select("det_id", m.alias("m")).select("det_id", *[R(F.col(f"m.{k}")).alias(k) for k in ("median", "std", "compactness", "separation", "edge_alignment", "largest_ratio")], "m.area")
 
 
-@query("D01 D06 D14 S24 V11")
+@query(
+    "D01 D06 D14 S24 V11",
+    """WITH p AS (SELECT event_id, x, y FROM events, range(32) a(x), range(24) b(y) WHERE (x - 10 - event_id % 8) * (x - 10 - event_id % 8) + (y - 12) * (y - 12) < 40 + event_id % 30)
+    SELECT event_id AS frame_idx, 'pot' AS label, CAST(min(x) AS DOUBLE) AS x1, CAST(min(y) AS DOUBLE) AS y1, CAST(max(x) + 1 AS DOUBLE) AS x2, CAST(max(y) + 1 AS DOUBLE) AS y2, round(least(0.95, greatest(0.2, 0.2 + 5.0 * count(*) / 768)), 6) AS confidence FROM p GROUP BY event_id""",
+)
 def detected_blobs(spark, sf_dir):
     from frameloom import models
 
     rows = _drawn(V.detections(spark, sf_dir))
     scaled = rows.select(F.lit(0).cast("bigint").alias("video_id"), F.col("det_id").alias("frame_idx"), F.col("mask").alias("image"), F.col("h").alias("height"), F.col("w").alias("width"))
-    return models.hybrid(_bright(scaled), "blobs", "none", ["pot", "lid"], ["wall"]).select("frame_idx", "label", "x1", "y1", "x2", "y2", "confidence")
+    return models.hybrid(_bright(scaled), "blobs", "none", ["pot", "lid"], ["wall"]).select("frame_idx", "label", "x1", "y1", "x2", "y2", R(F.col("confidence")).alias("confidence"))
 
 
 def _bright(d):

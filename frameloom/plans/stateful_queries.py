@@ -143,7 +143,20 @@ def two_stage_tracks(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.TwoStageTracker, f"{IDS}, assigned bigint", VIDEO)
 
 
-@query("J04 X17")
+_SEEN = "STRUCT(t BIGINT, f BIGINT, c VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]"
+
+
+@query(
+    "J04 X17",
+    f"""WITH RECURSIVE {V.LABELLED}, q AS (SELECT video_id, frame_idx, list(track_id) AS present FROM lab GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx, det_id) AS k FROM lab JOIN q USING (video_id, frame_idx)),
+    fold(video_id, k, seen, pending, used, det_id, frame_idx, track_id, reassigned) AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT), CAST([] AS {_SEEN}), CAST([] AS {_SEEN}), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), FALSE FROM lab UNION ALL
+        SELECT video_id, k, now, CASE WHEN own >= 0 THEN list_append(list_filter(held, lambda p: p.t <> own), {{'t': own, 'f': frame_idx, 'c': coarse, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE held END, CASE WHEN found IS NOT NULL THEN list_append(taken, found) ELSE taken END, det_id, frame_idx, own, found IS NOT NULL FROM (
+            SELECT *, coalesce(found, track_id) AS own FROM (SELECT *, CASE WHEN best.s >= 0.35 THEN -best.t END AS found FROM (
+                SELECT *, list_max(list_transform(list_filter(now, lambda s: NOT list_contains(taken, s.t) AND NOT list_contains(present, s.t) AND s.c = coarse AND frame_idx - s.f BETWEEN 1 AND 4), lambda s: {{'s': {V.sql_iou("u.", "s.")}, 't': -s.t}})) AS best FROM (
+                    SELECT r.*, CASE WHEN f.frame_idx = r.frame_idx THEN f.seen ELSE list_concat(list_filter(f.seen, lambda s: NOT list_contains(list_transform(f.pending, lambda p: p.t), s.t) AND r.frame_idx - s.f <= 4), f.pending) END AS now,
+                        CASE WHEN f.frame_idx = r.frame_idx THEN f.pending ELSE CAST([] AS {_SEEN}) END AS held, CASE WHEN f.frame_idx = r.frame_idx THEN f.used ELSE CAST([] AS BIGINT[]) END AS taken FROM fold f JOIN r ON r.video_id = f.video_id AND r.k = f.k + 1) u))))
+    SELECT det_id, video_id, frame_idx, track_id, reassigned FROM fold WHERE det_id IS NOT NULL""",
+)
 def reassigned_tracks(spark, sf_dir):
     return frames.by_frame(flat(spark, sf_dir), steps.Reassign, f"{IDS}, track_id bigint, reassigned boolean", VIDEO)
 
@@ -316,7 +329,11 @@ def yolo_files(spark, sf_dir):
     return writers.yolo_lines(d, "w", "h")
 
 
-@query("K12 T13 A21")
+@query(
+    "K12 T13 A21",
+    f"""WITH {V.PROP}, r AS (SELECT predicted_label AS label, 'crop_' || proposal_id AS crop_path, row_number() OVER (PARTITION BY predicted_label ORDER BY md5('7|crop_' || proposal_id), 'crop_' || proposal_id) AS n FROM prop), k AS (SELECT * FROM r WHERE n <= 30)
+    SELECT label, crop_path, CASE WHEN n <= round(count(*) OVER (PARTITION BY label) * 0.8) THEN 'train' ELSE 'val' END AS split FROM k""",
+)
 def class_folder_split(spark, sf_dir):
     d = V.proposals(spark, sf_dir).select(F.col("predicted_label").alias("label"), F.concat(F.lit("crop_"), F.col("proposal_id").cast("string")).alias("crop_path"))
     return writers.class_folders(d, 30, 7, 0.2)
@@ -345,7 +362,15 @@ def prunable_sessions(spark, sf_dir):
     return writers.newest(s, "session", 10)
 
 
-@query("S23")
+def _number(text: str) -> str:
+    return f"CAST('0x' || substring(md5({text}), 1, 8) AS BIGINT)"
+
+
+@query(
+    "S23",
+    f"""WITH {V.PROP}, f AS (SELECT DISTINCT frame AS image_id FROM prop), n AS (SELECT image_id, unnest(range(1, {_number("image_id || '|n'")} % 5 + 2)) AS i FROM f)
+    SELECT image_id, i, ['pot', 'pan'][{_number("image_id || '|' || i || '|l'")} % 2 + 1] AS label, 0.3 + ({_number("image_id || '|' || i || '|c'")} % 70) / 100.0 AS confidence FROM n""",
+)
 def synthetic_proposals(spark, sf_dir):
     from frameloom.sources.readers import synthetic_proposals as made
 

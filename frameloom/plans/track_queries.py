@@ -92,7 +92,11 @@ def segmented_boxes(spark, sf_dir):
     return models.segmented(d, "box").select("det_id", masks.area(F.col("runs")).alias("pixels"))
 
 
-@query("D12 Z12 M06 M07 M03 M08 Z26")
+@query(
+    "D12 Z12 M06 M07 M03 M08 Z26",
+    """WITH w AS (SELECT event_id AS det_id, CAST(10 + event_id % 8 AS INT) AS w, round(0.4 + (event_id % 5) / 10.0, 6) AS probability FROM events) SELECT det_id, 'wall' AS label, CAST(20 * w AS BIGINT) AS pixels, probability, 1 AS rings, 5 AS points, 0 AS x1, 0 AS y1, w AS x2, 20 AS y2 FROM w
+    UNION ALL SELECT det_id, 'sink', 8 * (30 - w), probability, 1, 5, w, 0, 30, 8 FROM w UNION ALL SELECT det_id, 'floor', 12 * (30 - w), probability, 1, 5, w, 8, 30, 20 FROM w""",
+)
 def class_map_regions(spark, sf_dir):
     def run(batches):
         for batch in batches:
@@ -106,4 +110,4 @@ def class_map_regions(spark, sf_dir):
             yield pd.DataFrame(out, columns=["det_id", "label", "pixels", "probability", "rings", "points", "x1", "y1", "x2", "y2"])
 
     d = V.detections(spark, sf_dir).select("det_id")
-    return d.mapInPandas(run, "det_id bigint, label string, pixels bigint, probability double, rings int, points int, x1 int, y1 int, x2 int, y2 int")
+    return d.mapInPandas(run, "det_id bigint, label string, pixels bigint, probability double, rings int, points int, x1 int, y1 int, x2 int, y2 int").withColumn("probability", F.round("probability", 6))

@@ -84,7 +84,7 @@ def write_partitioned_text(d: DataFrame, path: str, key: str) -> None:
 
 def class_folders(d: DataFrame, most: int, seed: int, share: float) -> DataFrame:
     """Crops for class folders: distinct, in a seeded order, capped for each label, split by place."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("crop_path")), "crop_path")
+    order = Window.partitionBy("label").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("crop_path"))), "crop_path")
     rows = d.dropDuplicates(["label", "crop_path"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     n = F.count("*").over(Window.partitionBy("label"))
     return rows.withColumn("split", F.when(F.col("_n") <= F.round(n * (1 - share)), "train").otherwise("val")).drop("_n")

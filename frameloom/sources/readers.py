@@ -151,8 +151,9 @@ def cluster_states(spark: SparkSession, path: str, fields: str) -> DataFrame:
 
 def synthetic_proposals(images: DataFrame, labels: list[str], width: int, height: int) -> DataFrame:
     """One to five boxes for each image, decided by a hash of its id."""
-    part = lambda salt, n: F.pmod(F.xxhash64("image_id", "i", F.lit(salt)), F.lit(n))
-    n = F.pmod(F.xxhash64("image_id", F.lit("n")), F.lit(5)) + 1
+    number = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *c)), 1, 8), 16, 10).cast("bigint")
+    part = lambda salt, n: number("image_id", F.col("i").cast("string"), F.lit(salt)) % n
+    n = number("image_id", F.lit("n")) % 5 + 1
     rows = images.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), n)))
     x, y = part("x", width // 2), part("y", height // 2)
     return rows.select("image_id", "i", F.element_at(F.array(*map(F.lit, labels)), (part("l", len(labels)) + 1).cast("int")).alias("label"), G.box(x, y, x + 10 + part("w", width // 2 - 10), y + 10 + part("h", height // 2 - 10)).alias("bbox"), (0.3 + part("c", 70) / 100.0).alias("confidence"))
