@@ -12,6 +12,14 @@ Where no longer piece that starts or ends with the merged piece has a better
 rank, a merge cannot create a better pair, so all further occurrences of that
 piece are merged in the same round, leftmost first; else one merge is made.
 
+Long words (no blank for LONG characters) would need a round for every few
+merges. There the minimum is taken over the pairs within the length of the
+longest piece on either side instead of over the word: whatever could reach a
+pair before its turn is made of pairs there, so a pair that is the minimum
+around itself is merged at once, and the cost grows with the length. Of equal
+pairs that a merge could disturb, those after the first that made a better pair
+wait for the next round.
+
 Cases: null and empty texts have no ids and decode to the empty text; runs of
 spaces and word marks in the text are one unit; characters outside the
 vocabulary become byte pieces. Rows are independent: repeated rows, ties and
@@ -35,6 +43,7 @@ from frameloom.llm.shared import only
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
+LONG = 512  # characters of a word from which on minima are taken around each pair
 _OUTSIDE = 1 << 20  # symbols of characters that no piece has: this and the code point
 
 
@@ -51,6 +60,7 @@ class Pieces:
     slot_symbol: np.ndarray
     single: np.ndarray  # rank -> only one merge in a round
     shift: int
+    longest: int  # characters of the longest piece
     decoded: np.ndarray  # id -> bytes, as objects
     byte_value: np.ndarray  # id -> byte of a byte piece, else -1
 
@@ -137,7 +147,7 @@ def load(path: str) -> Pieces:
             decoded[i] = " ⁇ ".encode()
         else:
             decoded[i] = t.replace(MARK, " ").encode()
-    return Pieces(texts, byte_ids, symbol_of, id_of, slot_key, slot_rank, slot_symbol, single, 64 - bits, decoded, byte_value)
+    return Pieces(texts, byte_ids, symbol_of, id_of, slot_key, slot_rank, slot_symbol, single, 64 - bits, max(map(len, normal), default=1), decoded, byte_value)
 
 
 def units(texts) -> tc.Units:
@@ -157,6 +167,17 @@ def units(texts) -> tc.Units:
 
 def merge_words(words: pa.StringArray, table: Pieces, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word (a mark before it), flat, and how many each word has."""
+    long = pc.greater(pc.utf8_length(words), LONG).to_numpy(zero_copy_only=False)
+    if long.any():
+        short_ids, short_counts = merge_words(words.filter(pa.array(~long)), table, block)
+        parts = [_finished(*_merge_long(words.slice(int(i), 1), table), 1, table) for i in np.flatnonzero(long)]
+        counts = np.empty(len(words), dtype=np.int64)
+        counts[~long], counts[long] = short_counts, [len(p[0]) for p in parts]
+        ids, starts = np.empty(int(counts.sum()), dtype=np.int32), np.cumsum(counts) - counts
+        ids[tc.ranges(starts[~long], short_counts)] = short_ids
+        for at, (part, _) in zip(starts[long].tolist(), parts, strict=True):
+            ids[at : at + len(part)] = part
+        return ids, counts
     flat, counts = [], []
     for first in range(0, len(words), block):
         ids, n = _merge_block(words.slice(first, block), table)
@@ -167,6 +188,66 @@ def merge_words(words: pa.StringArray, table: Pieces, block: int = 1 << 18) -> t
     return np.concatenate(flat), np.concatenate(counts)
 
 
+def _least_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """The minimum of each value and ``reach`` others on either side, by doubling steps."""
+    least, width = np.r_[np.full(reach, NONE, np.int32), values, np.full(reach, NONE, np.int32)], 1
+    whole = 2 * reach + 1
+    while 2 * width <= whole:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.minimum(least[: len(values)], least[whole - width : whole - width + len(values)])
+
+
+def _merge_long(word: pa.StringArray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one long word."""
+    points, _ = tc.codepoints(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(""), word, MARK), pattern=" ", replacement=MARK))
+    symbols, reach = table.symbol_of[points], table.longest
+    rank, joined = np.full(len(symbols), NONE, np.int32), np.zeros(len(symbols), np.int32)
+    rank[:-1], joined[:-1] = table.lookup(symbols[:-1], symbols[1:])
+    while True:
+        hit = (rank != NONE) & (rank == _least_around(rank, reach))
+        if not hit.any():
+            return symbols, np.zeros(len(symbols), np.int64)
+        # of a run of equal pairs every other one is merged, from its first on and up to the first that must wait
+        place = np.arange(len(rank))
+        begins = np.r_[True, rank[1:] != rank[:-1]]
+        start = np.maximum.accumulate(np.where(begins, place, 0))
+        waits = np.maximum.accumulate(np.where(hit, -1, place))  # the last one that waits
+        take = hit & (waits < start) & ((place - start) & 1 == 0)
+        touchy = rank != NONE
+        touchy[touchy] = table.single[rank[touchy]]
+        if (take & touchy).any():
+            used = np.r_[False, take[:-1]]  # the right half of a merge
+            at = np.flatnonzero(touchy & ~used & np.isin(rank, np.unique(rank[take & touchy])))
+            at = at[np.argsort(rank[at], kind="stable")]
+            good = take[at]
+            mine = at[good]
+            left = np.where(mine > 0, table.lookup(symbols[np.maximum(mine - 1, 0)], joined[mine])[0], NONE)
+            twin = (mine > 1) & take[np.maximum(mine - 2, 0)]  # merged before it
+            left = np.where(twin, np.minimum(left, table.lookup(joined[np.maximum(mine - 2, 0)], joined[mine])[0]), left)
+            after = np.minimum(mine + 2, len(symbols) - 1)
+            right = np.where(mine + 2 < len(symbols), table.lookup(joined[mine], symbols[after])[0], NONE)
+            stirs = ~good
+            stirs[good] = np.minimum(left, right) <= rank[mine]
+            chain = np.cumsum(np.r_[True, (rank[at[1:]] != rank[at[:-1]]) | (at[1:] - at[:-1] > reach + 1)])
+            before = np.cumsum(stirs) - stirs  # those that stir before each, in its chain
+            first = np.r_[True, chain[1:] != chain[:-1]]
+            before -= np.maximum.accumulate(np.where(first, before, 0))
+            take[at[before > 0]] = False
+        hits = np.flatnonzero(take)
+        symbols[hits] = joined[hits]
+        rank[hits] = NONE
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[hits + 1] = False
+        merged = (np.cumsum(keep) - 1)[hits]
+        symbols, rank, joined = symbols[keep], rank[keep], joined[keep]
+        touched = np.unique(np.r_[merged, merged[merged > 0] - 1])
+        rank[touched[touched == len(symbols) - 1]] = NONE
+        touched = touched[touched < len(symbols) - 1]
+        rank[touched], joined[touched] = table.lookup(symbols[touched], symbols[touched + 1])
+        rank[-1] = NONE
+
+
 def _merge_block(words: pa.StringArray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
     words = pc.binary_join_element_wise(pa.scalar(""), words, MARK)  # the mark, then the word
     points, at = tc.codepoints(pc.replace_substring(words, pattern=" ", replacement=MARK))
@@ -215,7 +296,11 @@ def _merge_block(words: pa.StringArray, table: Pieces) -> tuple[np.ndarray, np.n
         rank[-1] = NONE
     symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
     order = np.argsort(word, kind="stable")
-    symbols, word = symbols[order], word[order]
+    return _finished(symbols[order], word[order], n, table)
+
+
+def _finished(symbols: np.ndarray, word: np.ndarray, n: int, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the symbols of n words, and how many each has."""
     ids = np.where(symbols < _OUTSIDE, table.id_of[np.minimum(symbols, len(table.id_of) - 1)], -1)
     missing = np.flatnonzero(ids < 0)
     if len(missing):
