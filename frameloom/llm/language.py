@@ -14,7 +14,9 @@ Cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything if nothing can be learned from. Ties go to the first language in
 alphabetical order. Extra columns, repeated rows and an empty table do no harm.
 Training reads whole texts of about ``per_language`` documents of each language
-at most (chosen by a hash of the id); that bound is a parameter.
+at most, and about ``most_bytes`` of each (chosen by a hash of the id), of the
+``most_languages`` languages with the most documents (ties in alphabetical
+order); these bounds are parameters.
 """
 
 from __future__ import annotations
@@ -89,21 +91,21 @@ def _count_batches(batches, order: int):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(counts)], names=["lang", "k", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
-    """Learn the context trees of every language in ``lang_col``."""
+def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 16 << 20, most_languages: int = 256) -> Trees:
+    """Learn the context trees of the languages in ``lang_col``."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
     if only_where is not None:
         rows = rows.where(only_where)
     rows = rows.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
         return Trees([], [], [], [], [])
-    share = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, per_language * (1 << 20) // n + 1))).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share)
+    whole = 1 << 20
+    shares = [(r["lang"], min(whole, per_language * whole // r["n"] + 1, most_bytes * whole // max(r["bytes"], 1) + 1)) for r in sizes]
+    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share bigint")), "lang")  # most_languages rows
+    some = some.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(whole)) < F.col("_share"))
     counted = some.select("lang", "text").mapInArrow(lambda b: _count_batches(b, order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return _frozen(counted, sorted(sizes), order)
+    return _frozen(counted, sorted(r["lang"] for r in sizes), order)
 
 
 def _frozen(counted: pa.Table, languages: list[str], order: int) -> Trees:
