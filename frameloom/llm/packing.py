@@ -142,7 +142,7 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int) -> list[l
 
 
 def _packed(table: pa.Table, capacity: int, round_no: int) -> pa.Table:
-    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]).combine_chunks()
+    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]).combine_chunks()
     lengths = table["length"].to_pylist()
     bins = improved(best_fit(lengths, capacity), lengths, capacity)
     rows = np.array([i for b in bins for i in b], dtype=np.int64)
@@ -153,7 +153,7 @@ def _packed(table: pa.Table, capacity: int, round_no: int) -> pa.Table:
     offset = ends - size - np.repeat((ends - size)[first], [len(b) for b in bins])
     fill = np.bincount(bin_no, weights=size).astype(np.int64)
     group = table["group"][0].as_py()
-    out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"]).take(pa.array(rows))
+    out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "row"]).take(pa.array(rows))
     return out.append_column("sequence_id", pa.array((np.int64(round_no) << 56) | (np.int64(group) << 24) | bin_no)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill[bin_no]))
 
 
@@ -161,21 +161,22 @@ def _packer(capacity: int, round_no: int):
     return lambda table: _packed(table, capacity, round_no)
 
 
-_PACKED = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, fill bigint"
+_PACKED = "doc_id {}, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint, sequence_id bigint, offset bigint, fill bigint"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, group_size: int = 4096, underfull: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = written(only(docs, doc_id=id_col, text=text_col).mapInArrow(lambda b: _cut(b, tokenizer_path, capacity, end), schema), "pieces")
+    pieces = only(docs, doc_id=id_col, text=text_col).mapInArrow(lambda b: _cut(b, tokenizer_path, capacity, end), schema)
+    pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # deals repeated rows of one id apart
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    done = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    done = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest, round_no = pieces.where(F.col("length") < capacity), 1
     before, waiting = float("inf"), rest.count()
     while waiting:
         n = max(1, -(-waiting // group_size))
-        dealt = rest.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.lit(round_no)), F.lit(n)).alias("group"))
+        dealt = rest.select("doc_id", "piece", "start", "length", "ids_crc32", "row", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(n)).alias("group"))
         now = written(dealt.groupBy("group").applyInArrow(_packer(capacity, round_no), _PACKED.format(kind)), "packed")
         bins = now.where(F.col("offset") == 0).count()
         if bins >= before:  # no bin saved: the packing before stays
