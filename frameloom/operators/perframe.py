@@ -600,3 +600,47 @@ def mask_pairs(d: DataFrame, width: int) -> DataFrame:
         return pa.table({"a_id": np.minimum(ids[i], ids[j]), "b_id": np.maximum(ids[i], ids[j]), "common": common, "iou": common / np.maximum(size[i] + size[j] - common, 1)})
 
     return in_groups(d.select(*FRAME, "det_id", F.filter("runs", lambda r: r["n"] > 0).alias("runs")), work, "a_id bigint, b_id bigint, common bigint, iou double")
+
+
+def free_proposals(d: DataFrame, occupied: Column, least: int = 1) -> DataFrame:
+    """Masks of a frame without the pixels that its occupied masks cover: det_id, video_id, frame_idx, free, rank.
+
+    Rows that are not ``occupied`` and keep ``least`` pixels or more are ranked
+    by (confidence, free pixels), the largest first, then by id.
+    """
+
+    def work(f: Frames) -> pa.Table:
+        lists = f.table["runs"].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        at = np.asarray(lists.offsets).astype(np.int64)
+        flat = lists.flatten()
+        s, n = (flat.field(c).to_numpy() for c in ("s", "n"))
+        owner = np.repeat(np.arange(f.size), np.diff(at))
+        taken = f["occupied"].astype(bool)
+        span = int((s + n).max(initial=0)) + 2
+        # the union of a frame's occupied runs: parts of them that lie beyond all runs before
+        mine = taken[owner]
+        start, end = f.group[owner[mine]] * span + s[mine], f.group[owner[mine]] * span + (s + n)[mine]
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+        reach = np.r_[0, np.maximum.accumulate(end)]
+        start = np.maximum(start, reach[:-1]) if len(start) else start
+        part = np.maximum(end - start, 0)
+        before = np.r_[0, np.cumsum(part)]
+
+        def covered(x: np.ndarray) -> np.ndarray:
+            """Occupied pixels of all frames before x."""
+            run = np.searchsorted(start, x, side="right")
+            inside = np.minimum(x - start[np.maximum(run - 1, 0)], part[np.maximum(run - 1, 0)]) if len(start) else np.zeros(len(x), np.int64)
+            return np.where(run > 0, before[np.maximum(run - 1, 0)] + inside, 0)
+
+        place = f.group[owner] * span + s
+        free = np.bincount(owner, weights=n - (covered(place + n) - covered(place)), minlength=f.size).astype(np.int64)
+        rows = np.flatnonzero(~taken & (free >= least))
+        rows = rows[np.lexsort((f["det_id"][rows], -free[rows], -f["confidence"][rows], f.group[rows]))]
+        group = f.group[rows]
+        rank = np.arange(len(rows)) - np.searchsorted(group, group) + 1
+        return f.rows(rows, IDS, free=free[rows], rank=rank)
+
+    rows = d.select(*IDS, "confidence", occupied.alias("occupied"), F.filter("runs", lambda r: r["n"] > 0).alias("runs"))
+    return in_groups(rows, work, "det_id bigint, video_id bigint, frame_idx bigint, free bigint, rank bigint")

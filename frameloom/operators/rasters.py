@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.operators import masks
@@ -176,6 +176,39 @@ def cleaned(mask: np.ndarray, label: str) -> np.ndarray:
     return masks.filled(out if thin else masks.largest_part(out))
 
 
+def overlays(frames: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, image, height, width): RGB frames with the outlines of their boxes.
+
+    ``boxes`` has video_id, frame_idx, det_id, label, x1, y1, x2, y2; a label's
+    colour is fixed, later ids are drawn over earlier ones, parts outside the
+    frame are left out. Frames without boxes stay as they are.
+    """
+    from frameloom.sinks.writers import display_color
+
+    drawn = boxes.select("video_id", "frame_idx", F.struct("det_id", *[F.round(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], display_color(F.col("label")).alias("colour")).alias("b"))
+    listed = drawn.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
+
+    @F.pandas_udf("binary")
+    def draw(image: pd.Series, height: pd.Series, width: pd.Series, boxes: pd.Series) -> pd.Series:
+        out = []
+        for raw, h, w, found in zip(image, height, width, boxes, strict=True):
+            if found is None:
+                out.append(raw)
+                continue
+            picture = np.frombuffer(raw, np.uint8).reshape(h, w, 3).copy()
+            for b in found:
+                x1, y1, x2, y2 = (b[k] for k in ("x1", "y1", "x2", "y2"))
+                inside = np.zeros((h, w), dtype=bool)
+                inside[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)] = True
+                inside[max(0, y1 + 1) : max(0, y2 - 1), max(0, x1 + 1) : max(0, x2 - 1)] = False
+                picture[inside] = b["colour"]
+            out.append(picture.tobytes())
+        return pd.Series(out)
+
+    rows = frames.join(listed, ["video_id", "frame_idx"], "left")
+    return rows.select("video_id", "frame_idx", draw("image", "height", "width", "boxes").alias("image"), "height", "width")
+
+
 def pandas_metrics(mask: str, depth: str, height: str, width: str) -> Column:
     """depth_metrics() of binary columns (bytes, and doubles in native order), one Arrow batch at a time."""
     schema = "area long, parts int, largest_ratio double, median double, std double, range double, compactness double, separation double, edge_alignment double"

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+from datetime import datetime
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom import config, models
 from frameloom.functions import geometry as G
-from frameloom.operators import vectors
+from frameloom.operators import masks, perframe, rasters, vectors
+from frameloom.parameters import DEFAULTS
 from frameloom.plans import views as V
 from frameloom.plans.catalog import query
 from frameloom.session import shared_folder
@@ -174,3 +181,72 @@ def safe_mode_clusters(spark, sf_dir):
     p = V.proposals(spark, sf_dir).withColumn("coarse", F.col("predicted_label"))
     rows, _ = vectors.safe_clusters(p, shared_folder(spark, "clusters"), target=40, most=120)
     return rows.select("proposal_id", "coarse", "bucket", "cluster_key", R(F.col("probability")).alias("probability"))
+
+
+@query("S02", "SELECT 'v' || v || CASE WHEN v % 2 = 0 THEN '.mp4' ELSE '.MOV' END AS name FROM (SELECT DISTINCT event_id % 4 AS v FROM events)")
+def listed_videos(spark, sf_dir):
+    """A folder of video files, and files that are none, listed."""
+    folder = shared_folder(spark, "videos")
+    ids = sorted(r["video_id"] for r in V.detections(spark, sf_dir).select("video_id").distinct().toLocalIterator())  # one for each video
+    for name in [f"v{v}{'.mp4' if v % 2 == 0 else '.MOV'}" for v in ids] + ["notes.txt", "deep/v9.jpg"]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(1)
+        out.close()
+    return readers.videos(spark, folder).select(F.substring_index("path", "/", -1).alias("name"))
+
+
+@query("Z39", "SELECT * FROM (VALUES ('duckdb', 'OK'), ('no_such_module', 'missing'), ('numpy', 'OK')) t(name, state)")
+def capability_rows(spark, sf_dir):
+    return spark.createDataFrame(models.capabilities(["duckdb", "no_such_module", "numpy"]), "name string, state string")
+
+
+@query("S13 S14 P29 P37 Z04 Z05", "SELECT * FROM (VALUES ('detector.name', 'blobs'), ('detector.limit', '0.3'), ('every', '2'), ('broken', 'default'), ('missing', '0'), ('asset', 'own.yaml'), ('run', '20260102_030405_01'), ('window', '9')) t(name, value)")
+def layered_settings(spark, sf_dir):
+    """Settings on the driver: files over one another, broken and missing ones, the first that exists, a run's folder, a changed record."""
+    with tempfile.TemporaryDirectory() as folder:
+        root = Path(folder)
+        (root / "base.yaml").write_text("detector: {name: none, limit: 0.3}\nevery: 1\n")
+        (root / "own.yaml").write_text("detector: {name: blobs}\nevery: 2\n")
+        (root / "broken.json").write_text("{")
+        found = config.merged(config.read_yaml(root / "base.yaml"), config.read_yaml(root / "own.yaml"))
+        now = datetime(2026, 1, 2, 3, 4, 5)
+        runs = [config.new_run(root, now).name for _ in range(2)]
+        rows = [
+            *[(f"detector.{k}", v) for k, v in found["detector"].items()], ("every", found["every"]), ("broken", config.read_json(root / "broken.json", "default")), ("missing", len(config.read_yaml(root / "none.yaml"))),
+            ("asset", config.first_existing([root / "none.yaml", root / "own.yaml"]).name), ("run", runs[1]), ("window", DEFAULTS.with_(smoothing_window=9).smoothing_window),
+        ]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "name string, value string")
+
+
+@query(
+    "Z34 K21",
+    f"""WITH {V.DET}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_id) AS n FROM det) SELECT video_id, frame_idx, CAST(2 * (floor((x2 - x1) / 4) + floor((y2 - y1) / 4)) - 4 AS BIGINT) AS pixels FROM o WHERE n = 1""",
+)
+def drawn_overlays(spark, sf_dir):
+    """The outline of each frame's first box on a dark picture of a quarter of its size: how many pixels it has."""
+    d = V.detections(spark, sf_dir)
+    first = d.groupBy("video_id", "frame_idx").agg(F.min_by(F.struct("raw_label", "bbox"), "det_id").alias("m"), F.min("det_id").alias("det_id"))
+    x, y = F.floor(F.col("m.bbox.x1") / 4), F.floor(F.col("m.bbox.y1") / 4)
+    wide, high = (F.floor((F.col(f"m.bbox.{b}") - F.col(f"m.bbox.{a}")) / 4) for a, b in (("x1", "x2"), ("y1", "y2")))
+    boxes = first.select("video_id", "frame_idx", "det_id", F.col("m.raw_label").alias("label"), x.alias("x1"), y.alias("y1"), (x + wide).alias("x2"), (y + high).alias("y2"))
+    h, w = V.FRAME_H // 4, V.FRAME_W // 4
+    dark = first.select("video_id", "frame_idx", F.lit(bytes(3 * h * w)).alias("image"), F.lit(h).alias("height"), F.lit(w).alias("width"))
+
+    @F.pandas_udf("bigint")
+    def lit(images: pd.Series) -> pd.Series:
+        return images.map(lambda b: int((np.frombuffer(b, np.uint8).reshape(-1, 3) > 0).any(axis=1).sum()))
+
+    return rasters.overlays(dark, boxes).select("video_id", "frame_idx", lit("image").alias("pixels"))
+
+
+@query(
+    "Z11",
+    f"""WITH {V.DET}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_id) AS n FROM det), r AS (SELECT a.det_id, a.video_id, a.frame_idx, a.confidence, CAST({V.sql_area("a.")} - {V.sql_intersection("a.", "b.")} AS BIGINT) AS free FROM o a JOIN o b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND b.n = 1 AND a.n > 1)
+    SELECT det_id, video_id, frame_idx, free, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY confidence DESC, free DESC, det_id) AS rank FROM r WHERE free >= 500""",
+)
+def free_proposals(spark, sf_dir):
+    """Masks of a frame without the pixels of its first one."""
+    d = V.detections(spark, sf_dir).withColumn("runs", masks.of_box(F.col("bbox"), V.FRAME_W))
+    first = d.groupBy("video_id", "frame_idx").agg(F.min("det_id").alias("_first"))
+    return perframe.free_proposals(d.join(first, ["video_id", "frame_idx"]), F.col("det_id") == F.col("_first"), 500)
