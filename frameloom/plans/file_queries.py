@@ -68,7 +68,9 @@ def _documents(d, path: str, document, key):
     writers.write_partitioned_text(files, path, "file")
 
 
-ERA = F.floor(F.col("frame_idx") / 50) * 4 + F.col("video_id")  # files of fifty frames
+def _era():
+    """Files of fifty frames."""
+    return F.floor(F.col("frame_idx") / 50) * 4 + F.col("video_id")
 
 
 @query("S17", f"WITH {V.DET} SELECT video_id || '/' || frame_idx AS image, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY det_id) - 1 AS seq, raw_label AS name, x1 AS left_, y2 AS bottom FROM det")
@@ -78,7 +80,7 @@ def visor_documents(spark, sf_dir):
     corners = F.array(F.array(F.array("bbox.x1", "bbox.y1"), F.array("bbox.x2", "bbox.y1"), F.array("bbox.x2", "bbox.y2")))
     frames = d.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("det_id", F.col("raw_label").alias("name"), corners.alias("segments")))).alias("annotations"))
     image = F.struct(F.concat_ws("/", "video_id", "frame_idx").alias("image_path"))
-    _documents(frames.withColumn("_doc", F.to_json(F.struct(image.alias("image"), "annotations"))), path, F.col("_doc"), ERA)
+    _documents(frames.withColumn("_doc", F.to_json(F.struct(image.alias("image"), "annotations"))), path, F.col("_doc"), _era())
     s = F.col("segments")[0]
     return readers.visor(spark, path).select("image", F.col("seq").cast("bigint").alias("seq"), "name", s[0][0].alias("left_"), s[2][1].alias("bottom"))
 
@@ -92,7 +94,7 @@ def supervisely_documents(spark, sf_dir):
     one = F.struct(shape.alias("geometryType"), F.col("raw_label").alias("classTitle"), F.struct(ring.alias("exterior")).alias("points"))
     frames = d.groupBy("video_id", "frame_idx").agg(F.collect_list(one).alias("objects"))
     size = F.struct(F.lit(V.FRAME_H).alias("height"), F.lit(V.FRAME_W).alias("width"))
-    _documents(frames.withColumn("_doc", F.to_json(F.struct(size.alias("size"), "objects"))), path, F.col("_doc"), ERA)
+    _documents(frames.withColumn("_doc", F.to_json(F.struct(size.alias("size"), "objects"))), path, F.col("_doc"), _era())
     names = spark.createDataFrame([("pot", "cookware"), ("plate", "dishware")], "title string, label string")
     p = F.col("points")
     return readers.supervisely(spark, path, names).select(p[4].cast("bigint").alias("det_id"), "label", p[0].alias("left_"), p[3].alias("bottom"))
@@ -102,7 +104,7 @@ def supervisely_documents(spark, sf_dir):
 def coco_documents(spark, sf_dir):
     """Annotation documents of fifty frames each, read back with images and categories joined per file."""
     path = shared_folder(spark, "coco")
-    d = V.labelled(spark, sf_dir).withColumns({"_image": F.col("frame_idx") * 4 + F.col("video_id"), "file": ERA})
+    d = V.labelled(spark, sf_dir).withColumns({"_image": F.col("frame_idx") * 4 + F.col("video_id"), "file": _era()})
     d = d.withColumn("_category", F.dense_rank().over(Window.partitionBy("file").orderBy("fine")).cast("bigint"))
     ring = G.ring(F.col("bbox"))
     parts = d.groupBy("file").agg(

@@ -54,3 +54,12 @@ def test_entry_needs_no_training_data_operators(spark):
 
     assert e.entry(spark).columns == REGISTRY["overlap_conflicts"].build(spark, "/root/testdata/sf0.001").columns
     assert set(REGISTRY) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_points_load_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True).returncode == 0
