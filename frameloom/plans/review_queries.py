@@ -121,10 +121,10 @@ _KNN = f"""{_MEMORY}, k AS (SELECT q.proposal_id AS query_id, q.predicted_label,
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS rank FROM k), n AS (SELECT * FROM t WHERE rank <= 5)"""
 
 
-def _neighbours(spark, sf_dir, k=5, bonus=0.0):
+def _neighbours(spark, sf_dir, k=5, bonus=0.0, search=vectors.nearest):
     m = _memory(spark, sf_dir).where("action <> 'uncertain'").select(F.col("proposal_id").alias("memory_id"), "label", "action", F.col("embedding").alias("vector"))
     q = V.proposals(spark, sf_dir).where("proposal_id % 50 = 0").select(F.col("proposal_id").alias("query_id"), F.col("predicted_label").alias("query_class"), F.col("embedding").alias("vector"))
-    return vectors.nearest(q, m, k, bonus), q.select("query_id", F.col("query_class").alias("predicted_label"))
+    return search(q, m, k, bonus_same=bonus), q.select("query_id", F.col("query_class").alias("predicted_label"))
 
 
 @query("J20 V01", f"WITH {_KNN} SELECT query_id, rank, memory_id, action, round(similarity, 6) AS similarity FROM n")
@@ -132,6 +132,12 @@ def nearest_memory(spark, sf_dir):
     return _neighbours(spark, sf_dir)[0].select("query_id", "rank", "memory_id", "action", R(F.col("similarity")).alias("similarity"))
 
 
+@query("J20")
+def indexed_memory(spark, sf_dir):
+    """The same search over an index; the tests measure its recall."""
+    return _neighbours(spark, sf_dir, search=vectors.nearest_indexed)[0].select("query_id", "rank", "memory_id", "action", R(F.col("similarity")).alias("similarity"))
+
+
 @query(
     "A07 X24 J22",
     f"""WITH {_KNN}, b AS (SELECT query_id, any_value(predicted_label) AS predicted_label, max(similarity) AS best, max(similarity) FILTER (action = 'delete') AS neg FROM n GROUP BY query_id),

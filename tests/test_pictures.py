@@ -71,3 +71,27 @@ def test_layout_needs_its_library(spark, small):
     except ImportError:
         with pytest.raises(ImportError, match="umap-learn"):
             vectors.layout(V.proposals(spark, small), "embedding")
+
+
+def test_index_recall(spark):
+    """Of the true neighbours of rows with ids divisible by 50, nine in ten are found; a third of all rows is one vector."""
+    from frameloom.plans.review_queries import _neighbours
+
+    want, _ = _neighbours(spark, "/root/testdata/sf0.1")
+    got, _ = _neighbours(spark, "/root/testdata/sf0.1", search=vectors.nearest_indexed)
+    true = {(r["query_id"], r["memory_id"]) for r in want.collect()}
+    found = {(r["query_id"], r["memory_id"]): r["similarity"] for r in got.collect()}
+    assert len(true & found.keys()) / len(true) >= 0.9
+    exact = {(r["query_id"], r["memory_id"]): r["similarity"] for r in want.collect()}
+    assert all(found[p] == pytest.approx(exact[p], abs=1e-8) for p in true & found.keys())
+
+
+def test_index_with_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    r = np.random.default_rng(0)
+    rows = [(i, "pot", "keep", ([1.0, 0.0, 0.0] if i % 3 == 0 else r.normal(size=3).tolist())) for i in range(150)]
+    m = spark.createDataFrame(rows, "memory_id bigint, label string, action string, vector array<double>")
+    q = m.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.col("label").alias("query_class"), "vector")
+    plain = lambda d: sorted((x["query_id"], x["rank"], x["memory_id"]) for x in d.collect())
+    assert plain(vectors.nearest_indexed(q, m, 4, lists=5, probes=5)) == plain(vectors.nearest(q, m, 4))
+    assert vectors.nearest_indexed(q, m.limit(0), 4).count() == 0
