@@ -31,13 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []  # tables of this process
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete all tables that this process wrote; for after their results have been stored elsewhere."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def mark() -> int:
+    """How many tables this process has written so far, for clear()."""
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that this process wrote (after ``since``, without the one that ``keep`` reads); for after their results have been stored."""
+    kept = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if keep is not None else set()
+    gone = [t for t in _WRITTEN[since:] if not any(k == t or k.endswith(t.split(":", 1)[-1].lstrip("/")) for k in kept)]
+    _WRITTEN[since:] = [t for t in _WRITTEN[since:] if t not in gone]
+    for table in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -200,3 +200,13 @@ def test_written_tables_can_be_cleared(spark):
 
     assert Path(folder).exists() and shared.clear(spark) > 0 and not Path(folder).exists()
     assert shared.clear(spark) == 0
+
+
+def test_tables_since_a_mark_go_but_for_one(spark):
+    old, since = shared.written(spark.range(2), "old"), shared.mark()
+    first, last = shared.written(spark.range(3), "first"), shared.written(spark.range(4), "last")
+    assert shared.clear(spark, since, last) == 1 and shared.mark() == since + 1
+    assert old.count() == 2 and last.count() == 4 and first.inputFiles()
+    with pytest.raises(Exception, match="(?i)not.exist|FileNotFound|FAILED_READ"):
+        first.collect()
+    assert shared.clear(spark, since) == 1
