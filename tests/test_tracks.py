@@ -101,7 +101,7 @@ def test_snapshots_and_packets(spark, tmp_path):
 
 
 def test_mask_pairs_equal_the_pixels(spark):
-    from frameloom.operators.joins import mask_pairs
+    from frameloom.operators.perframe import mask_pairs
 
     r = np.random.default_rng(5)
     shapes = [(r.random((6, 11)) < 0.5).astype(np.uint8) for _ in range(6)]
