@@ -135,53 +135,99 @@ def _features(texts, buckets: int, wanted: np.ndarray | None = None, useful: np.
     return doc, feature, value
 
 
-def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 3e-4, rounds: int = 500) -> Model:
-    """Proximal gradient descent with momentum on the penalised likelihood.
+def slopes(s: np.ndarray, thresholds: np.ndarray, grade: np.ndarray, mass: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negative log-likelihood of graded documents with scores ``s``, and its slopes by score and by threshold."""
+    edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    hi, lo = _logistic(edges[grade + 1] - s), _logistic(edges[grade] - s)
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = mass * hi * (1 - hi) / p, mass * lo * (1 - lo) / p
+    grades = len(thresholds) + 1
+    dt = np.bincount(grade, weights=-dhi, minlength=grades)[:-1] + np.bincount(grade, weights=dlo, minlength=grades)[1:]
+    return float(-(mass * np.log(p)).sum()), dhi - dlo, dt
+
+
+CHECKED = 10  # rounds between looks at the progress
+TAKEN = 250  # features that join at once
+
+
+class _Rows:
+    """Documents as sparse rows: (document, feature, value) entries, by document."""
+
+    def __init__(self, doc: np.ndarray, feature: np.ndarray, value: np.ndarray, docs: int, features: int):
+        self.doc, self.feature, self.value, self.docs, self.features = doc, feature, value, docs, features
+        self.blocks = [slice(i, i + (1 << 20)) for i in range(0, max(len(doc), 1), 1 << 20)]
+
+    def by_doc(self, weights: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(self.doc[s], weights=self.value[s] * weights[self.feature[s]], minlength=self.docs) for s in self.blocks)
+
+    def by_feature(self, weights: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(self.feature[s], weights=self.value[s] * weights[self.doc[s]], minlength=self.features) for s in self.blocks)
+
+    def only(self, features: np.ndarray) -> _Rows:
+        """The same documents with a few features, numbered anew."""
+        place = np.full(self.features, -1, dtype=np.int32)
+        place[features] = np.arange(len(features))
+        parts = []
+        for s in self.blocks:
+            here = place[self.feature[s]]
+            there = here >= 0
+            parts.append((self.doc[s][there], here[there], self.value[s][there]))
+        doc, feature, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        return _Rows(doc, feature, value, self.docs, len(features))
+
+
+def _descent(x: _Rows, scale: np.ndarray, w: np.ndarray, t: np.ndarray, grade: np.ndarray, mass: np.ndarray, penalty: float, rounds: int, tolerance: float):
+    """Proximal gradient descent with momentum; each weight has its own rate, the reciprocal of a bound of the curvature."""
+    rate = 1.0 / (x.by_feature(mass * x.by_doc(scale)) * scale / 2 + 1e-9)
+    w_prev, t_prev = w.copy(), t.copy()
+    values, momentum = [np.inf], 0
+    for _ in range(rounds):
+        k = momentum / (momentum + 3)
+        wy, ty = w + k * (w - w_prev), np.sort(t + k * (t - t_prev))
+        value, ds, dt = slopes(x.by_doc(wy * scale), ty, grade, mass)
+        step = wy - rate * x.by_feature(ds) * scale
+        w_prev, t_prev = w, t
+        w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
+        t = np.sort(ty - 2 * dt)
+        values.append(value + penalty * np.abs(wy).sum())
+        momentum = 0 if values[-1] > values[-2] else momentum + 1
+        if len(values) > 2 * CHECKED and min(values[:-CHECKED]) - min(values[-CHECKED:]) <= tolerance * min(values):
+            break
+    return w, t
+
+
+def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 1e-4, rounds: int = 500, passes: int = 40, tolerance: float = 1e-4) -> Model:
+    """The least penalised negative log-likelihood, by descent on a working set.
+
+    A pass over all features lets the TAKEN steepest that the penalty doesn't
+    hold at zero join the live ones; a descent of at most ``rounds`` then works
+    on those alone, until CHECKED rounds lower the value by less than
+    ``tolerance`` of it. Passes end when none joins that is steeper than the
+    penalty by more than a hundredth of it, after ``passes`` at the latest.
 
     Document d has the features ``starts[d]`` to ``starts[d + 1]``. ``shares``
     says how much each grade weighs in sum (default: as in the data). Features
-    count less the more documents have them, and each weight has its own rate:
-    the reciprocal of a bound of the curvature.
+    count less the more documents have them.
     """
     n = len(grade)
     freq = np.bincount(grade, minlength=grades)
     shares = freq / max(n, 1) if shares is None else np.where(freq > 0, shares, 0) / shares[freq > 0].sum()
     mass = (shares / np.maximum(freq, 1))[grade]
     rarity = np.log(n / np.maximum(np.bincount(feature, minlength=buckets), 1)) / np.log(max(n, 2)) + 0.02
-    sizes = np.diff(starts)
-    cuts = [0, *np.searchsorted(starts, np.arange(1 << 20, max(int(starts[-1]), 1), 1 << 20)).tolist(), n]
-    blocks = [(a, b, slice(int(starts[a]), int(starts[b]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-
-    def by_doc(weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
-        for a, b, s in blocks:
-            out[a:b] = tc.segment_sums(value[s] * weights[feature[s]], starts[a:b] - starts[a], sizes[a:b])
-        return out
-
-    def by_feature(weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(buckets)
-        for a, b, s in blocks:
-            out += np.bincount(feature[s], weights=value[s] * np.repeat(weights[a:b], sizes[a:b]), minlength=buckets)
-        return out * rarity
-
+    x = _Rows(np.repeat(np.arange(n, dtype=np.int32), np.diff(starts)), feature, value, n, buckets)
     w, t = np.zeros(buckets), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
-    rate = 1.0 / (by_feature(mass * by_doc(rarity)) / 2 + 1e-9)
-    w_prev, t_prev = w.copy(), t.copy()
-    for r in range(rounds):
-        k = r / (r + 3)
-        wy, ty = w + k * (w - w_prev), np.sort(t + k * (t - t_prev))
-        s = by_doc(wy * rarity)
-        edges = np.concatenate([[-np.inf], ty, [np.inf]])
-        hi, lo = _logistic(edges[grade + 1] - s), _logistic(edges[grade] - s)
-        p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        dt = np.zeros(grades - 1)
-        for j in range(grades - 1):
-            dt[j] = -(mass * dhi / p)[grade == j].sum() + (mass * dlo / p)[grade == j + 1].sum()
-        step = wy - rate * by_feature(mass * (dhi - dlo) / p)
-        w_prev, t_prev = w, t
-        w = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
-        t = np.sort(ty - 2 * dt)
+    s = np.zeros(n)
+    for _ in range(passes):
+        steep = np.abs(x.by_feature(slopes(s, t, grade, mass)[1]) * rarity)
+        steep[w != 0] = 0
+        new = np.argsort(-steep, kind="stable")[:TAKEN]
+        new = new[steep[new] > 1.01 * penalty]
+        live = np.sort(np.r_[np.flatnonzero(w), new])
+        if not len(new) and _:
+            break
+        some = x.only(live)
+        w[live], t = _descent(some, rarity[live], w[live], t, grade, mass, penalty, rounds, tolerance)
+        s = some.by_doc(w[live] * rarity[live])
     return Model(w * rarity, t)
 
 
@@ -237,8 +283,11 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int =
     place[used] = np.arange(len(used))
     grade, slots, values = table["grade"].to_numpy(), place[np.asarray(lists.flatten())], np.asarray(values.flatten())
     del table, lists
+    tc.give_back()
     model = fit(starts - starts[0], slots, values, grade, len(used), grades, np.array([sizes_by.get(g, 0) for g in range(grades)], dtype=np.float64))
     live = model.weights != 0
+    del grade, slots, values, place
+    tc.give_back()  # the driver has little room
     return Model(model.weights[live], model.thresholds, used[live].astype(np.int64), buckets)
 
 
