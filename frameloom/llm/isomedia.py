@@ -39,9 +39,12 @@ def padded(raw: bytes, unit: int = FRAME) -> bytes:
     return raw + b" " * (unit - len(raw) if len(raw) < unit else -len(raw) % unit)
 
 
+MOST = 0xFFFFFFFF  # the largest size, duration and offset of 32 bits
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     size = 8 + sum(map(len, parts))
-    if size > 0xFFFFFFFF:
+    if size > MOST:
         return struct.pack(">I4sQ", 1, kind, size + 8) + b"".join(parts)
     return struct.pack(">I4s", size, kind) + b"".join(parts)
 
@@ -54,7 +57,7 @@ def store(payload: bytes) -> bytes:
     """A file with ``payload`` (a positive multiple of FRAME bytes) as raw 8-bit samples."""
     frames = len(payload) // FRAME
     duration = frames * FRAME
-    wide = duration > 0xFFFFFFFF
+    wide = duration > MOST
     times = struct.pack(">QQIQ" if wide else ">IIII", 0, 0, TIMESCALE, duration)
     entry = box(b"raw ", bytes(6), struct.pack(">HHHIHHHHI", 1, 0, 0, 0, 1, 8, 0, 0, TIMESCALE << 16))
     full_chunks, rest = divmod(frames, FRAMES_IN_CHUNK)
@@ -62,7 +65,7 @@ def store(payload: bytes) -> bytes:
     chunks = full_chunks + (rest > 0)
     keys = np.arange(1, frames + 1, KEY_EVERY).astype(">u4")
     head = box(b"ftyp", b"isom", struct.pack(">I", 0x200), b"isom", b"mp42")
-    large = 2 * len(payload) + 4096 > 0xFFFFFFFF  # no offset can be so large otherwise
+    large = 2 * len(payload) + 4096 > MOST  # no offset can be so large otherwise
 
     def movie(first: int) -> bytes:
         offsets = first + np.arange(chunks, dtype=np.int64) * (FRAMES_IN_CHUNK * FRAME)

@@ -36,6 +36,21 @@ def test_boxes_nest_and_fill_the_file():
     assert (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"stco") in [p for p, _, _ in found]
 
 
+@pytest.mark.parametrize("most", [100, 2000, 40_000])
+def test_wide_forms_come_back(most, monkeypatch):
+    """The 64-bit forms of sizes, durations and offsets, as for files of more than 4 GB."""
+    monkeypatch.setattr(M, "MOST", most)
+    payload = M.padded(bytes(range(256)) * 60)
+    media = M.store(payload)
+    paths = {p[-1] for p, _, _ in M.walk(media)}
+    (track,) = M.describe(media)
+    assert (b"co64" in paths) == (2 * len(payload) + 4096 > most) != (b"stco" in paths)
+    assert M.payload_of(media, track) == payload and track.duration == len(payload) and track.timescale == M.TIMESCALE
+    assert [media[a:b] for a, b in track.key_ranges.tolist()] == [payload[i : i + M.FRAME] for i in range(0, len(payload), M.FRAME)][:: M.KEY_EVERY]
+    (data,) = [(a, b) for p, a, b in M.walk(media) if p == (b"mdat",)]
+    assert media[data[0] : data[1]] == payload and data[1] == len(media)
+
+
 def test_tables_that_store_does_not_write():
     """Sample sizes one by one, 64-bit offsets, several runs, no sync table, large boxes, a last box of size 0."""
     sizes, chunks = [3, 4, 5, 6], [1000, 2000, 3000]

@@ -121,6 +121,21 @@ def test_token_counts_equal_the_unigram_model(odd, nothing):
     assert viterbi.count_tokens(nothing, PIECES).count() == 0
 
 
+def test_best_scores_are_those_of_the_pieces():
+    v = viterbi.load(PIECES)
+    score = dict(zip(v.pieces, map(float, v.scores), strict=True))
+    model = Tokenizer(models.Unigram([("<unk>", -1e9), *score.items()], 0))
+    r = random.Random(4)
+    texts = ["the cat sat on the mat", "international understanding", "x"] + ["".join(r.choice("etaoin shrdlu") for _ in range(40)).strip() for _ in range(60)]
+    texts = [" ".join(t.split()) for t in texts]
+    docs = sentencepieces.units(pa.array(texts))
+    _, scores = viterbi.count_words(docs.words, v)
+    for got, t in zip(docs.per_doc(scores).tolist(), texts, strict=True):
+        pieces = model.encode("▁" + t.replace(" ", "▁")).tokens
+        assert all(p in score for p in pieces)
+        assert got == pytest.approx(sum(score[p] for p in pieces), rel=1e-12)
+
+
 def test_token_counts_keep_the_earlier_start_on_ties():
     v = viterbi.Vocabulary(["▁", "a", "b", "ab", "▁a"], [0.0, -1.0, -1.0, -2.0, -1.0], False)
     counts, scores = viterbi.count_words(pa.array(["ab", "zz", "azb"]), v)
