@@ -105,7 +105,10 @@ def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where:
     some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share bigint")), "lang")  # most_languages rows
     some = some.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(whole)) < F.col("_share"))
     counted = some.select("lang", "text").mapInArrow(lambda b: _count_batches(b, order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return _frozen(counted, sorted(r["lang"] for r in sizes), order)
+    trees = _frozen(counted, sorted(r["lang"] for r in sizes), order)
+    del counted
+    tc.give_back()  # the driver has little room
+    return trees
 
 
 def _frozen(counted: pa.Table, languages: list[str], order: int) -> Trees:

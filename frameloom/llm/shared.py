@@ -59,7 +59,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
     """From now on Arrow batches of this session hold so many bytes at most (the default is 64 MB), which bounds what texts take next to the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
