@@ -125,10 +125,16 @@ def in_groups(d: DataFrame, work: Work, schema: str, keys=FRAME, order=("det_id"
     """``work`` on all groups of the keys, dealt by them, rows of a group in order; on a stream, frame by frame of each video."""
     fields = _fields(schema)
     if d.isStreaming:
-        kinds = to_arrow_schema(d.schema)
+        if tuple(keys[:2]) != FRAME:
+            raise ValueError("a stream is worked on frame by frame; this operator needs more")
+        kinds, place = to_arrow_schema(d.schema), [*keys, *order]
 
         def step():
-            return lambda state, rows: work(Frames(pa.Table.from_pylist(rows, kinds), keys)).select(fields.names).cast(fields).to_pylist()
+            def run(state, rows):
+                rows = sorted(rows, key=lambda r: [r[c] for c in place])
+                return work(Frames(pa.Table.from_pylist(rows, kinds), keys)).select(fields.names).cast(fields).to_pylist()
+
+            return run
 
         return frames.in_stream(d, step, schema, keys[0], keys[1], order[0], IDLE_MS)
 

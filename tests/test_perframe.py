@@ -267,7 +267,7 @@ def test_no_rows(spark):
     assert perframe.matched_sides(none, F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("run", [perframe.suppressed, perframe.without_redundant, perframe.resolved])
+@pytest.mark.parametrize("run", [perframe.suppressed, perframe.without_redundant, perframe.resolved, perframe.merged_scenes])
 def test_stream_equals_batch(spark, crowd, tmp_path, run):
     d = crowd[0]
     source = tmp_path / "in"
@@ -281,6 +281,8 @@ def test_stream_equals_batch(spark, crowd, tmp_path, run):
         time.sleep(0.5)
     assert query.exception() is None
     query.stop()
+    with pytest.raises(ValueError, match="frame by frame"):
+        perframe.representatives(stream)
     assert sorted(map(tuple, spark.table(f"p_{run.__name__}").collect())) == want  # the last frames came by the time limit
 
 
