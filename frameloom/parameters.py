@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 class Parameters:
     """One record; ``with_`` gives a changed copy."""
 
+    # The published defaults, which results must agree with.
     # tracking and smoothing
     smoothing_window: int = 12
     flip_streak: int = 3
