@@ -50,7 +50,7 @@ SHORT = 16  # members of a list whose pairs are all counted
 
 def _signed(batches, size: int, coordinates: int):
     for whole in batches:
-        for batch in tc.pieces_of(whole, "text", 6 << 20):
+        for batch in tc.pieces_of(whole, "text", 3 << 20):
             hashes, counts = shingles.shingle_sets(batch.column("text"), size)
             rows = shingles.signatures(hashes, counts, coordinates).view(np.int32)
             raw, ends = memoryview(hashes).cast("B"), np.cumsum(counts) * 8
@@ -64,7 +64,7 @@ def _signed(batches, size: int, coordinates: int):
 def _sets(batches, size: int):
     """Texts replaced by their packed sets."""
     for whole in batches:
-        for batch in tc.pieces_of(whole, "text", 6 << 20):
+        for batch in tc.pieces_of(whole, "text", 3 << 20):
             hashes, counts = shingles.shingle_sets(batch.column("text"), size)
             ends = np.cumsum(counts)
             packed = [blobs.pack_sorted(hashes[e - n : e]) for e, n in zip(ends, counts, strict=True)]
