@@ -14,9 +14,10 @@ Cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything if nothing can be learned from. Ties go to the first language in
 alphabetical order. Extra columns, repeated rows and an empty table do no harm.
 Training reads whole texts of about ``per_language`` documents of each language
-at most, and about ``most_bytes`` of each (chosen by a hash of the id), of the
-``most_languages`` languages with the most documents (ties in alphabetical
-order); these bounds are parameters.
+at most, and about ``most_bytes`` in all (an equal part of each, chosen by a hash
+of the id), of the ``most_languages`` languages with the most documents (ties in
+alphabetical order); if the tables of all of these would have more than
+``most_cells`` entries, the last of them go. These bounds are parameters.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _count_batches(batches, order: int):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(counts)], names=["lang", "k", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 16 << 20, most_languages: int = 256) -> Trees:
+def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 64 << 20, most_languages: int = 256, most_cells: int = 48_000_000) -> Trees:
     """Learn the context trees of the languages in ``lang_col``."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
     if only_where is not None:
@@ -101,11 +102,15 @@ def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where:
     if not sizes:
         return Trees([], [], [], [], [])
     whole = 1 << 20
-    shares = [(r["lang"], min(whole, per_language * whole // r["n"] + 1, most_bytes * whole // max(r["bytes"], 1) + 1)) for r in sizes]
+    shares = [(r["lang"], min(whole, per_language * whole // r["n"] + 1, most_bytes // len(sizes) * whole // max(r["bytes"], 1) + 1)) for r in sizes]
     some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share bigint")), "lang")  # most_languages rows
     some = some.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(whole)) < F.col("_share"))
     counted = some.select("lang", "text").mapInArrow(lambda b: _count_batches(b, order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    trees = _frozen(counted, sorted(r["lang"] for r in sizes), order)
+    grams = len(np.unique(counted["gram"].to_numpy() * (order + 1) + counted["k"].to_numpy()))
+    languages = [r["lang"] for r in sizes][: max(1, most_cells // max(grams, 1))]
+    if len(languages) < len(sizes):
+        counted = counted.filter(pc.is_in(counted["lang"], pa.array(languages)))
+    trees = _frozen(counted, sorted(languages), order)
     del counted
     tc.give_back()  # the driver has little room
     return trees

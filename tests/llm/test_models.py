@@ -83,6 +83,8 @@ def test_language_bounds(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, trees).collect()}
     assert got[1] == "en" and got[101] == "de"
     assert len(language.train(docs, most_bytes=200).languages) == 256
+    few = language.train(docs, most_cells=400)
+    assert 1 <= len(few.languages) < 10 and "en" in few.languages and {r["lang_pred"] for r in language.identify(docs.where("doc_id < 40"), few).collect()} == {"en"}
 
 
 def test_language_cases(odd, nothing):
