@@ -49,19 +49,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(small, _GAPS), "")
 
 
-def _hashes(lengths: list[int]) -> Column:
-    """Hashes of all windows of the column ``codes``, of one length after the other."""
+def _codes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
 
-    def windows(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size("codes") - n + 1), lambda i: F.xxhash64(F.slice("codes", i, n)))
-        return F.when(F.size("codes") >= n, each).otherwise(F.array().cast("array<bigint>"))
 
-    parts = [windows(n) for n in lengths]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _coded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
+def _hash(codes: Column, start: Column, n: int) -> Column:
+    """Hash of ``n`` codes from the 0-based ``start`` on, fewer where the array ends; compiled, unlike a lambda over slices."""
+    return F.xxhash64(*[F.get(codes, start + k) for k in range(n)])
 
 
 def item_windows(benchmark: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -70,25 +64,26 @@ def item_windows(benchmark: DataFrame, size: int = 10, id_col: str = "item_id",
     n = F.least(F.size("words"), F.lit(size))
     placed = items.withColumn("n", n).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)))
     grams = placed.select("item_id", "n", F.slice("words", F.col("at"), F.col("n")).alias("gram"))
-    hashed = F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w)))
-    return grams.select(hashed.alias("hash"), "n", "gram", "item_id").distinct()
+    coded = grams.withColumn("codes", _codes(F.col("gram")))
+    return coded.select(_hash(F.col("codes"), F.lit(0), size).alias("hash"), "n", "gram", "item_id").distinct()
 
 
 def _scanned(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row for each document (place 0) and each of its windows: doc_id, digest, n_words, words, hash, place, n."""
+    """One row for each document (place 0) and each place and length: doc_id, digest, n_words, words, hash, place, n.
+
+    Places near the end have windows that are too short; their words equal no window of the set.
+    """
     rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"), words(F.col("text")).alias("words"))
-    rows = _coded(rows).withColumn("n_words", F.size("words"))
-    entries = rows.select("doc_id", "digest", "n_words", "words", F.posexplode(F.concat(F.array(F.lit(_SELF).cast("long")), _hashes(lengths))).alias("entry", "hash"))
-    # entries lie by length: those of the first length, then those of the second, and so on
-    place, n, before = F.col("entry"), F.lit(lengths[-1]), F.lit(0)
-    for length in lengths[:-1]:
-        here = F.greatest(F.col("n_words") - length + 1, F.lit(0))
-        inside = (F.col("entry") > before) & (F.col("entry") <= before + here)
-        place, n, before = F.when(inside, F.col("entry") - before).otherwise(place), F.when(inside, length).otherwise(n), before + here
-    if len(lengths) > 1:
-        place = F.when(F.col("entry") > before, F.col("entry") - before).otherwise(place)
-    own = F.col("entry") == 0
-    return entries.select("doc_id", "digest", "n_words", "words", "hash", F.when(own, 0).otherwise(place).alias("place"), F.when(own, 0).otherwise(n).alias("n"))
+    rows = rows.withColumn("n_words", F.size("words")).withColumn("codes", F.concat(F.array(F.lit(_SELF).cast("long")), _codes(F.col("words"))))
+    entries = rows.select("doc_id", "digest", "n_words", "words", "codes", F.posexplode("codes").alias("place", "code"))
+    hashes = [_hash(F.col("codes"), F.col("place"), n) for n in lengths]
+    if len(lengths) == 1:
+        entries = entries.withColumn("hash", hashes[0]).withColumn("n", F.lit(lengths[0]))
+    else:
+        entries = entries.select("*", F.posexplode(F.array(*hashes)).alias("k", "hash")).where("place > 0 OR k = 0")
+        entries = entries.withColumn("n", F.element_at(F.array(*map(F.lit, lengths)), F.col("k") + 1))
+    own = F.col("place") == 0
+    return entries.select("doc_id", "digest", "n_words", "words", "place", *[F.when(own, v).otherwise(F.col(c)).alias(c) for c, v in (("hash", _SELF), ("n", 0))])
 
 
 def hits(docs: DataFrame, grams: DataFrame, most: int = 200_000) -> DataFrame:
