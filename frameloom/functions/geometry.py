@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Below any area; keeps the division of no common area by no area at 0.
+_LEAST = 1e-300
+
+
 def _zero() -> Column:
     return F.lit(0.0)
 
@@ -49,10 +53,27 @@ def intersection(a: Column, b: Column) -> Column:
 
 
 def iou(a: Column, b: Column) -> Column:
-    """0 for boxes that are apart or empty."""
+    """0 for boxes that are apart or empty.
+
+    The intersection stands in it twice only: longer expressions in join
+    conditions grow beyond what the JVM compiles.
+    """
     common = intersection(a, b)
-    union = area(a) + area(b) - common
-    return F.when((common > 0) & (union > 0), common / union).otherwise(_zero())
+    return common / F.greatest(F.lit(_LEAST), area(a) + area(b) - common)
+
+
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """True wherever iou() is at least ``least`` (above 0), and hardly elsewhere.
+
+    For join conditions: the intersection stands in it once, so its code stays
+    small enough to be compiled. The exact test follows on what is left.
+    """
+    return intersection(a, b) * (1 + least) >= (least - 1e-9) * (area(a) + area(b))
+
+
+def may_contain(a: Column, b: Column, least: float) -> Column:
+    """The same for containment()."""
+    return intersection(a, b) >= (least - 1e-9) * F.greatest(F.lit(1.0), F.least(area(a), area(b)))
 
 
 def iou_floored(a: Column, b: Column) -> Column:
@@ -68,15 +89,12 @@ def iou_smoothed(a: Column, b: Column) -> Column:
 
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of the smaller box."""
-    common, least = intersection(a, b), F.least(area(a), area(b))
-    return F.when((common > 0) & (least > 0), common / least).otherwise(_zero())
+    return intersection(a, b) / F.greatest(F.lit(_LEAST), F.least(area(a), area(b)))
 
 
 def containment(a: Column, b: Column) -> Column:
     """The larger of the two shares; areas count as one square pixel at least."""
-    one = F.lit(1.0)
-    common = intersection(a, b)
-    return F.greatest(common / F.greatest(one, area(a)), common / F.greatest(one, area(b)))
+    return intersection(a, b) / F.greatest(F.lit(1.0), F.least(area(a), area(b)))
 
 
 def union(a: Column, b: Column) -> Column:

@@ -95,8 +95,9 @@ def recent_candidates(d: DataFrame, gap: int, least_iou: float) -> DataFrame:
     past = d.where(F.col("track_id") >= 0)
     pairs = interval(d, past, gap, ["video_id", "coarse"])
     iou = G.iou(F.col("a.bbox"), F.col("b.bbox"))
-    best = pairs.where(iou >= least_iou).groupBy(F.col("a.det_id").alias("det_id")).agg(F.max_by(F.struct(F.col("b.track_id").alias("past_track"), F.col("b.det_id").alias("past_id"), iou.alias("iou")), F.struct(iou, F.col("b.frame_idx"), F.col("b.det_id"))).alias("m"))
-    return best.select("det_id", "m.*")
+    near = pairs.where(G.may_reach(F.col("a.bbox"), F.col("b.bbox"), least_iou))
+    best = near.groupBy(F.col("a.det_id").alias("det_id")).agg(F.max(F.struct(iou.alias("iou"), F.col("b.frame_idx").alias("at"), F.col("b.det_id").alias("past_id"), F.col("b.track_id").alias("past_track"))).alias("m"))
+    return best.where(F.col("m.iou") >= least_iou).select("det_id", "m.past_track", "m.past_id", "m.iou")
 
 
 def scene_takeovers(scene: DataFrame, movable: DataFrame, gap: int = 5) -> DataFrame:
@@ -104,8 +105,9 @@ def scene_takeovers(scene: DataFrame, movable: DataFrame, gap: int = 5) -> DataF
     pairs = interval(scene, movable, gap, ["video_id"])
     iou, inside = G.iou(F.col("a.bbox"), F.col("b.bbox")), G.containment(F.col("a.bbox"), F.col("b.bbox"))
     score = F.greatest(iou / 0.35, inside / 0.65)
-    best = pairs.where((iou >= 0.35) | (inside >= 0.65)).groupBy(F.col("a.det_id").alias("det_id")).agg(F.max_by(F.struct(F.col("b.track_id").alias("track"), score.alias("score")), F.struct(score, F.col("b.det_id"))).alias("m"))
-    return best.select("det_id", "m.*")
+    near = pairs.where(G.may_reach(F.col("a.bbox"), F.col("b.bbox"), 0.35) | G.may_contain(F.col("a.bbox"), F.col("b.bbox"), 0.65))
+    best = near.groupBy(F.col("a.det_id").alias("det_id")).agg(F.max(F.struct(score.alias("score"), F.col("b.det_id").alias("past_id"), F.col("b.track_id").alias("track"))).alias("m"))
+    return best.where("m.score >= 1").select("det_id", "m.track", "m.score")
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, cell: float, least_iou: float, keys: list[str]) -> DataFrame:

@@ -44,9 +44,24 @@ class Parameters:
     confirmed_persistence: int = 2
     hand_confirmed_persistence: int = 4
     stale_confidence: float = 0.16
+    cold_start_frames: int = 1
+    cold_start_confidence: float = 0.20
+    seed_frames: int = 4
+    seed_confidence: float = 0.16
+    short_frames: int = 1
+    short_confidence: float = 0.18
+    handheld_frames: int = 6
+    handheld_confirmed: int = 4
+    # recovery from memory
+    memory_min_stable: int = 2
+    memory_confidence: float = 0.20
+    memory_frames: int = 7
+    memory_confirmed: int = 1
+    memory_least_area: int = 1
     # hands
     hand_iou: float = 0.01
     hand_distance_scale: float = 1.4
+    hand_border_confidence: float = 0.48
     occlusion_tracks: int = 3
     occlusion_iou: float = 0.15
     occlusion_containment: float = 0.40

@@ -26,13 +26,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per detection: ids, raw label, confidence, bbox struct, track, source, confirmed."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
-    label = F.lit(None).cast("string")
-    for kind, names in _LABELS.items():
-        for i, name in enumerate(names):
-            label = F.when((F.col("event_type") == kind) & (n % 3 == i), name).otherwise(label)
-    source = F.lit("yolo_world")
-    for i, name in enumerate(_SOURCES):
-        source = F.when(n % 9 == i, name).otherwise(source)
+    # looked up in literals: a small expression wherever a plan repeats it
+    names = F.create_map(*[x for kind, three in _LABELS.items() for x in (F.lit(kind), F.array(*map(F.lit, three)))])
+    label = F.try_element_at(F.try_element_at(names, F.col("event_type")), (n % 3 + 1).cast("int"))
+    source = F.element_at(F.array(*[F.lit(s) for s in [*_SOURCES, *["yolo_world"] * (9 - len(_SOURCES))]]), (n % 9 + 1).cast("int"))
     like = F.when(F.floor(n / 4) % 5 == 4, n - 4).otherwise(n)  # some boxes lie next to the frame's box before
     x, y = (like * 37) % 300 + (n - like), (like * 53) % 200 + (n - like)
     track = F.col("user_id") % 13 - 1
