@@ -84,3 +84,19 @@ def events(states: DataFrame, least_streak: int = 2, since_transition: bool = Fa
         found = found.select("det_id", "video_id", "frame_idx", "track_id", F.lit(name).alias("type"), "streak")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def hands_at_border(hands: DataFrame, w: int, h: int, least: float = 0.48) -> DataFrame:
+    """Hands with the borders they come near (joined by +), whether they are partly out of sight, and whether they stay confirmed.
+
+    Detected hands near a border lose their confirmation below ``least``; those
+    unconfirmed before are flagged only; rows of other sources stay as they are.
+    """
+    edge = F.coalesce(G.near_edge(F.col("bbox"), w, h), F.lit(""))
+    at = edge != ""
+    seen = F.col("source").isin(*T.STRONG_SOURCES)
+    return hands.withColumns({
+        "edge": edge,
+        "visibility": F.when(at & (~F.col("confirmed") | seen), "partial_offscreen").otherwise(""),
+        "confirmed": F.col("confirmed") & ~(at & seen & (F.col("confidence") < least)),
+    })
