@@ -187,7 +187,7 @@ def kmeans_clusters(spark, sf_dir):
 
 @query("V02 V09")
 def principal_components(spark, sf_dir):
-    return vectors.principal(V.proposals(spark, sf_dir), "embedding", 8).select("proposal_id", F.size("reduced").alias("size"))
+    return vectors.principal(V.proposals(spark, sf_dir), "embedding", 8).select("proposal_id", F.size("reduced").alias("size"), R(X.norm(F.col("reduced"))).alias("length"))
 
 
 @query("V05 V06 V07")
