@@ -15,9 +15,11 @@ everything if nothing can be learned from. Ties go to the first language in
 alphabetical order. Extra columns, repeated rows and an empty table do no harm.
 Training reads whole texts of about ``per_language`` documents of each language
 at most, and about ``most_bytes`` in all (an equal part of each, chosen by a hash
-of the id), of the ``most_languages`` languages with the most documents (ties in
-alphabetical order); if the tables of all of these would have more than
-``most_cells`` entries, the last of them go. These bounds are parameters.
+of the id; the document with the least hash of each language always). Every
+language is learned, however many there are: their trees are kept in groups of
+``together`` languages, and where the tables of all groups would have more than
+``most_cells`` entries, the sample of every language is thinned, down to one
+document of each. These bounds are parameters.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ _BLANK = 0x20
 
 @dataclass
 class Trees:
-    """Frozen costs of all languages; row i of ``costs[k]`` belongs to ``grams[k][i]``.
+    """Frozen costs of a group of languages; row i of ``costs[k]`` belongs to ``grams[k][i]``.
 
     A gram of order k is k context bytes and the byte coded, packed into an
     integer. ``costs`` holds full costs (escapes included) in bits for each
@@ -53,6 +55,17 @@ class Trees:
     escapes: list[np.ndarray]
 
 
+@dataclass
+class Model:
+    """The trees of all languages, group by group in alphabetical order."""
+
+    groups: list[Trees]
+
+    @property
+    def languages(self) -> list[str]:
+        return [name for g in self.groups for name in g.languages]
+
+
 def _packed(words: pa.StringArray, order: int):
     """For each byte of each word: the packed context and byte, by order; and each word's first byte's place."""
     data, at = tc.byte_rows(words)
@@ -92,28 +105,38 @@ def _count_batches(batches, order: int):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), k, np.int32)), pa.array(grams), pa.array(counts)], names=["lang", "k", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 64 << 20, most_languages: int = 256, most_cells: int = 48_000_000) -> Trees:
-    """Learn the context trees of the languages in ``lang_col``."""
+def train(
+    docs: DataFrame, per_language: int = 1500, order: int = 4, only_where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = 64 << 20, most_cells: int = 48_000_000, together: int = 8
+) -> Model:
+    """Learn the context trees of every language in ``lang_col``."""
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col)
     if only_where is not None:
         rows = rows.where(only_where)
-    rows = rows.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return Trees([], [], [], [], [])
     whole = 1 << 20
-    shares = [(r["lang"], min(whole, per_language * whole // r["n"] + 1, most_bytes // len(sizes) * whole // max(r["bytes"], 1) + 1)) for r in sizes]
-    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share bigint")), "lang")  # most_languages rows
-    some = some.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(whole)) < F.col("_share"))
-    counted = some.select("lang", "text").mapInArrow(lambda b: _count_batches(b, order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    grams = len(np.unique(counted["gram"].to_numpy() * (order + 1) + counted["k"].to_numpy()))
-    languages = [r["lang"] for r in sizes][: max(1, most_cells // max(grams, 1))]
-    if len(languages) < len(sizes):
-        counted = counted.filter(pc.is_in(counted["lang"], pa.array(languages)))
-    trees = _frozen(counted, sorted(languages), order)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(whole))
+    rows = rows.where("text is not null and lang is not null").withColumn("_draw", draw)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("_draw").alias("least")).collect()  # a row for each language
+    if not sizes:
+        return Model([])
+    languages, thinned = sorted(r["lang"] for r in sizes), 1.0
+    groups = [languages[i : i + together] for i in range(0, len(languages), together)]
+    while True:
+        part = lambda r: min(whole, per_language * whole // r["n"] + 1, most_bytes // len(sizes) * whole // max(r["bytes"], 1) + 1) * thinned  # noqa: B023, E731
+        shares = [(r["lang"], max(int(part(r)), r["least"] + 1)) for r in sizes]
+        some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share bigint")), "lang").where(F.col("_draw") < F.col("_share"))
+        counted = some.select("lang", "text").mapInArrow(lambda b: _count_batches(b, order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+        cells = sum(len(g) * len(np.unique(own["gram"].to_numpy() * (order + 1) + own["k"].to_numpy())) for g in groups if (own := _of(counted, g)).num_rows)
+        if cells <= most_cells or thinned < 1 / whole:
+            break
+        thinned *= min(0.5, most_cells / cells)
+    model = Model([_frozen(_of(counted, g), g, order) for g in groups])
     del counted
     tc.give_back()  # the driver has little room
-    return trees
+    return model
+
+
+def _of(counted: pa.Table, languages: list[str]) -> pa.Table:
+    return counted.filter(pc.is_in(counted["lang"], pa.array(languages)))
 
 
 def _frozen(counted: pa.Table, languages: list[str], order: int) -> Trees:
@@ -166,7 +189,7 @@ def _cost(trees: Trees, grams: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_costs(words: pa.StringArray, trees: Trees, block: int = 1 << 15) -> np.ndarray:
-    """Bits of each word for each language."""
+    """Bits of each word for each language of a group."""
     parts = [_word_costs(words.slice(first, block), trees) for first in range(0, len(words), block)]
     return np.concatenate(parts) if parts else np.zeros((0, len(trees.languages)))
 
@@ -183,21 +206,24 @@ def _word_costs(words: pa.StringArray, trees: Trees) -> np.ndarray:
     return np.add.reduceat(bits, starts, axis=0) if len(starts) else bits[:0]
 
 
-def score_texts(texts, trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(texts, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best language (-1: undetermined) and its share, for each text."""
     texts = tc.plain(texts)
     letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-    if not trees.languages:
+    if not model.languages:
         return np.full(len(texts), -1), np.zeros(len(texts))
     docs = tc.words(texts, lower=False)
-    by_word = word_costs(docs.words, trees)
-    bits = np.stack([docs.per_doc(np.ascontiguousarray(by_word[:, j])) if len(by_word) else np.zeros(len(texts)) for j in range(len(trees.languages))], axis=1)
+    columns = []
+    for trees in model.groups:
+        by_word = word_costs(docs.words, trees)
+        columns += [docs.per_doc(np.ascontiguousarray(by_word[:, j])) if len(by_word) else np.zeros(len(texts)) for j in range(len(trees.languages))]
+    bits = np.stack(columns, axis=1)
     best = bits.argmin(axis=1)
     share = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
     return np.where(letters, best, -1), np.where(letters, share, 0.0)
 
 
-def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
     model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
 
@@ -211,7 +237,7 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, trees: Trees, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, trees: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents, all columns, whose language is found with a score of ``least`` or more."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
     names = docs.columns

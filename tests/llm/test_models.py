@@ -59,7 +59,7 @@ def test_code_lengths_are_exact(spark):
     rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in samples.items() for t in ts)]
     trees = language.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"), per_language=10**6, order=3)
     probe = [b"the", b"hund", b"zz", "ü".encode(), b"catsu", b"x"]
-    got = language.word_costs(pa.array([w.decode() for w in probe]), trees)
+    got = language.word_costs(pa.array([w.decode() for w in probe]), trees.groups[0])
     slow = slow_costs(samples, 3)
     for row, w in zip(got, probe, strict=True):
         for value, lang in zip(row, trees.languages, strict=True):
@@ -74,17 +74,21 @@ def test_language_on_held_out_documents(spark, small):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_language_bounds(spark):
-    """A dirty column of many languages: the most frequent ones are learned; long texts bound the sample by bytes."""
-    rows = [(i, "the cat sat on a mat " * (2000 if i == 0 else 1), "en") for i in range(40)] + [(100 + i, "der hund und die katze", "de") for i in range(30)] + [(200 + i, f"x{i}", f"dirty{i}") for i in range(300)]
+def test_every_language_is_learned(spark):
+    """300 languages and a dirty rest: all are learned, in groups, however little of each is read."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i, k: "".join(alphabet[(i * 7 + k * 11 + j * (i % 25 + 1) + i // 26) % 26] for j in range(6))
+    rows = [(i, "the cat sat on a mat " * (2000 if i == 0 else 1), "en") for i in range(40)] + [(1000 + 3 * i + j, " ".join(word(i, k) for k in range(12)), f"l{i:03d}") for i in range(300) for j in range(3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    trees = language.train(docs, most_languages=2)
-    assert trees.languages == ["de", "en"]
-    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, trees).collect()}
-    assert got[1] == "en" and got[101] == "de"
-    assert len(language.train(docs, most_bytes=200).languages) == 256
-    few = language.train(docs, most_cells=400)
-    assert 1 <= len(few.languages) < 10 and "en" in few.languages and {r["lang_pred"] for r in language.identify(docs.where("doc_id < 40"), few).collect()} == {"en"}
+    names = ["en", *[f"l{i:03d}" for i in range(300)]]
+    for model in (language.train(docs), language.train(docs, most_bytes=200), language.train(docs, most_cells=400), language.train(docs, together=64)):
+        assert model.languages == names
+        got = language.identify(docs, model).collect()
+        want = {r[0]: r[2] for r in rows}
+        assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) == len(rows)
+    assert [len(g.languages) for g in language.train(docs).groups] == [8] * 37 + [5]
+    one, many = (sorted(map(tuple, language.identify(docs, language.train(docs, together=k)).collect())) for k in (1000, 3))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and all(a[2] == pytest.approx(b[2]) for a, b in zip(one, many, strict=True))
 
 
 def test_language_cases(odd, nothing):
