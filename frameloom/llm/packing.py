@@ -6,8 +6,9 @@ bounded size. A group is packed best fit, longest first; then a local search
 moves documents, exchanges one for one or two for one, between bins that are
 not full, always so that the sum of squared fills grows, working on the least
 filled bin first, until no bin has a move that helps. Bins that are still
-underfull are gathered from all groups and packed again, until one group holds
-them, a round saves no bin (the packing before stays) or after 61 rounds.
+underfull (below ``underfull``, 98 %) are gathered from all groups and packed
+again, until one group holds them or a round saves no bin (the packing before
+stays); every round but the last saves one, so rounds end.
 
 Cases: null and empty texts are the end id alone; ties in length go by id and
 piece; repeated rows are packed as documents of their own; extra columns are
@@ -154,7 +155,7 @@ def _packed(table: pa.Table, capacity: int, round_no: int) -> pa.Table:
     fill = np.bincount(bin_no, weights=size).astype(np.int64)
     group = table["group"][0].as_py()
     out = table.select(["doc_id", "piece", "start", "length", "ids_crc32", "row"]).take(pa.array(rows))
-    return out.append_column("sequence_id", pa.array((np.int64(round_no) << 56) | (np.int64(group) << 24) | bin_no)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill[bin_no]))
+    return out.append_column("sequence_id", pa.array((np.int64(round_no) << 48) | (np.int64(group) << 24) | bin_no)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill[bin_no]))
 
 
 def _packer(capacity: int, round_no: int):
@@ -182,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int =
         if bins >= before:  # no bin saved: the packing before stays
             done = done.unionByName(rest.select(names))
             break
-        last = n == 1 or round_no > 60
+        last = n == 1
         settled = now if last else now.where(F.col("fill") >= underfull * capacity)
         done = done.unionByName(settled.select(names))
         if last:
