@@ -327,6 +327,17 @@ def ranges_for(size: int, most: int = MOST_RANGES) -> tuple[int, int]:
     return fine, fine
 
 
+def _numbers(names: list[str]):
+    """Packed lists of a few numbers as columns."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.array([blobs.unpack(b) for b in batch.column("body").to_pylist()], dtype=np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=names)
+
+    return run
+
+
 def score(docs: DataFrame, held_out, deleted, id_col: str = "doc_id", text_col: str = "text", ranges: tuple[int, int] | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -345,10 +356,9 @@ def score(docs: DataFrame, held_out, deleted, id_col: str = "doc_id", text_col:
     schema = "block string, part_no bigint, body binary"
     blocks = written(rows.mapInArrow(lambda b: _blocks(b, coarse, width * fine), schema).withColumn("kind", F.expr("if(part_no < 0, 'docs', 'asked')")), "ngram-blocks", ["kind"])
     answers, of_ranges = _totals(blocks.where("kind = 'asked'").drop("kind"), fine, width, tasks)
-    added = np.zeros(4, dtype=np.int64)
-    for row in of_ranges.select("body").toLocalIterator():
-        added += blobs.unpack(row[0]).astype(np.int64)
-    n_main, n_deleted, v_main, v_all = added.tolist()
+    names = ["n_main", "n_deleted", "v_main", "v_all"]
+    added = of_ranges.select("body").mapInArrow(_numbers(names), ", ".join(f"{c} bigint" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+    n_main, n_deleted, v_main, v_all = map(int, added)
     total = {"n_main": n_main, "n": n_main + n_deleted, "v_main": v_main, "v": v_all, "docs_main": n_docs.get(TRAIN, 0), "docs": n_docs.get(TRAIN, 0) + n_docs.get(DELETED, 0)}
     removed(blocks, "kind=asked")
     both = blocks.where("kind = 'docs'").drop("kind").unionByName(answers)
