@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import textcols as tc
 from frameloom.llm import tokenids
+from frameloom.operators.windows import running_total
 from frameloom.llm.shared import id_array, id_column, tasks_for, written
 
 MAGIC = b"DACF"
@@ -183,13 +184,11 @@ def read(files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32, first_token, last_token.
 
     The last two are read by random access, the sum over all ids from the
-    decoded levels.
+    decoded levels. Where a range starts among all ids is a running total over
+    the ranges, in two levels, which its documents' rows meet in a join.
     """
     totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("tokens")).alias("n"))  # one row for each range
-    base, total = {}, 0
-    for row in totals.orderBy("part").toLocalIterator():
-        base[row["part"]] = total
-        total += row["n"]
+    base = running_total(totals, "part", F.col("n"), "base", 1 << 12).select("part", "base")
 
     def run(batches):
         for batch in batches:
@@ -199,9 +198,11 @@ def read(files: DataFrame) -> DataFrame:
                 at = file.starts.tolist()
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 ends = [file.levels.at(p).astype(np.int64) for p in (file.starts[:-1], file.starts[1:] - 1)]
-                yield pa.RecordBatch.from_arrays([id_column(file.doc_ids), pa.array(base[part] + start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64()), *map(pa.array, ends)], names=["doc_id", "start", "n_tokens", "ids_crc32", "first_token", "last_token"])
+                inside = [pa.array(start + file.starts[:-1]), pa.array(np.diff(file.starts)), pa.array(crc, pa.int64()), *map(pa.array, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(crc), part, np.int32)), id_column(file.doc_ids), *inside], names=["part", "doc_id", "inside", "n_tokens", "ids_crc32", "first_token", "last_token"])
 
-    return files.select("part", "part_start", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_token bigint, last_token bigint")
+    rows = files.select("part", "part_start", "payload").mapInArrow(run, "part int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint, first_token bigint, last_token bigint")
+    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "first_token", "last_token")
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
