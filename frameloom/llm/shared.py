@@ -8,6 +8,7 @@ executor never forces the work before it to run again.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -28,19 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_WRITTEN: list[str] = []  # tables of this process
+_LOCAL = threading.local()
+
+
+def _written() -> list[str]:
+    """The tables that this thread has written, so that runs side by side keep theirs apart."""
+    if not hasattr(_LOCAL, "tables"):
+        _LOCAL.tables = []
+    return _LOCAL.tables
 
 
 def mark() -> int:
-    """How many tables this process has written so far, for clear()."""
-    return len(_WRITTEN)
+    """How many tables this thread has written so far, for clear()."""
+    return len(_written())
 
 
 def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Delete the tables that this process wrote (after ``since``, without the one that ``keep`` reads); for after their results have been stored."""
+    """Delete the tables that this thread wrote (after ``since``, without the one that ``keep`` reads); for after their results have been stored."""
     kept = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if keep is not None else set()
-    gone = [t for t in _WRITTEN[since:] if not any(k == t or k.endswith(t.split(":", 1)[-1].lstrip("/")) for k in kept)]
-    _WRITTEN[since:] = [t for t in _WRITTEN[since:] if t not in gone]
+    tables = _written()
+    gone = [t for t in tables[since:] if not any(k == t or k.endswith(t.split(":", 1)[-1].lstrip("/")) for k in kept)]
+    tables[since:] = [t for t in tables[since:] if t not in gone]
     for table in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -51,7 +60,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write ``df`` as Parquet in the shared folder and return the reread table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _written().append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -37,8 +37,24 @@ def test_run_gives_the_last_stage(spark, small):
     assert rows.columns[:3] == ["doc_id", "piece", "start"] and rows.count() > 0
 
 
+def test_runs_side_by_side_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from frameloom.llm import shared
+
+    def run(k):
+        since = shared.mark()
+        first, last = (shared.written(spark.range(k * 10 + j + 1), "side") for j in range(2))
+        gone = shared.clear(spark, since, last)
+        return gone, last.count(), first.inputFiles()
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(run, (1, 2))
+    assert (a[:2], b[:2]) == ((1, 12), (1, 22))
+
+
 def test_every_query_is_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
