@@ -8,7 +8,7 @@ import math
 import duckdb
 import pytest
 
-from frameloom.plans import file_queries, fusion_queries, join_queries, online_queries, review_queries, scalar_queries, stateful_queries, summary_queries, track_queries  # noqa: F401
+from frameloom.plans import file_queries, fusion_queries, join_queries, online_queries, review_queries, scalar_queries, stateful_queries, summary_queries, track_queries, upkeep_queries  # noqa: F401
 from frameloom.plans.catalog import REGISTRY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
