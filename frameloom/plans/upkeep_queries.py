@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from frameloom import taxonomy as T
 from frameloom.functions import geometry as G
 from frameloom.functions import labels as L
-from frameloom.operators import masks
+from frameloom.operators import contours, masks
 from frameloom.operators.history import History
 from frameloom.plans import views as V
 from frameloom.plans.catalog import query
 from frameloom.plans.online_queries import _CELLS, HIGH, WIDE, masked
 from frameloom.session import shared_folder
-from frameloom.sources import pictures
+from frameloom.sources import pictures, recorded
 
 R = lambda c: F.round(c, 6)
 _PALM, _TIPS = (0, 5, 9, 13, 17), (8, 12, 16, 20)
@@ -161,3 +161,25 @@ def change_history(spark, sf_dir):
     h.change(before)
     h.change(part("cluster_id = 4 AND proposal_id < 400", "kept"))
     return h.current().select("proposal_id", "label", "status")
+
+
+def text_frames(spark, sf_dir, side: int = 16):
+    """Documents as recordings: the bytes of a whole text as square grey frames one after the other (the last one filled up with blanks)."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = side * side
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.rpad(text, F.greatest(F.ceil(F.length(text) / size) * size, F.lit(size)).cast("int"), F.unhex(F.lit("20"))).alias("bytes"))
+    frames_ = d.withColumn("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("bytes") / size).cast("long") - 1)))
+    return frames_.select("video_id", "frame_idx", F.substring("bytes", (F.col("frame_idx") * size + 1).cast("int"), F.lit(size)).alias("image"), F.lit(side).alias("height"), F.lit(side).alias("width"))
+
+
+@query("S03 W07")
+def sampled_recordings(spark, sf_dir):
+    """Every fifth frame of each recording, and every second one for five frames after a strong change of its pictures."""
+    return recorded.sampled(text_frames(spark, sf_dir), 5, 2, least_change=34.0).select("video_id", "frame_idx", "frame_id", R(F.col("change")).alias("change"))
+
+
+@query("S24 V11")
+def contour_proposals(spark, sf_dir):
+    """Contours of frames of 64 by 64 bytes: boxes, labels in turn, scores."""
+    found = contours.proposals(text_frames(spark, sf_dir, 64), ["pot", " ", "lid", "cup"], least_area=30, least_side=4)
+    return found.select("video_id", "frame_idx", "rank", "label", R(F.col("score")).alias("score"), "x1", "y1", "x2", "y2")
