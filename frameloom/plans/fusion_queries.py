@@ -189,12 +189,12 @@ def matched_labels(spark, sf_dir):
     return prompts.matched(V.detections(spark, sf_dir).select("det_id", raw.alias("raw_label")), _words(spark, ["hand", "pot lid"])).select("det_id", "label")
 
 
-@query("P25", f"WITH {V.PROP} SELECT proposal_id, CASE WHEN proposal_id % 5 = 4 THEN NULL ELSE predicted_label END AS fine FROM prop WHERE predicted_label IN ('pot', 'pan', 'lid')")
+@query("P25", f"WITH {V.PROP} SELECT proposal_id, CASE WHEN proposal_id % 5 <> 4 AND predicted_label IN ('pot', 'pan', 'lid') THEN predicted_label END AS fine FROM prop")
 def taxonomy_names(spark, sf_dir):
     n, p = F.col("proposal_id"), F.col("predicted_label")
     name = F.when(n % 5 == 4, "zzz").when(n % 5 == 0, F.concat(F.lit("big "), p)).otherwise(F.upper(p))
     names = spark.createDataFrame([(0, "pot"), (1, "pan"), (2, "lid")], "pos int, name string")
-    return prompts.taxonomy_name(V.proposals(spark, sf_dir).where(p.isin("pot", "pan", "lid")).select("proposal_id", name.alias("name")), names).select("proposal_id", "fine")
+    return prompts.taxonomy_name(V.proposals(spark, sf_dir).select("proposal_id", name.alias("name")), names).select("proposal_id", "fine")
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import runlists as RL
 from frameloom.operators import masks, runs
 from frameloom.plans import online_queries as Q
-from frameloom.streaming import association, frames, online, steps
+from frameloom.streaming import association, frames, growing, online, steps
 
 W, H = 400, 300
 
@@ -316,3 +316,36 @@ def test_greedy_tracker_equals_a_plain_loop(with_depth):
 
 def count_at_start(tracks, frame):
     return sum(t["born"] < frame for t in tracks)
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_growing_memory_equals_a_sequential_loop(within):
+    r = random.Random(6)
+    kinds = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    step, state = growing.GrowingMemory(within_frame=within), {}
+    memory = {"accepted": [], "other": []}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+
+    seen = Counter()
+    for f in range(40):
+        rows = [{"det_id": 10 * f + k, "video_id": 1, "frame_idx": f, "label": r.choice(["Pot", "pot", "cup"]), "score": r.random(), "vector": r.choice([None, [], [0.0] * 6, *[[x + r.gauss(0, 0.2) * r.random() for x in v] for v in kinds], kinds[0]])} for k in range(r.randrange(1, 6))]
+        got, later = step(state, rows), []
+        for row_, g in zip(rows, got, strict=True):
+            v = row_["vector"] if row_["vector"] and any(row_["vector"]) else None
+            best = {k: max([cosine(v, u) + (0.03 if label == row_["label"].lower() else 0) for label, u in m], default=0.0) if v else 0.0 for k, m in memory.items()}
+            hard = best["other"] >= 0.88 and best["other"] >= best["accepted"] - 0.03
+            boost = (0.12 if best["accepted"] >= 0.90 else 0.06 if best["accepted"] >= 0.82 else 0) - (0.16 if hard else 0)
+            adjusted = min(1, max(0, row_["score"] + boost))
+            status = "accepted" if adjusted >= 0.75 and not hard else "needs_vlm" if adjusted >= 0.45 else "rejected"
+            assert (g["hard"], g["status"]) == (hard, status) and g["boost"] == pytest.approx(boost) and g["adjusted"] == pytest.approx(adjusted) and g["best"] == pytest.approx(max(best.values()))
+            seen[status, hard] += 1
+            if v:
+                later.append(("accepted" if status == "accepted" else "other", row_["label"].lower(), v))
+            for kind, label, u in later if within else ():
+                memory[kind].append((label, u))
+            later = [] if within else later
+        for kind, label, u in later:
+            memory[kind].append((label, u))
+    assert len(seen) >= 4 and state["good"].n <= len(memory["accepted"])
