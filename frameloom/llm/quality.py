@@ -196,14 +196,15 @@ def _descent(x: _Rows, scale: np.ndarray, w: np.ndarray, t: np.ndarray, grade: n
     return w, t
 
 
-def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 1e-4, rounds: int = 500, passes: int = 40, tolerance: float = 1e-4) -> Model:
+def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, buckets: int, grades: int, shares: np.ndarray | None = None, penalty: float = 1e-4, rounds: int = 500, tolerance: float = 1e-4) -> Model:
     """The least penalised negative log-likelihood, by descent on a working set.
 
     A pass over all features lets the TAKEN steepest that the penalty doesn't
     hold at zero join the live ones; a descent of at most ``rounds`` then works
     on those alone, until CHECKED rounds lower the value by less than
     ``tolerance`` of it. Passes end when none joins that is steeper than the
-    penalty by more than a hundredth of it, after ``passes`` at the latest.
+    penalty by more than a hundredth of it, or only some that had joined before
+    and left again; so there are finitely many.
 
     Document d has the features ``starts[d]`` to ``starts[d + 1]``. ``shares``
     says how much each grade weighs in sum (default: as in the data). Features
@@ -216,15 +217,18 @@ def fit(starts: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.nd
     rarity = np.log(n / np.maximum(np.bincount(feature, minlength=buckets), 1)) / np.log(max(n, 2)) + 0.02
     x = _Rows(np.repeat(np.arange(n, dtype=np.int32), np.diff(starts)), feature, value, n, buckets)
     w, t = np.zeros(buckets), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
-    s = np.zeros(n)
-    for _ in range(passes):
+    s, joined = np.zeros(n), None
+    while True:
         steep = np.abs(x.by_feature(slopes(s, t, grade, mass)[1]) * rarity)
         steep[w != 0] = 0
         new = np.argsort(-steep, kind="stable")[:TAKEN]
         new = new[steep[new] > 1.01 * penalty]
         live = np.sort(np.r_[np.flatnonzero(w), new])
-        if not len(new) and _:
+        if joined is None:
+            joined = np.zeros(buckets, dtype=bool)
+        elif joined[new].all():
             break
+        joined[new] = True
         some = x.only(live)
         w[live], t = _descent(some, rarity[live], w[live], t, grade, mass, penalty, rounds, tolerance)
         s = some.by_doc(w[live] * rarity[live])
@@ -235,9 +239,10 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int = 3, buckets: int = 1 << 22, least_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model | None:
+def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int = 3, buckets: int = 1 << 22, least_docs: int = 4, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model | None:
     """Fit on about ``sample`` rated documents of each grade; ``ratings`` has the id and a grade from 0.
 
+    If their texts have more than ``most_bytes``, fewer of all grades are read.
     Only features of ``least_docs`` documents of the sample or more get weights.
     """
     spark = docs.sparkSession
@@ -249,7 +254,11 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 2000, grades: int =
     for grade, n in sorted(sizes_by.items()):
         share = F.when(F.col("grade") == grade, F.lit(min(1 << 20, sample * (1 << 20) // n + 1))).otherwise(share)
     some = rated.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share)
-    rows = written(only(docs, doc_id=id_col, text=text_col).join(F.broadcast(some), "doc_id").select("grade", "text"), "rated")  # the sample's size is bounded
+    rows = written(only(docs, doc_id=id_col, text=text_col).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text"), "rated")  # the sample's size is bounded
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 20)) < (1 << 20) * most_bytes // size + 1)
+    rows = rows.select("grade", "text")
 
     def counted(batches):
         for whole in batches:

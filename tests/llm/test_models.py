@@ -311,3 +311,11 @@ def test_rows_without_ids(without_ids, spark):
     assert ids(near.keep_one(without_ids)) == all_ids
     dropped = {(r["doc_id"], r["kept"]) for r in exact.groups(without_ids).collect()}
     assert (1, True) in dropped and (2, True) in dropped and (None, True) in dropped and (None, False) in dropped
+
+
+def test_quality_sample_is_bounded_by_bytes(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ratings = quality.grades_of(spark.read.parquet(f"{small}/labels.parquet"))
+    whole, less = quality.train(docs, ratings), quality.train(docs, ratings, most_bytes=60_000, least_docs=2)
+    assert len(whole.thresholds) == len(less.thresholds) == 2 and not np.array_equal(whole.thresholds, less.thresholds)
+    assert quality.score(docs, less).where("expected_grade between 0 and 2").count() == docs.count()
