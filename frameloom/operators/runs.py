@@ -5,7 +5,8 @@ at its end it falls. Running sums of the depths, row of pixels by row of
 pixels, tell where any mask of side a and any of side b lies, so one sweep is
 the union of any number of masks on each side and any combination of the two.
 Borders are summed by place before the sweep, and a window holds one row of
-pixels of one key, however many masks meet there.
+pixels of one key, however many masks meet there. Keys are frames or single
+masks, so what one key has is bounded by a frame.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ def combined(parts: DataFrame, keys: list[str], width: int, keep: Callable[[Colu
     and ``side``, 'a' or 'b'. Runs of one side may overlap and come in any
     order. Keys without such a pixel give no row. Null runs are empty.
     """
-    rows = parts.select(*keys, "side", F.explode("runs").alias("r")).where("r.n > 0")
+    # masks are dealt by key as they are, before they grow into borders; all that follows needs no other exchange
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.select(*keys, "side", "runs").repartition(tasks, *keys)
+    rows = dealt.select(*keys, "side", F.explode("runs").alias("r")).where("r.n > 0")
     depth = lambda side, by: F.when(F.col("side") == side, by).otherwise(0)
     border = lambda place, by: F.struct(place.alias("at"), depth("a", by).alias("da"), depth("b", by).alias("db"))
     line = F.floor(F.col("r.s") / width).alias("line")
