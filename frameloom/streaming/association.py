@@ -28,8 +28,12 @@ RELATED = (frozenset(("cookware", "lid_or_cookware")), frozenset(("utensil", "cu
 OUT = "det_id long, video_id long, frame_idx long, assigned long, score double, status string, in_conflict boolean, depth double, missed int, seen int"
 
 
-def _middle(b: dict) -> np.ndarray:
-    return np.array([(b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2])
+def _middle(b: dict) -> tuple[float, float]:
+    return (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+
+
+def _apart(a: tuple[float, float], b: tuple[float, float], width: float = 1.0, height: float = 1.0) -> float:
+    return math.hypot((a[0] - b[0]) / width, (a[1] - b[1]) / height)
 
 
 def _side(b: dict) -> float:
@@ -49,7 +53,7 @@ def conflicts(rows: list[dict], width: int, height: int) -> list[bool]:
     for i, a in enumerate(rows):
         for j in range(i + 1, len(rows)):
             b = rows[j]
-            away = np.linalg.norm((_middle(a) - _middle(b)) / (width, height))
+            away = _apart(_middle(a), _middle(b), width, height)
             if iou(a, b) > 0.25 or (away < 0.08 and abs(a["depth"] - b["depth"]) < 0.10):
                 out[i] = out[j] = True
     return out
@@ -65,8 +69,8 @@ class _Cues:
         vector = row["vector"]
         return {**row, "vector": None if vector is None or not len(vector) else np.asarray(vector, dtype=np.float64)}
 
-    def _extent(self, b: dict) -> np.ndarray:
-        return np.array([(b["x2"] - b["x1"]) / self.width, (b["y2"] - b["y1"]) / self.height, b["depth_high"] - b["depth_low"]])
+    def _extent(self, b: dict) -> tuple[float, float, float]:
+        return (b["x2"] - b["x1"]) / self.width, (b["y2"] - b["y1"]) / self.height, b["depth_high"] - b["depth_low"]
 
     @staticmethod
     def _lost(track: int, t: dict, row: dict) -> dict:
@@ -92,24 +96,33 @@ class CueTracker(_Cues):
         super().__init__(width, height)
         self.keep, self.keep_in_conflict, self.missing, self.hidden, self.gallery = keep, keep_in_conflict, missing, hidden, Gallery()
 
-    def _cues(self, t: dict, row: dict) -> dict[str, float]:
-        known = t["gallery"]
-        vectors = [v for _, v in known["best"]] + known["recent"] + ([known["mean"]] if known["mean"] is not None else [])
+    @staticmethod
+    def _known(t: dict) -> np.ndarray | None:
+        """The unit vectors of a track's gallery."""
+        g = t["gallery"]
+        vectors = [v for _, v in g["best"]] + g["recent"] + ([g["mean"]] if g["mean"] is not None else [])
+        return np.stack(vectors) if vectors else None
+
+    def _cues(self, t: dict, row: dict, known: np.ndarray | None = None) -> dict[str, float]:
+        known = self._known(t) if known is None else known
         if row["vector"] is None:
             looks = 0.5
+        elif known is None:
+            looks = cosine(t["vector"], row["vector"])
         else:
-            looks = float(np.clip(max(cosine(v, row["vector"]) for v in vectors), 0, 1)) if vectors else cosine(t["vector"], row["vector"])
+            size = math.sqrt(float(row["vector"] @ row["vector"]))
+            looks = min(1.0, max(0.0, float((known @ row["vector"]).max()) / size)) if size > 0 else 0.5
         sizes = sorted((area(t), area(row)))
         ratio = sizes[1] / max(1e-6, sizes[0])
         aspect = lambda b: (b["x2"] - b["x1"]) / max(1.0, b["y2"] - b["y1"])
         form = math.exp(-abs(math.log(max(1e-6, aspect(t) / max(1e-6, aspect(row))))) / 0.8)
-        shape = 0.45 / max(1.0, ratio) + 0.35 * form + 0.20 * math.exp(-float(np.linalg.norm(self._extent(t) - self._extent(row))) / 0.35)
+        shape = 0.45 / max(1.0, ratio) + 0.35 * form + 0.20 * math.exp(-math.dist(self._extent(t), self._extent(row)) / 0.35)
         now, there = _middle(t), _middle(row)
         labels = frozenset((t["coarse"], row["coarse"]))
         return {
-            "iou": iou(t, row), "centre": math.exp(-float(np.linalg.norm(now - there)) / _side(row)), "depth": math.exp(-abs(t["depth"] - row["depth"]) / 0.12), "mask": math.exp(-abs(t["fill"] - row["fill"]) / 0.35),
+            "iou": iou(t, row), "centre": math.exp(-_apart(now, there) / _side(row)), "depth": math.exp(-abs(t["depth"] - row["depth"]) / 0.12), "mask": math.exp(-abs(t["fill"] - row["fill"]) / 0.35),
             "shape": min(1.0, max(0.0, shape)), "appearance": looks, "label": 1.0 if len(labels) == 1 else 0.5 if labels in RELATED else 0.2,
-            "motion": 0.7 if t["before"] is None else math.exp(-float(np.linalg.norm(2 * now - t["before"] - there)) / _side(row)),
+            "motion": 0.7 if t["before"] is None else math.exp(-_apart((2 * now[0] - t["before"][0], 2 * now[1] - t["before"][1]), there) / _side(row)),
         }
 
     @staticmethod
@@ -133,8 +146,9 @@ class CueTracker(_Cues):
         for i, n in enumerate(names):
             t = tracks[n]
             t["in_conflict"] = any(r["in_conflict"] and iou(t, r) > 0.05 for r in rows)
+            known = self._known(t)
             for j, row in enumerate(rows):
-                cues = self._cues(t, row)
+                cues = self._cues(t, row, known)
                 if self._passes(t, row, cues, row["in_conflict"] or t["in_conflict"]):
                     scores[i, j] = sum(w * cues[c] for c, w in weights.items())
                     cost[i][j] = 1.0 - scores[i, j]
@@ -204,7 +218,7 @@ class GreedyTracker(_Cues):
         self.with_depth, self.keep, self.missing, self.hidden = with_depth, keep, missing, hidden
 
     def _score(self, t: dict, row: dict) -> float:
-        away = float(np.linalg.norm((_middle(t) - _middle(row)) / (max(1, self.width), max(1, self.height))))
+        away = _apart(_middle(t), _middle(row), max(1, self.width), max(1, self.height))
         cues = {"iou": iou(t, row), "centre": math.exp(-6.0 * away), "label": 1.0 if t["label"].lower() == row["raw_label"].lower() else 0.3}
         if not self.with_depth:
             return sum(w * cues[c] for c, w in FLAT_WEIGHTS.items())
