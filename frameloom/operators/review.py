@@ -24,31 +24,51 @@ def replayed(instances: DataFrame, events: DataFrame) -> DataFrame:
     (``action``) change every row. An event without a status leaves it; a label
     event without one means ``reviewed``.
 
-    No log is gathered: what an instance was when a label came is the last
-    status set before (a running value over its events, which spills), and the
-    last event that counts gives each column.
+    No log is gathered and no cluster's event is copied to its instances. A
+    cluster's log is read once, with the moments at which an instance's own
+    events set its status as points among its events (running values, which
+    spill). Between two points only the cluster's events change an instance, so
+    each stretch needs the last label that counted, and that is one of two: the
+    last one after one of the cluster's own settings in the stretch (``_set``, the
+    same for every instance), or the last one of the events right after the
+    point, up to a label that deletes or a setting (a ``_seg``).
     """
     said = ["seq", "kind", F.when(F.trim("status") != "", F.col("status")).alias("status"), F.coalesce("label", F.lit("")).alias("label"), F.when(F.trim("reason") != "", F.col("reason")).alias("reason")]
-    direct = events.where("kind = 'instance'").select(F.col("target").alias("proposal_id"), *said)
-    wide = events.where("kind <> 'instance'").select(F.col("target").alias("cluster_id"), *said)
-    on_rows = instances.select("proposal_id", "cluster_id").join(wide, "cluster_id").drop("cluster_id").unionByName(direct)
-    is_label = F.col("kind") == "label"
-    sets = ~is_label & F.col("status").isNotNull()
-    before = Window.partitionBy("proposal_id").orderBy("seq")
-    logs = on_rows.withColumns({"_base": F.last(F.when(sets, F.col("status")), ignorenulls=True).over(before), "_part": F.count(F.when(sets, 1)).over(before)})
-    within = Window.partitionBy("proposal_id", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    logs = logs.withColumn("_ended", F.coalesce(F.max(is_label & (F.col("status") == "deleted")).over(within), F.lit(False)))  # by a label event since the status was set
-    logs = logs.join(instances.select("proposal_id", F.col("review_status").alias("_first")), "proposal_id")
-    counts = is_label & (F.coalesce("_base", "_first") != "deleted") & ~F.col("_ended")
-    named = counts | ((F.col("kind") == "instance") & (F.trim("label") != ""))
-    last = lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
-    final = logs.groupBy("proposal_id").agg(
-        last(F.struct(F.coalesce("status", F.lit("reviewed")).alias("v")), sets | counts)["v"].alias("_status"),
-        last(F.struct(F.col("label").alias("v")), named)["v"].alias("_label"),
-        last(F.col("reason"), ~is_label & F.col("reason").isNotNull()).alias("_reason"),
+    known = instances.select("proposal_id", "cluster_id", "review_status")
+    direct = events.where("kind = 'instance'").select(F.col("target").alias("proposal_id"), *said).join(known, "proposal_id")
+    wide = events.where("kind <> 'instance'").select(F.col("target").alias("cluster_id"), *said).where("cluster_id IS NOT NULL")
+    none, ends = F.lit(None).cast("long"), (-(2**63), 2**63 - 1)
+    point = lambda d, seq, status: d.select("cluster_id", "proposal_id", F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else F.col(seq).cast("long"), F.lit("point").alias("kind"), status.alias("status"), F.lit("").alias("label"))
+    points = point(known, ends[0], F.col("review_status")).unionByName(point(direct.where("status IS NOT NULL"), "seq", F.col("status"))).unionByName(point(known, ends[1], F.lit(None).cast("string")))
+    log = wide.select("cluster_id", none.alias("proposal_id"), F.col("seq").cast("long"), "kind", "status", "label").unionByName(points)
+
+    is_label, is_point = F.col("kind") == "label", F.col("kind") == "point"
+    sets, deletes = ~is_label & ~is_point & F.col("status").isNotNull(), is_label & (F.col("status") == "deleted")
+    so_far = Window.partitionBy("cluster_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda value, when: F.last(F.when(when, value), ignorenulls=True).over(so_far)
+    gone = F.count(F.when(deletes, 1)).over(so_far) - F.when(deletes, 1).otherwise(0)  # labels that deleted before this event
+    log = log.withColumns({"_gone": gone, "_sets": F.count(F.when(sets, 1)).over(so_far)})
+    log = log.withColumn("_set", latest(F.struct("seq", "status", "_gone"), sets)).withColumn("_seg", F.col("_sets") + F.col("_gone"))
+    said_now = F.struct("seq", "label", F.coalesce("status", F.lit("reviewed")).alias("status"), F.col("_set.seq").alias("since"))
+    counts = is_label & (F.col("_set.status") != "deleted") & (F.col("_set._gone") == F.col("_gone"))
+    log = log.withColumns({"_counted": latest(said_now, counts), "_label": latest(said_now, is_label), "_whole": F.max(F.when(is_label, said_now)).over(Window.partitionBy("cluster_id", "_seg"))})
+
+    following = lambda c: F.lead(c).over(Window.partitionBy("proposal_id").orderBy("seq"))
+    parts = log.where(is_point).withColumns({f"_next{c}": following(c) for c in ("_counted", "_label", "_seg")}).withColumn("_more", following("seq").isNotNull())
+    after = lambda c: F.when(F.col(f"{c}.seq") > F.col("seq"), F.col(c))
+    at_once = F.when(F.coalesce(F.col("status") != "deleted", F.lit(False)), F.when(F.col("_seg") == F.col("_next_seg"), after("_next_label")).otherwise(after("_whole")))
+    counted = F.when(F.col("_more"), F.coalesce(F.when(F.col("_next_counted.since") > F.col("seq"), F.col("_next_counted")), at_once))
+    last = lambda value, by, when: F.max_by(F.struct(value.alias("v")), F.when(when, by))
+    inner = (F.col("seq") > ends[0]) & (F.col("seq") < ends[1])
+    folded = parts.withColumn("_c", counted).groupBy("proposal_id").agg(
+        F.max("_c").alias("_c"), F.max(F.when(F.col("seq") == ends[1], F.struct(F.col("_set.seq").alias("seq"), F.col("_set.status").alias("status")))).alias("_wide"), F.max(F.when(inner, F.struct("seq", "status"))).alias("_own")
     )
-    rows = instances.join(final, "proposal_id", "left")
-    return rows.select("proposal_id", "cluster_id", F.coalesce("_status", "review_status").alias("status"), F.coalesce("_label", "human_label").alias("label"), F.coalesce("_reason", F.lit("")).alias("reason"))
+    own = direct.groupBy("proposal_id").agg(last(F.col("label"), F.col("seq"), F.trim("label") != "").alias("_name"), F.max(F.when(F.trim("label") != "", F.col("seq"))).alias("_named"), F.max(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))).alias("_why"))
+    reasons = wide.where(~is_label & F.col("reason").isNotNull()).groupBy("cluster_id").agg(F.max(F.struct("seq", "reason")).alias("_told"))
+    rows = instances.join(folded, "proposal_id", "left").join(own, "proposal_id", "left").join(reasons, "cluster_id", "left")
+    status = F.greatest(*[F.when(F.col(f"{c}.seq").isNotNull(), F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.status").alias("status"))) for c in ("_c", "_wide", "_own")])["status"]
+    label = F.when(F.col("_c.seq").isNotNull() & (F.col("_named").isNull() | (F.col("_c.seq") > F.col("_named"))), F.col("_c.label")).otherwise(F.col("_name.v"))
+    return rows.select("proposal_id", "cluster_id", F.coalesce(status, "review_status").alias("status"), F.coalesce(label, F.col("human_label")).alias("label"), F.coalesce(F.greatest("_told", "_why")["reason"], F.lit("")).alias("reason"))
 
 
 def rolled_up(instances: DataFrame) -> DataFrame:

@@ -28,3 +28,26 @@ def test_smoothed_step_near_a_tie_falls_as_in_the_sql():
     work, state = steps.Smooth(), {}
     out = [work(state, [{"det_id": i, "frame_idx": i, "track_id": 1, "confirmed": True, "coarse": label, "confidence": c}])[0]["smoothed"] for i, (label, c) in enumerate(NEAR_TIE)]
     assert out[11] == "hand"
+
+
+def test_replay_copies_no_cluster_event_to_instances(spark):
+    from frameloom.operators import review
+
+    r = np.random.default_rng(5)
+    instances = [(i, int(i % 4), f"h{i}", str(r.choice(["unreviewed", "deleted"]))) for i in range(40)]
+    kinds = r.choice(["instance", "label", "action"], 300, p=[0.4, 0.4, 0.2])
+    events = [(n, str(k), int(r.integers(0, 40 if k == "instance" else 4)), str(r.choice(["", "deleted", "reviewed"])), str(r.choice(["", "pot", "pan"])), str(r.choice(["", "r1", "r2"]))) for n, k in enumerate(kinds)]
+    found = review.replayed(spark.createDataFrame(instances, "proposal_id bigint, cluster_id bigint, human_label string, review_status string"), spark.createDataFrame(events, "seq bigint, kind string, target bigint, status string, label string, reason string"))
+    state = {i: [c, s, h, ""] for i, c, h, s in instances}
+    for _, kind, target, status, label, reason in events:
+        for s in [state[target]] if kind == "instance" else [s for s in state.values() if s[0] == target]:
+            if kind == "label":
+                s[1:3] = (status or "reviewed", label) if s[1] != "deleted" else s[1:3]
+            else:
+                s[1], s[3] = status or s[1], reason or s[3]
+                s[2] = (label or s[2]) if kind == "instance" else s[2]
+    assert {x["proposal_id"]: [x["cluster_id"], x["status"], x["label"], x["reason"]] for x in found.collect()} == state
+    # every row that a join makes is an instance's or one of its own events
+    many = spark.range(2000).selectExpr("id AS proposal_id", "0L AS cluster_id", "'' AS human_label", "'unreviewed' AS review_status")
+    log = spark.range(200_000).selectExpr("id AS seq", "if(id % 2 = 0, 'label', 'action') AS kind", "0L AS target", "if(id % 2 = 0, '', 'reviewed') AS status", "'pot' AS label", "'' AS reason")
+    assert review.replayed(many, log).where("status = 'reviewed' AND label = 'pot'").count() == 2000
