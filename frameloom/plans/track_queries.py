@@ -98,16 +98,22 @@ def segmented_boxes(spark, sf_dir):
     UNION ALL SELECT det_id, 'sink', 8 * (30 - w), probability, 1, 5, w, 0, 30, 8 FROM w UNION ALL SELECT det_id, 'floor', 12 * (30 - w), probability, 1, 5, w, 8, 30, 20 FROM w""",
 )
 def class_map_regions(spark, sf_dir):
+    def described(classes, probability):
+        out = []
+        for label, n, p, *box in masks.regions(classes, probability, ["wall", "sink", "floor"]):
+            mask = masks.refined(masks.tuned(classes == ["wall", "sink", "floor"].index(label), 0), 3, 3)
+            out.append((label, n, p, len(masks.outlines(mask)), len(masks.sample_points(mask)), *box))
+        return out
+
     def run(batches):
+        y, x = np.mgrid[0:20, 0:30]
+        of_map = masks.once(described)  # equal maps are described once
         for batch in batches:
             out = []
             for i in batch["det_id"]:
-                y, x = np.mgrid[0:20, 0:30]
-                classes = np.where(x < 10 + i % 8, 0, np.where(y < 8, 1, 2))
-                for label, n, p, x1, y1, x2, y2 in masks.regions(classes, np.full(classes.shape, 0.4 + (i % 5) / 10.0), ["wall", "sink", "floor"]):
-                    mask = masks.refined(masks.tuned(classes == ["wall", "sink", "floor"].index(label), 0), 3, 3)
-                    out.append((i, label, n, p, len(masks.outlines(mask)), len(masks.sample_points(mask)), x1, y1, x2, y2))
+                classes = np.where(x < 10 + i % 8, 0, np.where(y < 8, 1, 2)).astype(np.uint8)
+                out += [(i, *found) for found in of_map(classes, np.full(classes.shape, 0.4 + (i % 5) / 10.0))]
             yield pd.DataFrame(out, columns=["det_id", "label", "pixels", "probability", "rings", "points", "x1", "y1", "x2", "y2"])
 
-    d = V.detections(spark, sf_dir).select("det_id")
+    d = V.spread(V.detections(spark, sf_dir).select("det_id"), "det_id")
     return d.mapInPandas(run, "det_id bigint, label string, pixels bigint, probability double, rings int, points int, x1 int, y1 int, x2 int, y2 int").withColumn("probability", F.round("probability", 6))

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(d: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over as many tasks as shuffles have, for long work on each: a small file is one task's, and small shuffles are put together again."""
+    return d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 _LABELS = {"click": ["Pot", "frying pan", "kettle"], "view": ["pot lid", "lid", "pot lid"], "purchase": [" Plate ", "bowl", "plate"], "signup": ["hand", "hand", "arm"], "error": ["knife", "countertop", "kitchen wall"]}
 _SOURCES = ["track_persist", "memory_sam", "grounding_dino_rescue", "secondary_clip"]
 

@@ -51,3 +51,18 @@ def test_replay_copies_no_cluster_event_to_instances(spark):
     many = spark.range(2000).selectExpr("id AS proposal_id", "0L AS cluster_id", "'' AS human_label", "'unreviewed' AS review_status")
     log = spark.range(200_000).selectExpr("id AS seq", "if(id % 2 = 0, 'label', 'action') AS kind", "0L AS target", "if(id % 2 = 0, '', 'reviewed') AS status", "'pot' AS label", "'' AS reason")
     assert review.replayed(many, log).where("status = 'reviewed' AND label = 'pot'").count() == 2000
+
+
+def test_equal_pictures_are_worked_out_once():
+    from frameloom.operators import masks
+
+    seen = []
+    of = masks.once(lambda a, b: seen.append(1) or int(a.sum()) + int(b.sum()), 2)
+    one, two = np.ones((2, 3), np.uint8), np.ones((3, 2), np.uint8)
+    assert [of(one, one), of(one.copy(), one), of(two, one), of(one.astype(np.int64), one)] == [12, 12, 12, 12]
+    assert len(seen) == 3  # another shape or type is another picture
+
+
+@pytest.mark.parametrize("name", ["class_map_regions"])
+def test_pictures_are_dealt_over_tasks(spark, small, name):
+    assert REGISTRY[name].build(spark, small).rdd.getNumPartitions() >= 4
