@@ -290,17 +290,17 @@ def _drawn(d):
     """A small mask and depth map for each detection, as bytes."""
 
     def run(batches):
+        y, x = np.mgrid[0:24, 0:32]
         for batch in batches:
             masks, depths = [], []
             for i in batch["det_id"]:
-                y, x = np.mgrid[0:24, 0:32]
                 mask = ((x - 10 - i % 8) ** 2 + (y - 12) ** 2 < 40 + i % 30).astype(np.uint8)
                 depth = 0.2 + 0.5 * mask + (i % 5) / 50.0 * x / 32.0
                 masks.append(mask.tobytes())
                 depths.append(depth.astype(np.float64).tobytes())
             yield pd.DataFrame({"det_id": batch["det_id"], "mask": masks, "depth": depths, "h": 24, "w": 32})
 
-    return d.select("det_id").mapInPandas(run, "det_id bigint, mask binary, depth binary, h int, w int")
+    return V.spread(d.select("det_id"), "det_id").mapInPandas(run, "det_id bigint, mask binary, depth binary, h int, w int")
 
 
 @query("M09 M11 Z21 Z31 Z22")
