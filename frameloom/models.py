@@ -51,15 +51,18 @@ def _blobs(frames: pd.DataFrame, labels: list[str]) -> pd.DataFrame:
     """Bright parts of grey images (height, width, image), the largest first, labels dealt in turn."""
     from frameloom.operators import masks
 
-    rows = []
-    for f in frames.itertuples():
-        image = np.frombuffer(f.image, np.uint8).reshape(f.height, f.width)
+    def parts(image: np.ndarray) -> list[tuple]:
         found, n = masks.components(image > 127)
         sizes = np.bincount(found.ravel(), minlength=n + 1)[1:]
+        out = []
         for rank, part in enumerate(sorted(range(1, n + 1), key=lambda i: (-sizes[i - 1], i))[:12]):
             y, x = np.nonzero(found == part)
             score = min(0.95, max(0.2, 0.2 + 5.0 * sizes[part - 1] / image.size))
-            rows.append((f.video_id, f.frame_idx, rank, labels[rank % len(labels)] if labels else "object", float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1), score, "blobs"))
+            out.append((rank, labels[rank % len(labels)] if labels else "object", float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1), score, "blobs"))
+        return out
+
+    of_image = masks.once(parts)  # equal images of a batch are searched once
+    rows = [(f.video_id, f.frame_idx, *part) for f in frames.itertuples() for part in of_image(np.frombuffer(f.image, np.uint8).reshape(f.height, f.width))]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTED.split(", ")])
 
 
@@ -83,6 +86,8 @@ def _histogram(crops: pd.DataFrame) -> np.ndarray:
 def detected(frames: DataFrame, backend: str, labels: list[str], default: str = "none", every: int = 1) -> DataFrame:
     """Detections of frames; only every so many-th frame reaches the model."""
     run = _DETECTORS.get(backend, _DETECTORS[default])
+    if run is _nothing:  # no frame need be read or drawn
+        frames = frames.where(F.lit(False))
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -327,6 +327,6 @@ def _bright(d):
 
     @F.pandas_udf("binary")
     def bright(m: pd.Series) -> pd.Series:
-        return m.map(lambda b: bytes(255 if v else 0 for v in b))
+        return m.map(lambda b: np.where(np.frombuffer(b, np.uint8), 255, 0).astype(np.uint8).tobytes())
 
     return d.withColumn("image", bright("image"))

@@ -63,6 +63,6 @@ def test_equal_pictures_are_worked_out_once():
     assert len(seen) == 3  # another shape or type is another picture
 
 
-@pytest.mark.parametrize("name", ["class_map_regions", "mask_depths"])
+@pytest.mark.parametrize("name", ["class_map_regions", "mask_depths", "detected_blobs"])
 def test_pictures_are_dealt_over_tasks(spark, small, name):
     assert REGISTRY[name].build(spark, small).rdd.getNumPartitions() >= 4
