@@ -66,3 +66,19 @@ def test_equal_pictures_are_worked_out_once():
 @pytest.mark.parametrize("name", ["class_map_regions", "mask_depths", "detected_blobs"])
 def test_pictures_are_dealt_over_tasks(spark, small, name):
     assert REGISTRY[name].build(spark, small).rdd.getNumPartitions() >= 4
+
+
+def test_repeated_questions_meet_only_new_appearances():
+    from frameloom.streaming import growing
+
+    r = np.random.default_rng(7)
+    units = [u / np.linalg.norm(u) for u in r.normal(size=(12, 5))]
+    rows = [(str(r.choice(["pot", "pan"])), int(r.integers(12))) for _ in range(400)]
+    index, entered = growing.Index(), []
+    for n, (label, i) in enumerate(rows):
+        want = max((float(units[i] @ units[k]) + 0.03 * (label == other) for other, k in entered), default=0.0)
+        assert index.best((label, units[i].tobytes()), units[i], 0.03) == pytest.approx(want, abs=1e-11)
+        if n % 3 == 0:
+            index.add(label, units[i])
+            entered.append((label, i))
+    assert index.n == len(set(entered)) and len(index.answers) <= 24
