@@ -98,3 +98,20 @@ def test_simple_tracks_of_many_boxes_are_those_of_a_plain_loop():
         tracks[want[-1]] = row
     assert got == want and 20 < len(tracks) < 600
     assert isinstance(state["tracks"]["a"][1], np.ndarray)  # a label's tracks are scored as columns, not one by one
+
+
+def test_contours_of_many_parts_are_measured_together(monkeypatch):
+    from frameloom.operators import contours, masks
+
+    grey, calls = np.random.default_rng(4).integers(0, 256, (64, 64)).astype(np.uint8), []
+    plain = contours._enclosed
+    monkeypatch.setattr(contours, "_enclosed", lambda *a: calls.append(1) or plain(*a))
+    got = contours.contours(grey)
+    labels, n = masks.components(masks.filled(contours.edges(grey)) > 0)
+    want = []
+    for part in range(1, n + 1):
+        ys, xs = np.nonzero(labels == part)
+        p = np.pad(labels == part, 1).astype(int)
+        four = p[:-1, :-1] + p[:-1, 1:] + p[1:, :-1] + p[1:, 1:]
+        want.append(((four == 4).sum() + 0.5 * (four == 3).sum(), xs.min(), ys.min(), xs.max() + 1, ys.max() + 1))
+    assert n > 5 and got == sorted(want, key=lambda c: (-c[0], c[2], c[1])) and len(calls) == 1
