@@ -50,12 +50,41 @@ def solved(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     one, zero = np.ones(p.shape[:-1]), np.zeros(p.shape[:-1])
     x, y, u, v = p[..., 0], p[..., 1], q[..., 0], q[..., 1]
     rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], axis=-1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], axis=-1)], axis=-2)
-    _, _, vt = np.linalg.svd(rows)
+    _, _, vt = np.linalg.svd(rows, full_matrices=rows.shape[-2] < 9)  # four pairs leave the last direction open
     h = np.linalg.inv(b) @ vt[..., -1, :].reshape(*rows.shape[:-2], 3, 3) @ a
     scale = h[..., 2:, 2:]
     return h / np.where(np.abs(scale) > 1e-12, scale, 1.0)
 
 
+def _of_four(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Exact motions of stacks of four pairs: stack x 4 x 2. Three points on a line fix none; such motions hold no finite numbers or odd ones."""
+
+    def basis(points: np.ndarray) -> np.ndarray:
+        """The three first points as columns, weighed so that their sum is the fourth."""
+        x, y = points[..., 0].T, points[..., 1].T
+        turn = lambda i, j, k: (x[j] - x[i]) * (y[k] - y[i]) - (x[k] - x[i]) * (y[j] - y[i])
+        weights = np.stack([turn(3, 1, 2), turn(0, 3, 2), turn(0, 1, 3)])
+        return np.stack([x[:3] * weights, y[:3] * weights, weights])  # row, point, stack
+
+    def adjugate(m: np.ndarray) -> np.ndarray:
+        minor = lambda r, c: m[(r + 1) % 3, (c + 1) % 3] * m[(r + 2) % 3, (c + 2) % 3] - m[(r + 1) % 3, (c + 2) % 3] * m[(r + 2) % 3, (c + 1) % 3]
+        return np.stack([np.stack([minor(r, c) for r in range(3)]) for c in range(3)])
+
+    h = np.einsum("rks,kcs->src", basis(target), adjugate(basis(source)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return h / np.abs(h).max(axis=(1, 2), keepdims=True)
+
+
+def _draws(r: np.random.Generator, samples: int, n: int) -> np.ndarray:
+    """Four different numbers below n, as often as asked for."""
+    out = np.floor(r.random((samples, 4)) * (n - np.arange(4))).astype(np.int64)
+    for k in range(1, 4):  # the so-manieth of those that are left
+        before = np.sort(out[:, :k], axis=1)
+        for c in range(k):
+            out[:, k] += out[:, k] >= before[:, c]
+    return out
+
+
 def estimated(source: np.ndarray, target: np.ndarray, reach: float = 5.0, samples: int = 512, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
     """The motion that most pairs agree on and which do; None for fewer than four pairs or no agreement of four.
 
@@ -65,17 +94,29 @@ def estimated(source: np.ndarray, target: np.ndarray, reach: float = 5.0, sample
     n = len(source)
     if n < 4:
         return None, np.zeros(n, dtype=bool)
-    draw = np.random.default_rng(seed).random((samples, n)).argsort(axis=1)[:, :4]
-    tried = solved(source[draw], target[draw])
-    far = np.linalg.norm(moved(tried, source[None]) - target[None], axis=-1)
-    far = np.where(np.isfinite(far), far, np.inf)
-    hits = (far <= reach).sum(axis=1)
-    close = np.where(far <= reach, far, 0).sum(axis=1)
-    best = int(np.lexsort((close, -hits))[0])
-    inside = far[best] <= reach
+    draw = _draws(np.random.default_rng(seed), samples, n)
+    a, b = _balance(source), _balance(target)
+    p, q = moved(a, source), moved(b, target)
+    tried = np.linalg.inv(b) @ _of_four(p[draw], q[draw]) @ a
+    tried = tried.transpose(1, 0, 2)  # row, motion, column
+    points = np.concatenate([source, np.ones((n, 1))], axis=1).T
+    most, least, best, inside = -1, np.inf, 0, np.zeros(n, dtype=bool)
+    some = max(1, 8192 // n)  # at once: small tables, whose memory is used again
+    for first in range(0, samples, some):
+        x, y, z = (tried[:, first : first + some].reshape(-1, 3) @ points).reshape(3, -1, n)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            far = (x / z - target[:, 0]) ** 2 + (y / z - target[:, 1]) ** 2
+            near = far <= reach * reach  # not where a place is no number
+        hits = near.sum(axis=1)
+        if (top := int(hits.max())) >= most:
+            rows = np.flatnonzero(hits == top)
+            close = np.sqrt(np.where(near[rows], far[rows], 0)).sum(axis=1)
+            k = int(close.argmin())
+            if top > most or close[k] < least:
+                most, least, best, inside = top, close[k], first + int(rows[k]), near[rows[k]]
     if inside.sum() < 4:
         return None, np.zeros(n, dtype=bool)
-    motion = tried[best]
+    motion = tried[:, best] / (tried[2, best, 2] if abs(tried[2, best, 2]) > 1e-12 else 1.0)
     for _ in range(10):
         again = solved(source[inside][None], target[inside][None])[0]
         off = np.linalg.norm(moved(again, source) - target, axis=-1)
@@ -93,17 +134,43 @@ def motions(points: DataFrame, reach: float = 5.0, samples: int = 512) -> DataFr
     """(video_id, frame_idx, motion, inliers, n): from the frame before to this one; ``motion`` is null where none is found.
 
     ``points``: video_id, frame_idx, x, y (in the frame before), u, v (in this
-    one). Rows with a null coordinate are left out.
+    one). Rows with a null coordinate are left out. Frames are streamed in
+    order of their keys, many to a batch.
     """
     names = ("x", "y", "u", "v")
+    keys = ["video_id", "frame_idx"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=list(names)).sort_values(list(names))
-        m = rows[list(names)].to_numpy(dtype=np.float64)
-        found, inside = estimated(m[:, :2], m[:, 2:], reach, samples, seed=abs(hash((int(key[0]), int(key[1])))) % 2**32)
-        return pd.DataFrame({"video_id": [key[0]], "frame_idx": [key[1]], "motion": [None if found is None else found.ravel().tolist()], "inliers": [int(inside.sum())], "n": [len(m)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []  # of the newest frame, which the next batch may go on with
+        at: tuple | None = None
 
-    return points.select("video_id", "frame_idx", *names).groupBy("video_id", "frame_idx").applyInPandas(run, "video_id long, frame_idx long, motion array<double>, inliers int, n int")
+        def ended() -> tuple:
+            m = np.concatenate(held)
+            m = m[~np.isnan(m).any(axis=1)]
+            m = m[np.lexsort(m.T[::-1])]
+            found, inside = estimated(m[:, :2], m[:, 2:], reach, samples, seed=abs(hash(at)) % 2**32)
+            return *at, None if found is None else found.ravel().tolist(), int(inside.sum()), len(m)
+
+        columns = [*keys, "motion", "inliers", "n"]
+        for batch in batches:
+            out = []
+            ids, values = batch[keys].to_numpy(dtype=np.int64), batch[list(names)].to_numpy(dtype=np.float64)
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]) if len(ids) else []
+            for start, end in zip(starts, [*starts[1:], len(ids)], strict=True):
+                here = tuple(ids[start].tolist())
+                if here != at:
+                    if held:
+                        out.append(ended())
+                    held, at = [], here
+                held.append(values[start:end])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([ended()], columns=columns)
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # long work on few bytes: small tasks are not put together
+    dealt = points.select(*keys, *names).repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, "video_id long, frame_idx long, motion array<double>, inliers int, n int")
 
 
 class Anchors:

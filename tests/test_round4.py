@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frameloom.operators import homography
 from frameloom.streaming import association, frames, steps
 from tests.test_online import H, W, sighting
 
@@ -97,3 +98,40 @@ def test_few_videos_share_no_task(spark, tasks):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(got) == 80 and len({r["task"] for r in got}) == 4 == len({(r["task"], r["video_id"]) for r in got})
+
+
+def test_motions_of_four_pairs_are_exact():
+    r = np.random.default_rng(5)
+    motion = np.eye(3) + r.normal(0, [[0.03, 0.03, 8], [0.03, 0.03, 8], [2e-5, 2e-5, 0]], (50, 3, 3))
+    source = r.uniform(0, 500, (50, 4, 2))
+    found = homography._of_four(source, homography.moved(motion, source))
+    assert np.allclose(found / found[:, 2:, 2:], motion / motion[:, 2:, 2:], rtol=1e-6, atol=1e-8)
+    draw = homography._draws(r, 20000, 6)
+    assert draw.min() == 0 and draw.max() == 5 and all(len(set(d)) == 4 for d in draw.tolist())
+    assert np.abs(np.bincount(draw.ravel(), minlength=6) / 80000 - 1 / 6).max() < 0.01
+
+
+def test_a_frames_motion_takes_few_milliseconds():
+    r = np.random.default_rng(6)
+    source = r.uniform((0, 0), (640, 480), (200, 2))
+    target = homography.moved(np.array([[1.01, 0.01, 5], [-0.01, 0.99, 3], [1e-5, 0, 1]]), source)
+    target[:80] = r.uniform((0, 0), (640, 480), (80, 2))
+    began = time.process_time()
+    for seed in range(40):
+        assert homography.estimated(source, target, seed=seed)[1].sum() >= 120
+    assert time.process_time() - began < 0.6  # 512 decompositions a frame took 1.4 s
+
+
+def test_motions_go_on_over_batches(spark):
+    r = np.random.default_rng(7)
+    rows = [(v, f, float(x), float(y), float(x + f), float(y - f)) for v in range(2) for f in range(6) for x, y in r.uniform(0, 400, (23, 2))] + [(2, 0, 1.0, 1.0, None, 1.0)]
+    points = spark.createDataFrame(rows, "video_id long, frame_idx long, x double, y double, u double, v double")
+    whole = {(m["video_id"], m["frame_idx"]): m for m in homography.motions(points).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        parts = {(m["video_id"], m["frame_idx"]): m for m in homography.motions(points).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts == whole and len(whole) == 13 and whole[2, 0]["motion"] is None and whole[2, 0]["n"] == 0
+    for (v, f), m in whole.items():
+        assert v == 2 or (m["n"] == m["inliers"] == 23 and np.allclose(m["motion"], [1, 0, f, 0, 1, -f, 0, 0, 1], atol=1e-6))
