@@ -191,18 +191,25 @@ class Anchors:
         fresh = [r for r in rows if r["label"] is not None]
         now = rows[0]["frame_idx"]
         if fresh:
-            state["anchors"] = {r["label"]: (list(r["polygon"]), r["confidence"]) for r in fresh if r["polygon"] is not None and len(r["polygon"]) >= 6}
+            kept = {r["label"]: (np.reshape(np.asarray(r["polygon"], dtype=np.float64), (-1, 2)), r["confidence"]) for r in fresh if r["polygon"] is not None and len(r["polygon"]) >= 6}
+            state["anchors"] = [(label, confidence) for label, (_, confidence) in kept.items()]
+            outlines = [points for points, _ in kept.values()]  # all corners are one table, which is moved at once
+            state["corners"], state["starts"] = np.concatenate(outlines) if outlines else None, np.cumsum([0, *map(len, outlines)]).tolist()
             state["motion"], state["since"] = np.eye(3).ravel().tolist(), now
         else:
             motion = next((r["motion"] for r in rows if r["motion"] is not None), None)
             if motion is not None and "motion" in state:
                 state["motion"] = (np.reshape(motion, (3, 3)) @ np.reshape(state["motion"], (3, 3))).ravel().tolist()
+        if not state.get("anchors"):
+            return []
+        points, starts = moved(np.reshape(state["motion"], (3, 3)), state["corners"]), state["starts"]
+        points = np.minimum(np.maximum(np.nan_to_num(points), 0), (self.width - 1, self.height - 1))
+        low, high = np.minimum.reduceat(points, starts[:-1], axis=0).tolist(), (np.maximum.reduceat(points, starts[:-1], axis=0) + 1).tolist()
+        flat, fixed = points.ravel().tolist(), {"video_id": rows[0]["video_id"], "frame_idx": now}
         out = []
-        for label, (corners, confidence) in state.get("anchors", {}).items():
-            points = moved(np.reshape(state["motion"], (3, 3)), np.reshape(np.asarray(corners, dtype=np.float64), (-1, 2)))
-            points = np.clip(np.nan_to_num(points), 0, (self.width - 1, self.height - 1))
-            (x1, y1), (x2, y2) = points.min(axis=0), points.max(axis=0) + 1
-            out.append({"video_id": rows[0]["video_id"], "frame_idx": now, "label": label, "confidence": confidence, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "polygon": points.ravel().tolist(), "age": now - state["since"]})
+        for k, (label, confidence) in enumerate(state["anchors"]):
+            (x1, y1), (x2, y2) = low[k], high[k]
+            out.append({**fixed, "label": label, "confidence": confidence, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "polygon": flat[2 * starts[k] : 2 * starts[k + 1]], "age": now - state["since"]})
         return out
 
 

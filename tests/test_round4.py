@@ -135,3 +135,16 @@ def test_motions_go_on_over_batches(spark):
     assert parts == whole and len(whole) == 13 and whole[2, 0]["motion"] is None and whole[2, 0]["n"] == 0
     for (v, f), m in whole.items():
         assert v == 2 or (m["n"] == m["inliers"] == 23 and np.allclose(m["motion"], [1, 0, f, 0, 1, -f, 0, 0, 1], atol=1e-6))
+
+
+def test_anchors_are_moved_together(monkeypatch):
+    calls, moved = [], homography.moved
+    monkeypatch.setattr(homography, "moved", lambda motion, points: calls.append(len(points)) or moved(motion, points))
+    step, state = homography.Anchors(640, 480), {}
+    shapes = {"sink": [10, 10, 90, 10, 90, 60], "wall": [100, 100, 300, 100, 300, 250, 100, 250], "none": [1, 1, 2, 2]}
+    base = {"video_id": 0, "motion": None}
+    step(state, [{**base, "frame_idx": 0, "label": k, "polygon": p, "confidence": 0.5} for k, p in shapes.items()])
+    out = step(state, [{**base, "frame_idx": 1, "label": None, "polygon": None, "confidence": None, "motion": [1, 0, 5, 0, 1, -20, 0, 0, 1]}])
+    assert calls == [7, 7]
+    assert [(a["label"], a["x1"], a["y1"], a["x2"], a["y2"], len(a["polygon"])) for a in out] == [("sink", 15, 0, 96, 41, 6), ("wall", 105, 80, 306, 231, 8)]
+    assert step(state, [{**base, "frame_idx": 2, "label": "none", "polygon": shapes["none"], "confidence": 0.5}]) == []
