@@ -5,13 +5,15 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import threading
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import homography
+from frameloom.operators import homography, vectors
 from frameloom.streaming import association, frames, steps
 from tests.test_online import H, W, sighting
 
@@ -148,3 +150,21 @@ def test_anchors_are_moved_together(monkeypatch):
     assert calls == [7, 7]
     assert [(a["label"], a["x1"], a["y1"], a["x2"], a["y2"], len(a["polygon"])) for a in out] == [("sink", 15, 0, 96, 41, 6), ("wall", 105, 80, 306, 231, 8)]
     assert step(state, [{**base, "frame_idx": 2, "label": "none", "polygon": shapes["none"], "confidence": 0.5}]) == []
+
+
+def test_labels_are_clustered_side_by_side(spark, tmp_path, monkeypatch):
+    together, bucketed, parts = threading.Barrier(3), vectors.bucketed, []
+    kmeans = vectors.kmeans
+
+    def meeting(*args, **more):
+        together.wait(timeout=60)  # one label after the other would never meet here
+        return bucketed(*args, **more)
+
+    monkeypatch.setattr(vectors, "bucketed", meeting)
+    monkeypatch.setattr(vectors, "kmeans", lambda d, *args, **more: parts.append(d.rdd.getNumPartitions()) or kmeans(d, *args, **more))
+    r = np.random.default_rng(1)
+    rows = [(40 * c + i, label, r.normal(0, 1, 4).tolist()) for c, label in enumerate(("pot", "lid", None)) for i in range(40)]
+    found, failed = vectors.safe_clusters(spark.createDataFrame(rows, "proposal_id bigint, coarse string, embedding array<double>"), str(tmp_path / "c"), target=10, most=20)
+    got = found.collect()
+    assert sorted(g["proposal_id"] for g in got) == list(range(120)) and failed.count() == 0 and not together.broken
+    assert max(Counter((g["coarse"], g["bucket"]) for g in got).values()) <= 20 and set(parts) == {1}
